@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import with_key_meta
 from ..operators.filters import ids, tenant, tenant_files, text, time_range
@@ -18,7 +19,7 @@ from ..operators.ranking import (
     check_limit,
     newest,
 )
-from ..sources.files import list_batches, read_events, read_records
+from ..sources.files import list_batches, read_events
 from ..sources.registry import Source
 from ..sources.tables import scan_event_table
 from ..sources.traces import scan_traces
@@ -106,21 +107,20 @@ def search_files(
     is_org_admin: bool = False,
     limit: int = FILE_SEARCH_LIMIT,
     newest_first: bool = True,
-    record: bool = False,
+    extra: T.StructType | None = None,
     wildcard: bool = True,
     **filters,
 ) -> DataFrame:
     """Full-text search in body, id and type of the events in the tenant's batch files.
 
     Files ruled out by their names are never opened. Results come newest file first; with
-    ``newest_first=False`` they come in any order and collecting them stops early. ``record``
-    adds the whole event.
+    ``newest_first=False`` they come in any order and collecting them stops early. ``extra``
+    declares more fields to read and return.
     """
-    read = read_records if record else read_events
-    events = read(spark, root, project_id, is_org_admin=is_org_admin)
+    events = read_events(spark, root, project_id, is_org_admin=is_org_admin, extra=extra)
     events = filter_files(events, project_id, is_org_admin=is_org_admin, **filters)
     found = text(events, q, ["body", "id", "type"], wildcard=wildcard)
-    found = found.select("id", "type", "timestamp", "body", "key", *(["record"] if record else []))
+    found = found.select("id", "type", "timestamp", "body", "key", *(field.name for field in extra or []))
     if not newest_first:
         return any_rows(found, limit)
     return newest(found, limit, ties=("key", "id", "body"))

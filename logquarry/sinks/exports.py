@@ -13,9 +13,17 @@ from pyspark.sql import types as T
 from ..operators.messages import to_messages
 
 
-def _write(df: DataFrame, path: str, mode: str) -> int:
+# ISO time with all microseconds; the writer's own default keeps milliseconds.
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def _write(df: DataFrame, path: str, mode: str, fmt: str = "json") -> int:
     written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(mode).json(path)
+    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode(mode).format(fmt).options(**(TIME_FORMATS if fmt == "json" else {})).save(path)
     return written.get["rows"]
 
 
@@ -32,7 +40,12 @@ def export_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
 
 
 def export_catalog(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
-    """The full events of a selection. One object per line: a single array would not split."""
+    """The full events of a selection. One object per line: a single array would not split.
+
+    Rows of ``read_records`` are written as the records they hold.
+    """
+    if "record" in df.columns:
+        return _write(df.select(F.to_json("record")), path, mode, "text")
     return export_jsonl(df, path, mode)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jsonvals import at
+from ..functions.keys import with_key_meta
 from ..functions.text import org_of, require_clean
 from ..schemas import EVENT_LINE, EXPORT_LINE
 
@@ -133,29 +135,24 @@ def read_export_events(
 def read_records(
     spark: SparkSession, root: str, project_id: str | None = None, *, is_org_admin: bool = False
 ) -> DataFrame:
-    """Events with every field they hold: ``read_events`` plus ``record``, the whole line as VARIANT."""
+    """Events with every field they hold: ``record``, the whole line as VARIANT, and ``id, type, key``."""
     folder = tenant_folder(root, project_id, is_org_admin)
-    schema = T.StructType([*EVENT_LINE, T.StructField(_BROKEN, T.StringType())])
 
     def load() -> DataFrame:
-        parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": _BROKEN})
-        return (
-            spark.read.option("recursiveFileLookup", "true")
-            .text(folder)
-            .select(parsed.alias("line"), F.try_parse_json("value").alias("record"), metadata_key(root).alias("key"))
-            .where(F.col(f"line.{_BROKEN}").isNull() & F.col("record").isNotNull())
-            .select("line.id", "line.type", "line.body", "record", "key")
-        )
+        reader = spark.read.option("recursiveFileLookup", "true").option("singleVariantColumn", "record")
+        return reader.json(folder).select("record", metadata_key(root).alias("key"))
 
-    return load_or_empty(spark, load, "id string, type string, body string, record variant, key string")
+    records = load_or_empty(spark, load, "record variant, key string").where(F.col("record").isNotNull())
+    return records.select(at(F.col("record"), "$.id", "string").alias("id"),
+                          at(F.col("record"), "$.type", "string").alias("type"), "record", "key")
 
 
 def broken_lines(
     spark: SparkSession, root: str, project_id: str | None = None, *, is_org_admin: bool = False
 ) -> DataFrame:
-    """How many lines of each file are not JSON: ``key, broken``; files without any are left out."""
+    """How many lines of each batch file are not JSON: ``key, broken``; files without any are left out."""
     folder = tenant_folder(root, project_id, is_org_admin)
     lines = _read_lines(spark, root, folder, T.StructType([EVENT_LINE["id"]]), strict=False)
-    # The reader refuses a query on the broken-line column alone, hence the second condition.
-    broken = lines.where(F.col(_BROKEN).isNotNull() & F.col("id").isNull())
+    # The reader refuses a query on the broken-line column alone, hence the condition on the id.
+    broken = with_key_meta(lines).where(F.col(_BROKEN).isNotNull() & F.col("id").isNull())
     return broken.groupBy("key").agg(F.count(F.lit(1)).alias("broken"))

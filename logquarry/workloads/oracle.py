@@ -126,10 +126,10 @@ ORACLE: dict[str, str] = {
     ),
     "search_table_user_like": _table_search("project_id = 'org1/user5' AND body LIKE '%\"k\"%'", 50),
     "search_table_wildcard": _table_search(f"{_ORG1} AND body ILIKE '%K_: %5%'", 500),
-    "search_table_backslash": _table_search(f"{_ORG1} AND body ILIKE '%k\\b_%'", 50),
+    "text_backslash": f"WITH {_DOCUMENTS} SELECT id, type FROM docs WHERE body ILIKE '%AN.\\n_h%'",
     "search_table_ids": _table_search(f"{_ORG1} AND session_id = 'sess0007' AND name = 'qa-bot'", 500),
     "search_table_trace": _table_search(f"{_ORG1} AND trace_id = 'trace0011'", 500),
-    "search_table_hash": _table_search("starts_with(project_id, 'org3/') AND input_hash = '000002ff'", 50),
+    "events_by_hash": f"WITH {_LOG} SELECT event_id, project_id, input_hash FROM log WHERE input_hash = '0000002a'",
     "recent": _table_search(_ORG1, 100),
     "preset_window": _table_search(
         f"""{_ORG1} AND "timestamp" >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND "timestamp" <= TIMESTAMP '2024-01-20'""",
@@ -142,7 +142,7 @@ FROM log WHERE starts_with(project_id, 'org2/')""",
 SELECT event_id, "timestamp", input_hash FROM log
 WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12' AND name = 'summarizer'""",
     "body_fallback": f"WITH {_LOG} SELECT event_id, {_VALID_BODY} FROM log",
-    "text_literal": f"WITH {_DOCUMENTS} SELECT id, type FROM docs WHERE contains(lower(body), 'ent_') OR contains(lower(type), 'ent_')",
+    "text_literal": f"WITH {_DOCUMENTS} SELECT id, type FROM docs WHERE contains(lower(body), 'ou%%%') OR contains(lower(type), 'ou%%%')",
     "text_any_column": f"""WITH {_DOCUMENTS} SELECT id, type FROM docs
 WHERE body ILIKE '%thand%ble%' OR id ILIKE '%thand%ble%' OR type ILIKE '%thand%ble%'""",
     "count_results": f"WITH {_DOCUMENTS} SELECT count(*) AS results FROM docs WHERE contains(body, 'hation')",
@@ -162,12 +162,12 @@ UNION ALL SELECT replace(blob_key, '.bin', '.meta.json') FROM media""",
 WHERE {_READABLE} AND {_ORG1} AND trace_type = 'embedder'
   AND file_ts BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 18:00:00'""",
     "list_files_ids": f"""WITH {_FILES} SELECT {_FILE_COLUMNS} FROM files
-WHERE {_READABLE} AND {_ORG1} AND session_id = 'sess0027' AND trace_id = 'unknown'""",
+WHERE {_READABLE} AND {_ORG1} AND session_id = 'sess0033' AND trace_id = 'unknown'""",
     "scan_statistics": f"""WITH {_FILES} SELECT count(*) AS files_scanned FROM files
 WHERE {_READABLE} AND {_ORG1} AND file_ts >= TIMESTAMP '2024-01-01 02:00:00'""",
     "read_all_events": f"WITH {_LINES} SELECT id, type, body, model, key FROM lines",
     "count_broken_lines": f"""WITH {_LINES} SELECT key, count(*) AS broken FROM lines
-WHERE event_id % 97 = 0 GROUP BY key""",
+WHERE event_id % 97 = 0 AND {_READABLE} GROUP BY key""",
     "search_files": _file_search(
         f"""{_ORG1} AND file_ts BETWEEN TIMESTAMP '2024-01-01 02:00:00' AND TIMESTAMP '2024-01-02 12:00:00'
   AND (body ILIKE '%PURCH%' OR id ILIKE '%PURCH%' OR type ILIKE '%PURCH%')""",
@@ -177,10 +177,10 @@ WHERE event_id % 97 = 0 GROUP BY key""",
         """project_id = 'org1/user5' AND (body ILIKE '%"k": 7%' OR id ILIKE '%"k": 7%' OR type ILIKE '%"k": 7%')""", 100
     ),
     "search_files_all": _file_search(f"{_ORG1} AND session_id = 'sess0005'", 500),
-    "search_files_records": _file_search(
+    "search_files_extra_fields": _file_search(
         f"{_ORG1} AND (body ILIKE '%evt-0000_%' OR id ILIKE '%evt-0000_%' OR type ILIKE '%evt-0000_%')",
         500,
-        ", model AS record",
+        ", model",
     ),
     "search_traces": f"""WITH {_TRACES} SELECT {_TRACE_COLUMNS} FROM traces
 WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25'
@@ -228,7 +228,7 @@ FROM media WHERE buyer""",
 SELECT event_id AS id, event_type AS type, "timestamp",
        CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.k') AS INTEGER) END AS body FROM log""",
     "export_catalog_roundtrip": f"""WITH {_LINES}
-SELECT id, type, CAST(json_extract(body, '$.k') AS INTEGER) AS k, model FROM lines""",
+SELECT id, type, CAST(json_extract(body, '$.k') AS INTEGER) AS body, model FROM lines WHERE {_READABLE}""",
     "export_index_roundtrip": f"WITH {_KEYS} SELECT key, 's3a://logs/' || key AS url FROM keys",
     "export_url_index_roundtrip": f"""WITH {_FILES}
 SELECT 's3a://logs/' || key AS url FROM files WHERE {_READABLE} AND {_ORG1}""",

@@ -71,8 +71,8 @@ def search_table_wildcard(spark, sf_dir):
 
 
 @query
-def search_table_backslash(spark, sf_dir):
-    return plans.search_table(views.event_log(spark, sf_dir), "k\\b_", **ADMIN)
+def text_backslash(spark, sf_dir):
+    return text(views.document_events(spark, sf_dir), "AN.\\n_h", ["body"]).select("id", "type")
 
 
 @query
@@ -88,9 +88,9 @@ def search_table_trace(spark, sf_dir):
 
 
 @query
-def search_table_hash(spark, sf_dir):
-    org_of_event = views.event_log(spark, sf_dir)
-    return plans.search_table(org_of_event, "*", "org3/user0", is_org_admin=True, input_hash="000002ff")
+def events_by_hash(spark, sf_dir):
+    found = ids(views.event_log(spark, sf_dir), input_hash="0000002a")
+    return found.select("event_id", "project_id", "input_hash")
 
 
 @query
@@ -123,7 +123,7 @@ def body_fallback(spark, sf_dir):
 
 @query
 def text_literal(spark, sf_dir):
-    rows = text(views.document_events(spark, sf_dir), "ENT_", ["body", "type"], wildcard=False)
+    rows = text(views.document_events(spark, sf_dir), "OU%%%", ["body", "type"], wildcard=False)
     return rows.select("id", "type")
 
 
@@ -176,7 +176,7 @@ def list_files_range(spark, sf_dir):
 
 @query
 def list_files_ids(spark, sf_dir):
-    return plans.list_files(spark, views.log_root(spark, sf_dir), **ADMIN, session_id="sess0027", trace_id="unknown")
+    return plans.list_files(spark, views.log_root(spark, sf_dir), **ADMIN, session_id="sess0033", trace_id="unknown")
 
 
 @query
@@ -223,9 +223,10 @@ def search_files_all(spark, sf_dir):
 
 
 @query
-def search_files_records(spark, sf_dir):
-    found = plans.search_files(spark, views.log_root(spark, sf_dir), "evt-0000_", **ADMIN, limit=500, record=True)
-    return _file_results(found).withColumn("record", F.try_variant_get("record", "$.model", "string"))
+def search_files_extra_fields(spark, sf_dir):
+    model = T.StructType([T.StructField("model", T.StringType())])
+    found = plans.search_files(spark, views.log_root(spark, sf_dir), "evt-0000_", **ADMIN, limit=500, extra=model)
+    return _file_results(found)
 
 
 # --- traces --------------------------------------------------------------------------------
@@ -373,9 +374,9 @@ def export_jsonl_roundtrip(spark, sf_dir):
 def export_catalog_roundtrip(spark, sf_dir):
     path = staging.scratch(spark, "catalog")
     records = read_records(spark, views.log_root(spark, sf_dir))
-    exports.export_catalog(records.select("id", "type", "body", "record"), path)
-    written = spark.read.schema("id string, type string, body variant, record variant").json(path)
-    return written.select("id", "type", _k("body").alias("k"), F.try_variant_get("record", "$.model", "string").alias("model"))
+    exports.export_catalog(with_key_meta(records), path)
+    written = spark.read.schema("id string, type string, body variant, model string").json(path)
+    return written.withColumn("body", _k("body"))
 
 
 @query
