@@ -11,33 +11,39 @@ from pyspark.sql import functions as F
 
 KEY_FIELDS = ("session_id", "trace_id", "trace_type", "input_hash", "timestamp")
 
-# The stamp format, the suffixes that are not part of a name, the label of a
-# key that has no trace id.
-STAMP_PATTERN = "^[0-9]{8}T[0-9]{6}Z$"
-SUFFIX_PATTERN = "(\\.json)?(\\.jsonl)?\\z"
+# The shape of a usable key, and the label of a key that has no trace id. The
+# mark in front makes sure that a key of another shape cannot itself pass for a time.
+_PART = "[^/_]*"
+_USABLE = (
+    f"^!.*_{_PART}_{_PART}_((?!0000)[0-9]{{4}})([0-9]{{2}})([0-9]{{2}})"
+    f"T([0-9]{{2}})([0-9]{{2}})([0-9]{{2}})Z_{_PART}$"
+)
+_MIDDLE = f"^{_PART}(.*)_{_PART}_{_PART}_{_PART}_{_PART}$"
 NO_TRACE = "unknown"
 
 
-def key_stamp(stamp: Column) -> Column:
-    """``yyyyMMddTHHmmssZ`` to an instant; anything else gives null."""
-    in_utc = F.concat(F.substring(stamp, 1, 15), F.lit("+00:00"))
-    return F.when(stamp.rlike(STAMP_PATTERN), F.try_to_timestamp(in_utc, F.lit("yyyyMMdd'T'HHmmssXXX")))
+def key_fields(key: Column) -> dict[str, Column]:
+    """The five fields as columns; ``timestamp`` is null exactly when the key is unusable.
 
+    Every field mentions the key once. Filters on fields end up on the file path of each
+    row, where Spark would repeat whatever is mentioned twice. The file suffix belongs to the
+    unique part, which is not a field, so it needs no treatment.
+    """
+    name = F.substring_index(key, "/", -1)
 
-def key_fields(key: Column) -> dict[str, Column]:
-    """The five fields as columns; ``timestamp`` is null exactly when the key is unusable."""
-    name = F.regexp_replace(F.substring_index(key, "/", -1), SUFFIX_PATTERN, "")
-    parts = F.split(name, "_", -1)
-    size = F.size(parts)
-    trace = F.when(size == 5, F.lit(NO_TRACE)).when(
-        size > 5, F.array_join(F.slice(parts, F.lit(2), size - 5), "_")
-    )
+    def from_right(position: int) -> Column:
+        return F.substring_index(F.substring_index(name, "_", -position), "_", 1)
+
+    # Nothing or "_{trace}". A slash cannot occur in a name and tells the two cases apart.
+    middle = F.concat(F.lit("/"), F.regexp_extract(name, _MIDDLE, 1))
+    # ISO text and a cast: unlike a parse by pattern, that is cheap on bad input too.
+    stamp = F.regexp_replace(F.concat(F.lit("!"), key), _USABLE, "$1-$2-$3T$4:$5:$6Z")
     return {
-        "session_id": F.get(parts, F.lit(0)),
-        "trace_id": trace,
-        "trace_type": F.get(parts, size - 4),
-        "input_hash": F.get(parts, size - 3),
-        "timestamp": F.when(size >= 5, key_stamp(F.get(parts, size - 2))),
+        "session_id": F.substring_index(name, "_", 1),
+        "trace_id": F.replace(F.replace(middle, F.lit("/_"), F.lit("")), F.lit("/"), F.lit(NO_TRACE)),
+        "trace_type": from_right(4),
+        "input_hash": from_right(3),
+        "timestamp": stamp.try_cast("timestamp"),
     }
 
 

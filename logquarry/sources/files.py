@@ -33,8 +33,7 @@ def _base_path(root: str) -> str:
 
 def key_below(root: str, path: Column) -> Column:
     """The part of a file path below the root."""
-    local = F.regexp_replace(path, _SCHEME, "")
-    return F.substring(local, F.lit(len(_base_path(root)) + 1), F.length(local))
+    return F.regexp_replace(path, _SCHEME + re.escape(_base_path(root)), "")
 
 
 def metadata_key(root: str) -> Column:
