@@ -52,7 +52,9 @@ def tenant_prefix(project_id: str, is_org_admin: bool = False) -> str:
     return (org_of(project_id) if is_org_admin else project_id) + "/"
 
 
-def tenant_folder(root: str, project_id: str | None, is_org_admin: bool) -> str:
+def tenant_folder(root: str, project_id: str | None, is_org_admin: bool = False) -> str:
+    """The folder to list: the root, or the part of it that a tenant may see."""
+    _base_path(root)
     if project_id is None:
         return root
     return f"{root.rstrip('/')}/{tenant_prefix(project_id, is_org_admin)}"
@@ -104,6 +106,15 @@ def _read_lines(
     return load_or_empty(spark, load, T.StructType([*schema, T.StructField("key", T.StringType())]))
 
 
+def _mark_of(lines: DataFrame) -> Column:
+    """Null for a good line.
+
+    The reader refuses a query on the broken-line column alone, so no characters of the id
+    are put after it, whatever else the query reads.
+    """
+    return F.concat(F.col(_BROKEN), F.left(F.coalesce("id", F.lit("")), F.lit(0)))
+
+
 def read_events(
     spark: SparkSession,
     root: str,
@@ -120,7 +131,7 @@ def read_events(
     """
     fields = T.StructType([*EVENT_LINE, *(extra or [])])
     lines = _read_lines(spark, root, tenant_folder(root, project_id, is_org_admin), fields, strict)
-    return lines.where(F.col(_BROKEN).isNull()).drop(_BROKEN)
+    return lines.where(_mark_of(lines).isNull()).drop(_BROKEN)
 
 
 def read_export_events(
@@ -152,6 +163,5 @@ def broken_lines(
     """How many lines of each batch file are not JSON: ``key, broken``; files without any are left out."""
     folder = tenant_folder(root, project_id, is_org_admin)
     lines = _read_lines(spark, root, folder, T.StructType([EVENT_LINE["id"]]), strict=False)
-    # The reader refuses a query on the broken-line column alone, hence the condition on the id.
-    broken = with_key_meta(lines).where(F.col(_BROKEN).isNotNull() & F.col("id").isNull())
+    broken = with_key_meta(lines).where(_mark_of(lines).isNotNull())
     return broken.groupBy("key").agg(F.count(F.lit(1)).alias("broken"))

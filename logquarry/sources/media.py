@@ -7,10 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import require_clean
 from ..functions.times import parse_iso
 from ..schemas import MEDIA_META
-from .files import load_or_empty, metadata_key
+from .files import load_or_empty, metadata_key, tenant_folder
 
 _PLACE = r"^(.*)/media/([^/]+)\.meta\.json$"
 _GLOB_CHARACTERS = r"([\\{}\[\]*?])"
@@ -48,9 +47,10 @@ def _shape(spark: SparkSession, root: str, path: str) -> DataFrame:
 
 def read_media_meta(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
     """All sidecars below the root, or those of one tenant."""
+    folder = tenant_folder(root, project_id)
     if project_id is None:
-        return _shape(spark, root, root)
-    found = _shape(spark, root, f"{root.rstrip('/')}/{require_clean(project_id)}/media")
+        return _shape(spark, root, folder)
+    found = _shape(spark, root, folder + "media")
     return found.where(F.col("project_id") == project_id)
 
 
@@ -59,4 +59,4 @@ def read_one_media_meta(spark: SparkSession, root: str, project_id: str, media_i
     if "/" in media_id or not media_id:
         raise ValueError(f"not a media id: {media_id!r}")
     name = re.sub(_GLOB_CHARACTERS, r"\\\1", media_id)
-    return _shape(spark, root, f"{root.rstrip('/')}/{require_clean(project_id)}/media/{name}.meta.json")
+    return _shape(spark, root, f"{tenant_folder(root, project_id)}media/{name}.meta.json")

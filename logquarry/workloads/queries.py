@@ -279,7 +279,7 @@ def _conversation_rows(df: DataFrame, *keys: str) -> DataFrame:
     texts = F.transform("messages", lambda m: content_text(m["content"]))
     return df.select(
         *keys,
-        F.size("messages").alias("n_messages"),
+        F.size("messages").cast("bigint").alias("n_messages"),
         F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
         F.md5(F.array_join(texts, "|")).alias("contents"),
     )
