@@ -64,6 +64,10 @@ def is_text(value: Column) -> Column:
     return F.coalesce(F.startswith(F.to_json(value), F.lit('"')), F.lit(False))
 
 
+def is_list(value: Column) -> Column:
+    return at(value, "$", "array<variant>").isNotNull()
+
+
 def as_text(value: Column) -> Column:
     """A VARIANT string without quotes; other values as JSON text."""
     return at(value, "$", "string")
@@ -90,8 +94,8 @@ def content_text(value: Column, source: Column | None = None) -> Column:
 
     pieces = F.transform(at(value, "$", "array<variant>"), piece)
     return (
-        F.when(value.isNull() | (F.to_json(value) == "null"), F.lit(""))
+        F.when(is_list(value), F.array_join(pieces, " "))
+        .when(value.isNull() | (F.to_json(value) == "null"), F.lit(""))
         .when(is_text(value), as_text(value))
-        .when(F.startswith(F.to_json(value), F.lit("[")), F.array_join(pieces, " "))
         .otherwise(source)
     )

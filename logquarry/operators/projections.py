@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsonvals import as_text, at, body_or_empty, content_text, is_text, truthy, with_variant
+from ..functions.jsonvals import as_text, at, body_or_empty, content_text, is_list, is_text, truthy, with_variant
 from ..functions.times import iso_utc
 from ..schemas import EVENT_COLUMNS
 
@@ -101,11 +101,10 @@ def _decoded(df: DataFrame, part: str) -> DataFrame:
 
 def _input_preview() -> Column:
     source, value = F.col("_input_text"), F.col("_input_json")
-    is_list = F.startswith(F.to_json(value), F.lit("["))
     nested = at(value, "$.messages", "array<variant>")
-    typed = F.when(is_list, at(value, "$", "array<variant>")).otherwise(nested)
+    typed = F.coalesce(at(value, "$", "array<variant>"), nested)
     printed = F.from_json(
-        F.when(is_list, source).otherwise(F.get_json_object(source, "$.messages")), "array<string>"
+        F.when(is_list(value), source).otherwise(F.get_json_object(source, "$.messages")), "array<string>"
     )
     last = content_text(
         at(F.element_at(typed, -1), "$.content"), F.get_json_object(F.element_at(printed, -1), "$.content")
@@ -113,8 +112,8 @@ def _input_preview() -> Column:
     return (
         F.when(source.isNull(), F.lit(MISSING))
         .when(value.isNull(), _shown(source))
-        .when(is_text(value), _shown(as_text(value)))
         .when(F.size(typed) > 0, _shown(last))
+        .when(is_text(value), _shown(as_text(value)))
         .otherwise(_shown(F.get_json_object(source, "$")))
     )
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 INLINE_VALUES = 2_000
 
 
-def _chosen(df: DataFrame, column: str, chosen: DataFrame | Iterable[str]) -> tuple[DataFrame, bool]:
-    """The chosen rows, and whether the selection was empty."""
+def chosen_rows(df: DataFrame, column: str, chosen: DataFrame | Iterable[str]) -> tuple[DataFrame, bool]:
+    """The rows with a chosen value, and whether nothing was chosen."""
     if isinstance(chosen, DataFrame):
         wanted = chosen.select(F.col(column)).where(F.col(column).isNotNull())
         values = [row[0] for row in wanted.limit(INLINE_VALUES + 1).collect()]
@@ -29,13 +29,13 @@ def _chosen(df: DataFrame, column: str, chosen: DataFrame | Iterable[str]) -> tu
 
 def select_events(df: DataFrame, chosen: DataFrame | Iterable[str], *, column: str = "id") -> DataFrame:
     """The chosen events; with nothing chosen, all of them."""
-    picked, nothing = _chosen(df, column, chosen)
+    picked, nothing = chosen_rows(df, column, chosen)
     return df if nothing else picked
 
 
 def select_files(df: DataFrame, chosen: DataFrame | Iterable[str], *, column: str = "key") -> DataFrame:
     """Rows of the chosen files; with nothing chosen, none."""
-    return _chosen(df, column, chosen)[0]
+    return chosen_rows(df, column, chosen)[0]
 
 
 def scan_stats(keys: DataFrame) -> DataFrame:

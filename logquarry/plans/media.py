@@ -5,8 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.manifests import manifest
+from ..operators.selection import chosen_rows
 from ..sources.media import read_media_meta, read_one_media_meta
 
 
@@ -41,8 +43,12 @@ def media_for(
     public_uri: str | None = None,
     now: datetime | None = None,
 ) -> DataFrame:
-    """The blobs of many ``project_id, media_id`` requests at once; unknown ones give no row."""
-    found = read_media_meta(spark, root).join(requests, ["project_id", "media_id"], "left_semi")
+    """The blobs of many ``project_id, media_id`` requests at once; unknown ones give no row.
+
+    Up to a fixed number of requests, only the sidecars asked for are opened.
+    """
+    key = F.concat("project_id", F.lit("/media/"), "media_id", F.lit(".meta.json"))
+    found, _ = chosen_rows(read_media_meta(spark, root), "key", requests.select(key.alias("key")))
     return manifest(
         found, base_uri, internal_uri=internal_uri, public_uri=public_uri,
         ttl_seconds=ttl_seconds, now=now, key_col="blob_key",

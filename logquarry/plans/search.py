@@ -118,8 +118,10 @@ def search_files(
     declares more fields to read and return.
     """
     events = read_events(spark, root, project_id, is_org_admin=is_org_admin, extra=extra)
-    events = filter_files(events, project_id, is_org_admin=is_org_admin, **filters)
+    # Text first: the filters on keys choose the files before any row is read, but Spark checks
+    # them again on each row, and that way only on rows that hold the text.
     found = text(events, q, ["body", "id", "type"], wildcard=wildcard)
+    found = filter_files(found, project_id, is_org_admin=is_org_admin, **filters)
     found = found.select("id", "type", "timestamp", "body", "key", *(field.name for field in extra or []))
     if not newest_first:
         return any_rows(found, limit)

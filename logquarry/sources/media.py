@@ -11,10 +11,11 @@ from ..functions.times import parse_iso
 from ..schemas import MEDIA_META
 from .files import load_or_empty, metadata_key, tenant_folder
 
-_PLACE = r"^(.*)/media/([^/]+)\.meta\.json$"
+# Fixed value: where sidecars are.
+PLACE = r"^(.*)/media/([^/]+)\.meta\.json$"
 _GLOB_CHARACTERS = r"([\\{}\[\]*?])"
 _OUTPUT = (
-    "project_id string, media_id string, blob_key string, content_type string, content_length long, uploaded_at timestamp"
+    "key string, project_id string, media_id string, blob_key string, content_type string, content_length long, uploaded_at timestamp"
 )
 
 
@@ -29,10 +30,11 @@ def _shape(spark: SparkSession, root: str, path: str) -> DataFrame:
             .withColumn("key", metadata_key(root))
         )
         return (
-            sidecars.where(F.col("key").rlike(_PLACE))
-            .withColumn("project_id", F.regexp_extract("key", _PLACE, 1))
-            .withColumn("media_id", F.regexp_extract("key", _PLACE, 2))
+            sidecars.where(F.col("key").rlike(PLACE))
+            .withColumn("project_id", F.regexp_extract("key", PLACE, 1))
+            .withColumn("media_id", F.regexp_extract("key", PLACE, 2))
             .select(
+                "key",
                 "project_id",
                 "media_id",
                 F.concat("project_id", F.lit("/media/"), "media_id", F.lit(".bin")).alias("blob_key"),

@@ -165,7 +165,7 @@ WHERE {_READABLE} AND {_ORG1} AND trace_type = 'embedder'
 WHERE {_READABLE} AND {_ORG1} AND session_id = 'sess0033' AND trace_id = 'unknown'""",
     "scan_statistics": f"""WITH {_FILES} SELECT count(*) AS files_scanned FROM files
 WHERE {_READABLE} AND {_ORG1} AND file_ts >= TIMESTAMP '2024-01-01 02:00:00'""",
-    "read_all_events": f"WITH {_LINES} SELECT id, type, body, model, key FROM lines",
+    "read_all_events": f"WITH {_LINES} SELECT id, type, body, model, key FROM lines WHERE {_READABLE}",
     "count_broken_lines": f"""WITH {_LINES} SELECT key, count(*) AS broken FROM lines
 WHERE event_id % 97 = 0 AND {_READABLE} GROUP BY key""",
     "search_files": _file_search(

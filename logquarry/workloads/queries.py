@@ -187,9 +187,9 @@ def scan_statistics(spark, sf_dir):
 
 @query
 def read_all_events(spark, sf_dir):
-    """Every readable line of every file."""
+    """Every readable line of every batch file."""
     events = read_events(spark, views.log_root(spark, sf_dir), extra=T.StructType([T.StructField("model", T.StringType())]))
-    return events.where(F.col("id").isNotNull()).select("id", "type", "body", "model", "key")
+    return with_key_meta(events).select("id", "type", "body", "model", "key")
 
 
 @query
@@ -336,7 +336,7 @@ def manifest_files(spark, sf_dir):
 
 
 def _media_rows(df: DataFrame) -> DataFrame:
-    return df.withColumn("uploaded_at", iso_utc(F.col("uploaded_at")))
+    return df.withColumn("uploaded_at", iso_utc(F.col("uploaded_at"))).drop("key")
 
 
 @query
