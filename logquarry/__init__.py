@@ -11,12 +11,70 @@ from .operators.projections import envelope, file_rows, preview, project_events,
 from .operators.ranking import any_rows, newest
 from .operators.selection import result_count, scan_stats, select_events, select_files
 from .plans.media import media, media_for
+from .plans.named import list_source_files, locate_source_files, source_media
 from .plans.search import list_files, recent, search, search_files, search_table, search_traces
 from .sinks.exports import export_catalog, export_dataset, export_index, export_jsonl
 from .sources.files import broken_lines, list_batches, read_events, read_export_events, read_records
-from .sources.media import read_media_meta
+from .sources.media import read_media_meta, read_one_media_meta
 from .sources.registry import Source, Sources
 from .sources.tables import scan_event_table
 from .sources.traces import scan_traces
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "Source",
+    "Sources",
+    "any_rows",
+    "body_or_empty",
+    "broken_lines",
+    "clean_tenant",
+    "content_text",
+    "envelope",
+    "export_catalog",
+    "export_dataset",
+    "export_index",
+    "export_jsonl",
+    "file_rows",
+    "ids",
+    "iso_utc",
+    "json_valid",
+    "key_fields",
+    "list_batches",
+    "list_files",
+    "list_source_files",
+    "locate",
+    "locate_source_files",
+    "manifest",
+    "media",
+    "media_for",
+    "newest",
+    "owned",
+    "preset",
+    "preview",
+    "project_events",
+    "read_events",
+    "read_export_events",
+    "read_media_meta",
+    "read_one_media_meta",
+    "read_records",
+    "recent",
+    "result_count",
+    "rewrite_base",
+    "sanitize_key",
+    "scan_event_table",
+    "scan_stats",
+    "scan_traces",
+    "search",
+    "search_files",
+    "search_table",
+    "search_traces",
+    "select_events",
+    "select_files",
+    "source_media",
+    "tenant",
+    "tenant_files",
+    "text",
+    "time_range",
+    "to_messages",
+    "trace_rows",
+    "with_key_meta",
+]

@@ -83,16 +83,16 @@ def content_text(value: Column, source: Column | None = None) -> Column:
     source = F.to_json(value) if source is None else source
     printed = F.from_json(source, "array<string>")
 
-    def piece(part: Column, position: Column) -> Column:
+    def piece(part: Column, part_source: Column) -> Column:
         text, content = at(part, "$.text"), at(part, "$.content")
         return (
             F.when(truthy(text), as_text(text))
             .when(truthy(content), as_text(content))
             .when(is_text(part), F.to_json(part))
-            .otherwise(F.coalesce(F.get(printed, position), F.lit("null")))
+            .otherwise(F.coalesce(part_source, F.lit("null")))
         )
 
-    pieces = F.transform(at(value, "$", "array<variant>"), piece)
+    pieces = F.zip_with(at(value, "$", "array<variant>"), printed, piece)
     return (
         F.when(is_list(value), F.array_join(pieces, " "))
         .when(value.isNull() | (F.to_json(value) == "null"), F.lit(""))

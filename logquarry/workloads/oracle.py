@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .queries import INTERNAL, PUBLIC
-from .views import FILE_SPAN, TURNS, TYPES
+from .views import FILE_SPAN, MEMBERS, TURNS, TYPES
 
 _TYPES = "[" + ", ".join(f"'{name}'" for name in TYPES) + "]"
 _ISO = "'%Y-%m-%dT%H:%M:%S'"
@@ -44,31 +44,31 @@ _KEYS = f"""keys AS (
            ({_TYPES})[event_id % 5 + 1] AS trace_type, printf('%08x', event_id) AS input_hash
     FROM events))"""
 
-# Batch files: one per user and span of event ids, named after the first event in it.
+# Batch files: one per tenant and span of event ids, named after the first event in it.
 _FILES = f"""files AS (
   SELECT *, project_id || '/' || session_id || trace_part || '_' || trace_type || '_' || input_hash || '_'
-           || CASE WHEN user_id % 13 = 0 THEN 'notatime' ELSE strftime(first_ts, {_STAMP}) END
-           || '_u' || chunk || '.jsonl' AS key,
+           || CASE WHEN member % 13 = 0 THEN 'notatime' ELSE strftime(first_ts, {_STAMP}) END
+           || '_u' || span || '.jsonl' AS key,
          CASE WHEN trace_part = '' THEN 'unknown' ELSE substring(trace_part, 2) END AS trace_id,
          date_trunc('second', first_ts) AS file_ts,
          strftime(first_ts, {_ISO}) || '+00:00' AS "timestamp"
   FROM (
-    SELECT user_id, event_id // {FILE_SPAN} AS chunk, min(ts) AS first_ts,
-           'org' || (user_id % 4) || '/user' || user_id AS project_id,
-           'sess' || printf('%04d', user_id % 50) AS session_id,
-           CASE WHEN user_id % 7 = 0 THEN '_trace_x_' || printf('%04d', user_id)
-                WHEN user_id % 11 = 0 THEN '' ELSE '_trace' || printf('%04d', user_id) END AS trace_part,
-           ({_TYPES})[user_id % 5 + 1] AS trace_type, printf('%08x', user_id) AS input_hash
-    FROM events GROUP BY user_id, event_id // {FILE_SPAN}))"""
+    SELECT *, 'org' || (member % 4) || '/user' || member AS project_id,
+           'sess' || printf('%04d', member % 50) AS session_id,
+           CASE WHEN member % 7 = 0 THEN '_trace_x_' || printf('%04d', member)
+                WHEN member % 11 = 0 THEN '' ELSE '_trace' || printf('%04d', member) END AS trace_part,
+           ({_TYPES})[member % 5 + 1] AS trace_type, printf('%08x', member) AS input_hash
+    FROM (SELECT user_id % {MEMBERS} AS member, event_id // {FILE_SPAN} AS span, min(ts) AS first_ts
+          FROM events GROUP BY ALL)))"""
 
 _LINES = f"""{_FILES},
 lines AS (
   SELECT 'evt-' || printf('%06d', e.event_id) AS id, e.event_type AS type,
          CASE WHEN e.event_id % 19 = 0 THEN NULL ELSE e.props END AS body,
          CASE WHEN e.event_id % 23 = 0 THEN 'm' END AS model, e.event_id, f.*
-  FROM events e JOIN files f ON e.user_id = f.user_id AND e.event_id // {FILE_SPAN} = f.chunk)"""
+  FROM events e JOIN files f ON e.user_id % {MEMBERS} = f.member AND e.event_id // {FILE_SPAN} = f.span)"""
 
-_READABLE = "user_id % 13 <> 0"
+_READABLE = "member % 13 <> 0"
 _FILE_COLUMNS = 'key, session_id, trace_id, trace_type, input_hash, "timestamp"'
 
 
@@ -96,15 +96,17 @@ _SAID = f"""said AS (
 _CONVERSATION = """count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles,
        md5(string_agg(content, '|' ORDER BY turn)) AS contents"""
 
-_MEDIA = """media AS (
-  SELECT 'org' || (user_id % 4) || '/user' || user_id AS project_id, 'm' || user_id AS media_id,
-         'org' || (user_id % 4) || '/user' || user_id || '/media/m' || user_id || '.bin' AS blob_key,
-         'image/png' AS content_type, count(*) AS content_length,
-         CASE WHEN user_id % 3 <> 0 THEN
-           CASE WHEN microsecond(min(ts)) % 1000000 = 0 THEN strftime(min(ts), '%Y-%m-%dT%H:%M:%S')
-                ELSE strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' END AS uploaded_at,
-         bool_or(event_type = 'purchase') AS buyer
-  FROM events GROUP BY user_id)"""
+_MEDIA = f"""media AS (
+  SELECT *, project_id || '/media/' || media_id || '.bin' AS blob_key
+  FROM (
+    SELECT 'org' || (member % 4) || '/user' || member AS project_id, 'm' || member || '-' || span AS media_id,
+           'image/png' AS content_type, count(*) AS content_length,
+           CASE WHEN member % 3 <> 0 THEN
+             CASE WHEN microsecond(min(ts)) % 1000000 = 0 THEN strftime(min(ts), '%Y-%m-%dT%H:%M:%S')
+                  ELSE strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' END AS uploaded_at,
+           bool_or(event_type = 'purchase') AS bought
+    FROM (SELECT *, user_id % {MEMBERS} AS member, event_id // {FILE_SPAN} AS span FROM events)
+    GROUP BY member, span))"""
 _MEDIA_COLUMNS = "project_id, media_id, blob_key, content_type, content_length, uploaded_at"
 
 # A document's body as the event derived from it holds it, for text searches.
@@ -223,7 +225,7 @@ WHERE {_READABLE} AND {_ORG1} AND file_ts BETWEEN TIMESTAMP '2024-01-01' AND TIM
     "media_metadata": f"WITH {_MEDIA} SELECT {_MEDIA_COLUMNS} FROM media",
     "media_lookup": f"""WITH {_MEDIA}
 SELECT {_MEDIA_COLUMNS}, '{PUBLIC}/logs/' || blob_key AS url, '2024-01-20T00:01:30+00:00' AS url_expiry
-FROM media WHERE buyer""",
+FROM media WHERE bought""",
     "export_jsonl_roundtrip": f"""WITH {_LOG}
 SELECT event_id AS id, event_type AS type, "timestamp",
        CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.k') AS INTEGER) END AS body FROM log""",

@@ -346,13 +346,8 @@ def media_metadata(spark, sf_dir):
 
 @query
 def media_lookup(spark, sf_dir):
-    """The media of every user with a purchase; a request for an unknown id gives nothing."""
-    buyers = views.event_log(spark, sf_dir).where(F.col("event_type") == "purchase").select("project_id").distinct()
-    user = F.substring_index("project_id", "/user", -1)
-    wanted = F.explode(F.array(F.concat(F.lit("m"), user), F.lit("missing")))
-    requests = buyers.select("project_id", wanted.alias("media_id"))
     found = media_for(
-        spark, views.log_root(spark, sf_dir), requests, f"{INTERNAL}/logs",
+        spark, views.log_root(spark, sf_dir), views.media_requests(spark, sf_dir), f"{INTERNAL}/logs",
         ttl_seconds=90, internal_uri=INTERNAL, public_uri=PUBLIC, now=NOW,
     )
     return _media_rows(found)

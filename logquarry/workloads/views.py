@@ -13,7 +13,9 @@ from ..sinks.exports import TIME_FORMATS
 from . import staging
 
 TYPES = ("default", "chatbot", "qa-bot", "summarizer", "embedder")
-# A batch file holds the events of one user out of this many consecutive event ids.
+# Batch files and blobs belong to this many tenants, each holding the events of one tenant out
+# of this many consecutive event ids: a file has a bounded size and is not tiny.
+MEMBERS = 200
 FILE_SPAN = 1_000_000
 # An event holds this many consecutive turns of a conversation: the last is the answer.
 TURNS = 4
@@ -163,23 +165,28 @@ def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _user_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _member_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumns(
+        {"member": F.col("user_id") % MEMBERS, "span": F.expr(f"event_id div {FILE_SPAN}")}
+    )
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of batch files: drifting fields, broken lines and unreadable file names included."""
-    number, user = F.col("event_id"), F.col("user_id")
-    events = table(spark, sf_dir, "events").withColumn("chunk", F.expr(f"event_id div {FILE_SPAN}"))
-    same_file = Window.partitionBy("user_id", "chunk")
-    digits = F.format_string("%04d", user)
+    number, member = F.col("event_id"), F.col("member")
+    same_file = Window.partitionBy("member", "span")
+    digits = F.format_string("%04d", member)
     trace = (
-        F.when(user % 7 == 0, F.concat(F.lit("_trace_x_"), digits))
-        .when(user % 11 == 0, F.lit(""))
+        F.when(member % 7 == 0, F.concat(F.lit("_trace_x_"), digits))
+        .when(member % 11 == 0, F.lit(""))
         .otherwise(F.concat(F.lit("_trace"), digits))
     )
-    stamp = F.when(user % 13 == 0, F.lit("notatime")).otherwise(
+    stamp = F.when(member % 13 == 0, F.lit("notatime")).otherwise(
         F.date_format(F.min("ts").over(same_file), "yyyyMMdd'T'HHmmss'Z'")
     )
     key = F.concat(
-        _project(user), F.lit("/"), F.format_string("sess%04d", user % 50), trace, F.lit("_"), _type_of(user),
-        F.format_string("_%08x_", user), stamp, F.lit("_u"), F.col("chunk").cast("string"), F.lit(".jsonl"),
+        _project(member), F.lit("/"), F.format_string("sess%04d", member % 50), trace, F.lit("_"), _type_of(member),
+        F.format_string("_%08x_", member), stamp, F.format_string("_u%d.jsonl", "span"),
     )
     line = F.concat(
         F.format_string('{"id":"evt-%06d","type":"', number), "event_type", F.lit('"'),
@@ -188,17 +195,24 @@ def _user_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("}"),
         F.when(number % 97 == 0, F.lit("\nBROKEN{")).otherwise(F.lit("")),
     )
+    events = _member_events(spark, sf_dir)
     return events.select(key.alias("key"), number.alias("position"), line.alias("text"))
 
 
+def _media_ids() -> dict[str, Column]:
+    return {"project_id": _project(F.col("member")), "media_id": F.format_string("m%d-%d", "member", "span")}
+
+
 def _media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sidecar and a blob per user."""
-    user = F.col("user_id")
+    """A sidecar and a blob per tenant and span of events."""
     stored = (
-        table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))
+        _member_events(spark, sf_dir)
+        .groupBy("member", "span")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))
+        .withColumns(_media_ids())
     )
-    place = F.concat(_project(user), F.lit("/media/m"), user.cast("string"))
-    uploaded = F.when(user % 3 == 0, F.lit("")).otherwise(
+    place = F.concat("project_id", F.lit("/media/"), "media_id")
+    uploaded = F.when(F.col("member") % 3 == 0, F.lit("")).otherwise(
         F.concat(F.lit(',\n  "uploadedAt": "'), F.date_format("first", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('+00:00"'))
     )
     sidecar = F.concat(
@@ -213,12 +227,19 @@ def _media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def media_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media with a purchase among its events, and as many ids that do not exist."""
+    bought = _member_events(spark, sf_dir).where(F.col("event_type") == "purchase").select("member", "span").distinct()
+    wanted = F.explode(F.array("media_id", F.lit("missing"))).alias("media_id")
+    return bought.withColumns(_media_ids()).select("project_id", wanted)
+
+
 def _chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per chat event; every other one carries input and output without a body."""
-    number = F.col("conv_id")
+    """Batch files of chat events; every other event carries input and output without a body."""
+    number, member = F.col("conv_id"), F.col("conv_id") % 20
     key = F.format_string(
-        "org%d/user%d/sess%04d_trace%d_chatbot_%08x_20240101T000000Z_u%d.jsonl",
-        number % 4, number % 10, number % 50, number, number, F.col("chunk"),
+        "org%d/user%d/sess%04d_trace%d_chatbot_%08x_20240101T000000Z_u%d-%d.jsonl",
+        number % 4, member, member, member, member, F.expr("conv_id div 10000"), F.expr("chunk div 1000"),
     )
     content = F.concat(F.lit('"input":'), "input", F.lit(',"output":'), "output")
     line = F.concat(
@@ -226,7 +247,7 @@ def _chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 2 == 0, F.concat(F.lit('"body":{'), content, F.lit("}"))).otherwise(content),
         F.lit("}"),
     )
-    return chat_events(spark, sf_dir).select(key.alias("key"), F.lit(0).cast("bigint").alias("position"), line.alias("text"))
+    return chat_events(spark, sf_dir).select(key.alias("key"), number.alias("position"), line.alias("text"))
 
 
 _roots: dict[tuple[str, str, str], str] = {}
@@ -243,17 +264,17 @@ def _once(spark: SparkSession, sf_dir: str, label: str, build) -> str:
 
 
 def log_root(spark: SparkSession, sf_dir: str) -> str:
-    """A root with the batch and media files of all users."""
+    """A root with the batch and media files of all tenants."""
 
     def build(root: str) -> None:
-        staging.write_named_files(_user_files(spark, sf_dir), root)
+        staging.write_named_files(_event_files(spark, sf_dir), root)
         staging.write_named_files(_media_files(spark, sf_dir), root)
 
     return _once(spark, sf_dir, "logs", build)
 
 
 def chat_root(spark: SparkSession, sf_dir: str) -> str:
-    """A root with one batch file per chat event."""
+    """A root with the batch files of chat events."""
     return _once(spark, sf_dir, "chats", lambda root: staging.write_named_files(_chat_files(spark, sf_dir), root))
 
 

@@ -225,3 +225,19 @@ def test_media(spark, put):
         one("../../c/media/m1")
     requests = spark.createDataFrame([("a/b", "m1"), ("a/c", "m1"), ("a/c", "m1"), ("a/c", "m7")], "project_id string, media_id string")
     assert lq.media_for(spark, root, requests, "s3a://b").count() == 2
+
+
+def test_named_file_sources(spark, root):
+    lake = lq.Source("lake", "files", root=root, base_uri="http://in/b", internal_uri="http://in", public_uri="https://out")
+    assert keys(lq.list_source_files(spark, lake, "org/alice", session_id="sessB")) == [B1]
+    day = {"start": "2026-03-01T14:00:00", "end": "2026-03-01T14:00:00"}
+    [row] = lq.list_source_files(spark, lake, "org/alice", with_uri=True, **day).collect()
+    assert row["url"] == f"https://out/b/{B1}"
+    with pytest.raises(ValueError):
+        lq.list_source_files(spark, lake, "org/alice", with_uri=True, start="2026-03-01")
+    wanted = spark.createDataFrame([(A1,), (OTHER,)], "key string")
+    assert keys(lq.locate_source_files(lake, wanted, "org/alice")) == [A1]
+    [row] = lq.source_media(spark, lake, "org/alice", "m1").collect()
+    assert (row["url"], row["content_length"]) == ("https://out/b/org/alice/media/m1.bin", 5)
+    with pytest.raises(ValueError):
+        lq.list_source_files(spark, lq.Source("t", "table"), "org/alice")
