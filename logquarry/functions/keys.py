@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY_FIELDS = ("session_id", "trace_id", "trace_type", "input_hash", "timestamp")
-
 # The shape of a usable key, and the label of a key that has no trace id. The
 # mark in front makes sure that a key of another shape cannot itself pass for a time.
 _PART = "[^/_]*"

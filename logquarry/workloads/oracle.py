@@ -84,8 +84,11 @@ _TRACES = f"""traces AS (
          'sess' || printf('%04d', event_id % 50) AS session_id,
          CASE WHEN event_id % 23 <> 0 THEN ({_TYPES})[event_id % 5 + 1] END AS name,
          '{{"input":' || props || ',"output":null,"metadata":{{"k":"' || event_type || '"}}}}' AS body,
-         event_type AS tags, value AS latency, round(value / 100, 4) AS total_cost
+         event_type AS tags, value AS latency, round(value / 100, 4) AS total_cost,
+         'org' || (user_id % 4) || '/user' || user_id AS project_id
   FROM events)"""
+_TRACE_ISO = """CASE WHEN microsecond("timestamp") % 1000000 = 0 THEN strftime("timestamp", '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS "timestamp\""""
 _TRACE_COLUMNS = 'id, type, "timestamp", session_id, name, body, tags, latency, total_cost'
 
 _SAID = f"""said AS (
@@ -196,8 +199,7 @@ WHERE name = 'summarizer' AND contains(lower(body || coalesce(name, '')), '"k":
     "trace_mapping": f"""WITH {_TRACES}
 SELECT id, type, id AS trace_id, session_id, name, body, tags AS tag, latency, total_cost FROM traces""",
     "landed_traces": f"""WITH {_TRACES}
-SELECT id, CASE WHEN microsecond("timestamp") % 1000000 = 0 THEN strftime("timestamp", '%Y-%m-%dT%H:%M:%S')
-                ELSE strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS "timestamp",
+SELECT id, {_TRACE_ISO},
        name, replace(body, '": ', '":') AS body, total_cost FROM traces""",
     "chat_dataset": f"""WITH {_SAID}
 SELECT conv_id, chunk, {_CONVERSATION} FROM said GROUP BY conv_id, chunk HAVING count(*) >= 2""",
@@ -236,4 +238,33 @@ SELECT id, type, CAST(json_extract(body, '$.k') AS INTEGER) AS body, model FROM
 SELECT 's3a://logs/' || key AS url FROM files WHERE {_READABLE} AND {_ORG1}""",
     "export_dataset_roundtrip": f"""WITH {_SAID}
 SELECT {_CONVERSATION} FROM said GROUP BY conv_id, chunk HAVING count(*) >= 2""",
+    "search_partitioned_table": _table_search(
+        f"""{_ORG1} AND "timestamp" >= TIMESTAMP '2024-01-11 18:00:00' AND "timestamp" <= TIMESTAMP '2024-01-14'
+  AND body ILIKE '%"k": 1%'""",
+        500,
+    ),
+    "search_source_table": _table_search(f"""{_ORG1} AND body LIKE '%{{"k": 2%%'""", 500),
+    "millisecond_times": """SELECT 'evt-' || printf('%06d', event_id) AS event_id,
+       CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS "timestamp",
+       CASE WHEN millisecond(ts) % 1000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS milliseconds
+FROM events""",
+    "search_source_files": _file_search(
+        "starts_with(project_id, 'org3/') AND (body ILIKE '%err_r%' OR id ILIKE '%err_r%' OR type ILIKE '%err_r%')", 500
+    ),
+    "strict_events": f"""SELECT DISTINCT conv_id || '-' || turn // {TURNS} AS id,
+       'org' || conv_id % 4 || '/user' || conv_id % 20 || '/sess' || printf('%04d', conv_id % 20) || '_trace'
+         || conv_id % 20 || '_chatbot_' || printf('%08x', conv_id % 20) || '_20240101T000000Z_u'
+         || conv_id // 10000 || '-' || turn // {TURNS} // 1000 || '.jsonl' AS key
+FROM conversations""",
+    "search_source_traces": f"""WITH {_TRACES}
+SELECT id, {_TRACE_ISO}, name, replace(body, '": ', '":') AS body
+FROM (SELECT * FROM traces WHERE starts_with(project_id, 'org1/') AND contains(lower(body || coalesce(name, '')), 'signup')
+      ORDER BY traces."timestamp" DESC, id LIMIT 500)""",
+    "media_of_source": f"""WITH {_MEDIA}
+SELECT {_MEDIA_COLUMNS}, '{PUBLIC}/logs/' || blob_key AS url, '2024-01-20T00:01:30+00:00' AS url_expiry
+FROM media WHERE project_id = 'org1/user5' AND media_id = 'm5-0'""",
+    "located_source_files": f"""WITH {_FILES} SELECT key, 's3a://logs/' || key AS url FROM files
+WHERE {_READABLE} AND project_id = 'org1/user9' AND file_ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'""",
 }

@@ -34,7 +34,7 @@ def write_named_files(lines: DataFrame, root: str) -> None:
         from pyarrow import fs
 
         if "://" in root:
-            files, base = fs.FileSystem.from_uri(root)
+            files, base = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
         else:
             files, base = fs.LocalFileSystem(), root.removeprefix("file:")
         current, stream = None, None

@@ -287,3 +287,13 @@ def trace_root(spark: SparkSession, sf_dir: str) -> str:
         records.withColumns(free_form).write.options(**TIME_FORMATS).json(root)
 
     return _once(spark, sf_dir, "traces", build)
+
+
+def event_table_root(spark: SparkSession, sf_dir: str) -> str:
+    """The wide event table as Parquet, laid out by org and day."""
+
+    def build(root: str) -> None:
+        layout = {"org": F.substring_index("project_id", "/", 1), "day": F.to_date("timestamp")}
+        event_log(spark, sf_dir).withColumns(layout).write.partitionBy(*layout).parquet(root)
+
+    return _once(spark, sf_dir, "events", build)

@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
+pytestmark = pytest.mark.skipif(not Path(entry.SMOKE_DATA).exists(), reason="no test tables")
 TABLES = "events documents conversations".split()
 
 
