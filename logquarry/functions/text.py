@@ -41,7 +41,8 @@ def sanitize_key(raw: Column) -> Column:
 def clean_tenant(spark: SparkSession, raw: str) -> str:
     """``sanitize_key`` for one value; an empty result is an error."""
     # An inline row: the optimizer computes the result itself, no job is started.
-    clean = spark.sql("SELECT * FROM VALUES (:raw) AS t(raw)", args={"raw": raw}).select(sanitize_key(F.col("raw"))).head()[0]
+    row = spark.sql("SELECT * FROM VALUES (:raw) AS t(raw)", args={"raw": raw})
+    clean = row.select(sanitize_key(F.col("raw"))).head()[0]
     if clean is None:
         raise ValueError("tenant key is empty after clean-up")
     return clean

@@ -169,7 +169,9 @@ def search_traces(
     return trace_rows(newest(df, check_limit(limit), ties=("id",)))
 
 
-def search(spark: SparkSession, source: Source, q: str, project_id: str, *, limit: int = SEARCH_LIMIT, **filters) -> DataFrame:
+def search(
+    spark: SparkSession, source: Source, q: str, project_id: str, *, limit: int = SEARCH_LIMIT, **filters
+) -> DataFrame:
     """Search one named source, whatever its kind."""
     if not q:
         raise ValueError("the query must not be empty; use '*' to match everything")

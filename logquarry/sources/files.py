@@ -73,7 +73,10 @@ def load_or_empty(spark: SparkSession, load: Callable[[], DataFrame], schema: T.
 def list_batches(
     spark: SparkSession, root: str, project_id: str | None = None, *, is_org_admin: bool = False
 ) -> DataFrame:
-    """All objects below the root or below one tenant: ``key, length, modified``. Nothing is opened."""
+    """All objects below the root or below one tenant: ``key, length, modified``.
+
+    Nothing is opened, and objects that a filter on the key rules out are not even looked up.
+    """
     folder = tenant_folder(root, project_id, is_org_admin)
 
     def load() -> DataFrame:
@@ -81,7 +84,11 @@ def list_batches(
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .load(folder)
-            .select(key_below(root, F.col("path")).alias("key"), "length", F.col("modificationTime").alias("modified"))
+            .select(
+                metadata_key(root).alias("key"),
+                F.col("_metadata.file_size").alias("length"),
+                F.col("_metadata.file_modification_time").alias("modified"),
+            )
         )
 
     return load_or_empty(spark, load, "key string, length long, modified timestamp")

@@ -15,7 +15,8 @@ from .files import load_or_empty, metadata_key, tenant_folder
 PLACE = r"^(.*)/media/([^/]+)\.meta\.json$"
 _GLOB_CHARACTERS = r"([\\{}\[\]*?])"
 _OUTPUT = (
-    "key string, project_id string, media_id string, blob_key string, content_type string, content_length long, uploaded_at timestamp"
+    "key string, project_id string, media_id string, blob_key string, "
+    "content_type string, content_length long, uploaded_at timestamp"
 )
 
 

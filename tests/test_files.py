@@ -139,6 +139,8 @@ def test_only_matching_files_are_opened(spark, root):
     assert files_read(lq.search_files(spark, root, "*", "org/alice", session_id="sessA", trace_id="tr2")) == 1
     assert files_read(lq.search_files(spark, root, "*", "org/alice", start="2026-03-01T12:00:00")) == 2
     assert files_read(lq.select_files(lq.read_events(spark, root), [A1, B1])) == 2
+    assert files_read(lq.list_files(spark, root, "org/alice")) == 4
+    assert files_read(lq.list_files(spark, root, "org/alice", session_id="sessB")) == 1
     assert "TakeOrderedAndProject" in plan_of(everything)
     assert "Python" not in plan_of(everything)
 

@@ -63,6 +63,8 @@ def test_pushdown_and_partition_pruning(spark, events, tmp_path):
     assert "org#" in partitions and "day#" in partitions
     assert "model" not in pushed[pushed.index("ReadSchema") :]
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "Python" not in plan
+    below_limit = plan[plan.index("TakeOrderedAndProject") :].partition("\n")[2]
+    assert "from_json" not in below_limit
     admin = plan_of(lq.search_table(table, "*", "org/a", is_org_admin=True))
     assert "StringStartsWith(project_id,org/)" in admin
 
