@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +86,15 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(spark: SparkSession) -> int:
     """How many partitions a shuffle has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_workers(spark: SparkSession) -> None:
+    """Let local Python workers import this package from where the driver has it.
+
+    On a cluster it is installed, or sent with ``--py-files``, as any other package.
+    """
+    context = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[2])
+    known = context.environment.get("PYTHONPATH", "")
+    if context.master.startswith("local[") and root not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
