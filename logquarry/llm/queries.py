@@ -12,7 +12,9 @@ from . import oracle
 from .bpe import bpe_decode, bpe_encode
 from .common import documents, text_or_empty
 from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .quality import quality_rules
+from .sharding import shard_documents
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,11 +47,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir), with_text=False)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_sharding": op8_sharding,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE: dict[str, str] = {"op1_line_dedup": oracle.LINE_DEDUP}
