@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from . import oracle
 from .bpe import bpe_decode, bpe_encode
 from .common import documents, text_or_empty
+from .fingerprints import edited_fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality import quality_rules
 from .sharding import shard_documents
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = edited_fingerprints(documents(spark, sf_dir))
+    return marked.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -57,12 +64,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_fingerprints": op4_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_source_mix": op10_source_mix,
 }
 
