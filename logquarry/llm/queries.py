@@ -12,6 +12,7 @@ from . import oracle
 from .bpe import bpe_decode, bpe_encode
 from .common import documents, text_or_empty
 from .fingerprints import edited_fingerprints
+from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality import quality_rules
@@ -33,6 +34,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join(documents(spark, sf_dir))
+    return joined.select("doc_id", "class_id", "n_links", "representative")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = edited_fingerprints(documents(spark, sf_dir))
     return marked.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
@@ -71,6 +77,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_fingerprints": op4_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_counts": op7_token_counts,
