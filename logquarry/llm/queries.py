@@ -17,6 +17,7 @@ from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality import quality_rules
 from .sharding import shard_documents
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
@@ -56,6 +57,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_fingerprints": op4_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
