@@ -19,7 +19,7 @@ from .common import column, in_workers, text_or_empty
 
 # Bounds of what a worker remembers. When one is reached that table starts anew; results do not change.
 MAX_STATES = 100_000
-MAX_KNOWN = 200_000
+MAX_KNOWN = 150_000
 # A blank between white space: only there does the pattern look across a blank.
 OPEN_BLANK = re.compile(r"\s (?:\s|$)")
 ROWS_AT_ONCE = 128
@@ -35,10 +35,10 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
 class Transducer:
     """Reads a piece byte by byte and emits ranks as soon as no later byte can change them.
 
-    A state holds the bytes that are not settled yet and, for each prefix of them, the last token of
-    that prefix's encoding. A further byte adds one such token: the only one that ends there and whose
-    pair with the token before it would itself be encoded as that pair. A boundary can still matter only while the
-    bytes behind it start some longer token; what all paths from such boundaries share is emitted.
+    A state holds the bytes that are not settled yet and the boundaries among them that may still matter: the end,
+    and those behind which the bytes start some longer token. Each has the ranks that lead to it. A
+    further byte adds one boundary, reached by the only token that ends there and whose pair with the token before it
+    would itself be encoded as that pair. Ranks that all boundaries have in common are settled and emitted.
     Token lengths bound that lookahead. States and moves are made when first met.
     """
 
@@ -51,42 +51,43 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # Last settled token, open bytes, last token of each of their prefixes, boundaries that may still matter.
-        start = (None, b"", (), (0,))
+        # Last settled rank (-1 where it cannot matter), open bytes, boundaries with the ranks that lead to them.
+        start = (None, b"", ((0, ()),))
         self.number: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merged(self, data: bytes, below: int | None = None) -> list[bytes]:
-        """Plain merging, lowest rank first; only ranks under ``below`` count if that is given."""
+    def merged(self, data: bytes, below: int) -> list[bytes]:
+        """Plain merging, lowest rank first, with ranks under ``below``."""
         parts = [data[at : at + 1] for at in range(len(data))]
         while len(parts) > 1:
-            options = ((self.ranks.get(a + b), at) for at, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            found = [(rank, at) for rank, at in options if rank is not None and (below is None or rank < below)]
-            if not found:
+            options = ((self.ranks.get(a + b, below), at) for at, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            rank, at = min(options)
+            if rank >= below:
                 break
-            _, at = min(found)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
     def split(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes this one; None for a token that merging never makes or a byte."""
+        """The two tokens whose merge makes this one; None for a byte, or a token that merging never makes."""
         if token not in self.halves:
-            parts = self.merged(self.bytes_of[token], below=token)
+            parts = self.merged(self.bytes_of[token], token)
             self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
         return self.halves[token]
 
-    def stands(self, left: int, right: int) -> bool:
-        """Whether the bytes of the two tokens are encoded as just these two.
+    def stands(self, left: int | None, right: int) -> bool:
+        """Whether the bytes of the two tokens are encoded as just these two; left may be nothing.
 
         The merges on either side of the border are taken back from the latest on. If some step shows a pair across
         the border that would have merged before the part it breaks, the two tokens do not stand.
         """
-        key = (left, right)
-        if key in self.pairs:
-            return self.pairs[key]
+        known = self.pairs.get((left, right))
+        if known is not None:
+            return known
         a, b, before = left, right, len(self.ranks) + 1
-        answer = None
+        answer = None if len(self.bytes_of[right]) == 1 or self.split(right) is not None else False
+        if left is None and answer is None:
+            answer = True
         while answer is None:
             across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
             if across is not None and across < before:
@@ -100,88 +101,73 @@ class Transducer:
             else:
                 # On the right a pair across the border comes first in the text, so it wins a tie.
                 b, before = of_b[0], b + 1
-        if len(self.pairs) > 4 * MAX_STATES:
+        if len(self.pairs) > 2 * MAX_STATES:
             self.pairs.clear()
-        self.pairs[key] = answer
+        self.pairs[left, right] = answer
         return answer
 
-    def whole(self, token: int) -> bool:
-        """Whether merging the token's bytes gives the token."""
-        return len(self.bytes_of[token]) == 1 or self.split(token) is not None
-
-    def _path(self, lasts: tuple[int, ...], end: int) -> list[int]:
-        """Where the tokens of the prefix up to ``end`` end, from the last one on."""
-        ends = []
-        while end:
-            ends.append(end)
-            end -= len(self.bytes_of[lasts[end - 1]])
-        return ends
-
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, data, lasts, opened = self.states[state]
+        before, data, opened = self.states[state]
         data = data + bytes((byte,))
-        for start in opened:
+        for start, path in opened:
             token = self.ranks.get(data[start:])
-            if token is None or not self.whole(token):
-                continue
-            previous = lasts[start - 1] if start else before
-            if previous is None or self.stands(previous, token):
+            if token is not None and self.stands(path[-1] if path else before, token):
                 break
         else:
             raise ValueError("the ranks must hold every single byte")
-        lasts = (*lasts, token)
-        opened = (*(start for start in opened if data[start:] in self.starts), len(data))
-        # The end is always open; where its path meets those of the other open boundaries all is settled.
-        shared = self._path(lasts, len(data))
-        for start in opened[:-1]:
-            path = self._path(lasts, start)
-            shared = [end for end in shared if end in path]
-        emitted: tuple[int, ...] = ()
-        if shared:
-            settled = shared[0]
-            emitted = tuple(lasts[end - 1] for end in reversed(self._path(lasts, settled)))
-            before, data, lasts = lasts[settled - 1], data[settled:], lasts[settled:]
-            opened = tuple(start - settled for start in opened)
-        key = (before, data, lasts, opened)
+        whole = (*path, token)
+        kept = [(start, path) for start, path in opened if data[start:] in self.starts]
+        common = len(whole)
+        for _, path in kept:
+            common = min(common, len(path))
+            while path[:common] != whole[:common]:
+                common -= 1
+        kept.append((len(data), whole))
+        emitted = whole[:common]
+        if emitted:
+            size = sum(len(self.bytes_of[rank]) for rank in emitted)
+            before, data = emitted[-1], data[size:]
+            kept = [(start - size, path[common:]) for start, path in kept]
+        if kept[0][0]:
+            before = -1
+        key = (before, data, tuple(kept))
         target = self.number.get(key)
         if target is None:
             target = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = move = (target, emitted)
+        self.moves[state << 8 | byte] = move = (target, emitted)
         return move
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ranks of one piece."""
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, ids = 0, []
+        state, ids, moves = 0, (), self.moves
         for byte in piece:
-            move = self.moves[state].get(byte)
-            if move is None:
-                move = self._move(state, byte)
-            state, emitted = move
-            if emitted:
-                ids.extend(emitted)
-        _, data, lasts, _ = self.states[state]
-        ids.extend(lasts[end - 1] for end in reversed(self._path(lasts, len(data))))
-        return ids
+            move = moves.get(state << 8 | byte) or self._move(state, byte)
+            state = move[0]
+            if move[1]:
+                ids += move[1]
+        return ids + self.states[state][2][-1][1]
 
     def encode_text(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.encode(piece.encode()))
+        return self.encode(piece.encode())
 
 
 class Known(dict):
-    """Ids by text, worked out when first asked for; long texts are not kept."""
+    """Ids by text, worked out when first asked for; what is not asked for again is forgotten in time."""
 
     def __init__(self, encode: Callable[[str], tuple[int, ...]]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.encode(text)
         if len(self) >= MAX_KNOWN:
+            self.older = dict(self)
             self.clear()
-        ids = self.encode(text)
         if len(text) < 64:
             self[text] = ids
         return ids
@@ -194,8 +180,14 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.pieces = Known(self.transducer.encode_text)
-        self.after_blank = Known(lambda word: tuple(self.encode_pieces(" " + word)))
-        self.at_start = Known(lambda word: tuple(self.encode_pieces(word)))
+        self.after_blank = Known(lambda word: self.encode_chunk(" " + word))
+        self.at_start = Known(self.encode_chunk)
+
+    def encode_chunk(self, text: str) -> tuple[int, ...]:
+        matches = self.pattern.findall(text)
+        if len(matches) == 1:
+            return self.transducer.encode_text(text)
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, matches)))
 
     def encode_pieces(self, text: str) -> Iterator[int]:
         return chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -98,3 +99,12 @@ def in_workers(spark: SparkSession) -> None:
     known = context.environment.get("PYTHONPATH", "")
     if context.master.startswith("local[") and root not in known.split(os.pathsep):
         context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table of their own in the shared folder."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
