@@ -15,7 +15,7 @@ from .plans.named import list_source_files, locate_source_files, source_media
 from .plans.search import list_files, recent, search, search_files, search_table, search_traces
 from .sinks.exports import export_catalog, export_dataset, export_index, export_jsonl
 from .sources.files import broken_lines, list_batches, read_events, read_export_events, read_records
-from .sources.media import read_media_meta, read_one_media_meta
+from .sources.media import read_media_meta, read_media_of, read_one_media_meta
 from .sources.registry import Source, Sources
 from .sources.tables import scan_event_table
 from .sources.traces import scan_traces
@@ -54,6 +54,7 @@ __all__ = [
     "read_events",
     "read_export_events",
     "read_media_meta",
+    "read_media_of",
     "read_one_media_meta",
     "read_records",
     "recent",

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 # Closes the wrapping array, so that text after the first JSON value makes the parse fail.
 _END = "~end~"
-# JSON texts a script treats as "nothing": absent, false, empty text, zero.
-_FALSY = '^(null|false|""|-?0(\\.0*)?([eE][+-]?[0-9]+)?)$'
 
 
 def _wrapped(text: Column) -> Column:
@@ -34,8 +32,10 @@ def with_variant(df: DataFrame, name: str, text: Column) -> DataFrame:
     """Add ``name``: the text parsed to VARIANT, or null unless it is exactly one JSON value.
 
     Two projections: the first parses, the second looks at the result twice. Spark keeps them
-    apart because the parse is costly, so every text is parsed once.
+    apart because the parse is costly, so every text is parsed once. Text that is JSON but repeats a key is
+    an error unless ``spark.sql.variant.allowDuplicateKeys`` is set, which keeps the last value.
     """
+    lost = F.concat(F.lit("JSON repeats a key; set spark.sql.variant.allowDuplicateKeys: "), F.left(text, F.lit(200)))
     raw = f"_{name}_wrapped"
     return (
         df.withColumn(raw, F.try_parse_json(_wrapped(text)))
@@ -44,7 +44,7 @@ def with_variant(df: DataFrame, name: str, text: Column) -> DataFrame:
             F.when(
                 F.try_variant_get(raw, "$[1]", "string") == _END,
                 F.try_variant_get(raw, "$[0]", "variant"),
-            ),
+            ).when(F.col(raw).isNull() & json_valid(text), F.raise_error(lost).cast("variant")),
         )
         .drop(raw)
     )
@@ -56,18 +56,31 @@ def at(value: Column, path: str, kind: str = "variant") -> Column:
 
 
 def truthy(value: Column) -> Column:
-    """Whether a script would take the VARIANT for true; null is false."""
-    return F.coalesce(~F.to_json(value).rlike(_FALSY), F.lit(False))
+    """Whether a script would take the VARIANT for true; null is false.
+
+    Lists and objects are true, text unless it is empty, numbers unless they are zero. Nothing is printed.
+    """
+    number = at(value, "$", "double")
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), F.lit(False))
+        .when(is_list(value) | is_object(value), F.lit(True))
+        .when(is_text(value), as_text(value) != "")
+        .otherwise(F.coalesce(number != 0, F.lit(True)))
+    )
 
 
 def is_text(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.to_json(value), F.lit('"')), F.lit(False))
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def is_list(value: Column) -> Column:
     return at(value, "$", "array<variant>").isNotNull()
 
 
+def is_object(value: Column) -> Column:
+    return at(value, "$", "map<string,variant>").isNotNull()
+
+
 def as_text(value: Column) -> Column:
     """A VARIANT string without quotes; other values as JSON text."""
     return at(value, "$", "string")
@@ -95,7 +108,7 @@ def content_text(value: Column, source: Column | None = None) -> Column:
     pieces = F.zip_with(at(value, "$", "array<variant>"), printed, piece)
     return (
         F.when(is_list(value), F.array_join(pieces, " "))
-        .when(value.isNull() | (F.to_json(value) == "null"), F.lit(""))
+        .when(value.isNull() | F.is_variant_null(value), F.lit(""))
         .when(is_text(value), as_text(value))
         .otherwise(source)
     )

@@ -43,7 +43,7 @@ def preset(name: str, now: datetime | None = None) -> tuple[datetime | None, dat
 def comparable(df: DataFrame, column: str) -> Column:
     """The column in a form that ``bound_literal`` can be compared with."""
     if isinstance(df.schema[column].dataType, T.StringType):
-        return F.col(column).try_cast("timestamp")
+        return parse_iso(F.col(column))
     return F.col(column)
 
 
@@ -87,5 +87,18 @@ def expiry(ttl_seconds: int, now: datetime | None = None) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO text to an instant; null or unreadable text gives null."""
-    return text.try_cast("timestamp")
+    """ISO text to an instant; null or unreadable text gives null. Without an offset it is UTC, whatever the session."""
+    offset = F.rlike(text, F.lit("[0-9][T ].*([Zz]|[+-][0-9]{1,2}(:?[0-9]{2})?)$"))
+    timed = F.rlike(text, F.lit("[0-9][T ][0-9]"))
+    return (
+        F.when(offset, text.try_cast("timestamp"))
+        .when(timed, F.concat(text, F.lit("Z")).try_cast("timestamp"))
+        .otherwise(F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp"))
+    )
+
+
+def require_iso(text: Column) -> Column:
+    """As ``parse_iso``, but text that is there and cannot be read is an error."""
+    instant = parse_iso(text)
+    wrong = text.isNotNull() & instant.isNull()
+    return F.when(wrong, F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp")).otherwise(instant)

@@ -7,35 +7,36 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many chosen values travel inside the query, where they let the reader skip files
-# and row groups. A larger selection is joined, and Spark decides how from its actual size.
-INLINE_VALUES = 2_000
 
+def chosen_rows(df: DataFrame, column: str, chosen: DataFrame | Iterable[str]) -> DataFrame:
+    """The rows with a chosen value, in the columns of ``df``.
 
-def chosen_rows(df: DataFrame, column: str, chosen: DataFrame | Iterable[str]) -> tuple[DataFrame, bool]:
-    """The rows with a chosen value, and whether nothing was chosen."""
-    if isinstance(chosen, DataFrame):
-        wanted = chosen.select(F.col(column)).where(F.col(column).isNotNull())
-        values = [row[0] for row in wanted.limit(INLINE_VALUES + 1).collect()]
-    else:
-        values = list(chosen)
-        wanted = None
-    if len(values) <= INLINE_VALUES:
-        return df.where(F.col(column).isin(values)), not values
-    if wanted is None:
-        wanted = df.sparkSession.createDataFrame([(value,) for value in values], f"{column} string")
-    return df.join(wanted, column, "left_semi"), False
+    Values in a list travel inside the query, where they let the reader skip files and row groups. A DataFrame of
+    them is joined, and nothing of it is collected. How many there are plays no part.
+    """
+    if not isinstance(chosen, DataFrame):
+        return df.where(F.col(column).isin(list(chosen)))
+    wanted = chosen.select(F.col(column).alias("_chosen"))
+    return df.join(wanted, F.col(column) == F.col("_chosen"), "left_semi")
 
 
-def select_events(df: DataFrame, chosen: DataFrame | Iterable[str], *, column: str = "id") -> DataFrame:
-    """The chosen events; with nothing chosen, all of them."""
-    picked, nothing = chosen_rows(df, column, chosen)
-    return df if nothing else picked
+def select_events(df: DataFrame, chosen: DataFrame | Iterable[str] | None, *, column: str = "id") -> DataFrame:
+    """The chosen events; with nothing chosen (None, or an empty list or table), all of them."""
+    if chosen is None:
+        return df
+    if isinstance(chosen, DataFrame):
+        # One row that says whether anything was chosen.
+        none = chosen.where(F.col(column).isNotNull()).agg((F.count(F.lit(1)) == 0).alias("_none"))
+        wanted = chosen.select(F.col(column).alias("_chosen"))
+        picked = df.join(wanted, F.col(column) == F.col("_chosen"), "left_semi")
+        return picked.unionByName(df.where(none.scalar()))
+    chosen = list(chosen)
+    return chosen_rows(df, column, chosen) if chosen else df
 
 
 def select_files(df: DataFrame, chosen: DataFrame | Iterable[str], *, column: str = "key") -> DataFrame:
     """Rows of the chosen files; with nothing chosen, none."""
-    return chosen_rows(df, column, chosen)[0]
+    return chosen_rows(df, column, chosen)
 
 
 def scan_stats(keys: DataFrame) -> DataFrame:

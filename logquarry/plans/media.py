@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.manifests import manifest
 from ..operators.selection import chosen_rows
-from ..sources.media import read_media_meta, read_one_media_meta
+from ..sources.media import read_media_of, read_one_media_meta
 
 
 def media(
@@ -45,10 +45,11 @@ def media_for(
 ) -> DataFrame:
     """The blobs of many ``project_id, media_id`` requests at once; unknown ones give no row.
 
-    Up to a fixed number of requests, only the sidecars asked for are opened.
+    Only the media folders of the requested tenants are listed; their names pass the driver, one per tenant.
     """
     key = F.concat("project_id", F.lit("/media/"), "media_id", F.lit(".meta.json"))
-    found, _ = chosen_rows(read_media_meta(spark, root), "key", requests.select(key.alias("key")))
+    tenants = [row[0] for row in requests.select("project_id").where("project_id is not null").distinct().collect()]
+    found = chosen_rows(read_media_of(spark, root, tenants), "key", requests.select(key.alias("key")))
     return manifest(
         found, base_uri, internal_uri=internal_uri, public_uri=public_uri,
         ttl_seconds=ttl_seconds, now=now, key_col="blob_key",

@@ -54,20 +54,21 @@ def search_table(
     q: str | None,
     project_id: str,
     *,
-    limit: int = SEARCH_LIMIT,
+    limit: int | None = SEARCH_LIMIT,
     case: bool = False,
     wildcard: bool = True,
     **filters,
 ) -> DataFrame:
     """Full-text search on an event table, newest first, as result envelopes.
 
-    The rows are ranked before the bodies are checked, so only returned bodies are parsed.
+    The rows are ranked before the bodies are checked, so only returned bodies are parsed. ``limit=None`` returns
+    all matches, in no order.
     """
     found = text(filter_table(df, project_id, **filters), q, ["body"], case=case, wildcard=wildcard)
     return envelope(newest(project_events(found), limit))
 
 
-def recent(df: DataFrame, project_id: str, *, limit: int = RECENT_LIMIT, **filters) -> DataFrame:
+def recent(df: DataFrame, project_id: str, *, limit: int | None = RECENT_LIMIT, **filters) -> DataFrame:
     """The newest events of a tenant."""
     return search_table(df, "*", project_id, limit=limit, **filters)
 
@@ -91,10 +92,22 @@ def filter_files(
 
 
 def list_files(
-    spark: SparkSession, root: str, project_id: str, *, is_org_admin: bool = False, **filters
+    spark: SparkSession,
+    root: str,
+    project_id: str,
+    *,
+    is_org_admin: bool = False,
+    inventory: DataFrame | None = None,
+    **filters,
 ) -> DataFrame:
-    """Batch files of a tenant with the metadata their names carry. No file is opened."""
-    keys = list_batches(spark, root, project_id, is_org_admin=is_org_admin).select("key")
+    """Batch files of a tenant with the metadata their names carry. No file is opened.
+
+    ``inventory`` is a table with a ``key`` column, such as a stored result of ``list_batches``. It takes the place
+    of the listing, which Spark holds on the driver, and is filtered like any table.
+    """
+    if inventory is None:
+        inventory = list_batches(spark, root, project_id, is_org_admin=is_org_admin)
+    keys = inventory.select("key")
     return file_rows(filter_files(keys, project_id, is_org_admin=is_org_admin, **filters))
 
 
@@ -105,7 +118,7 @@ def search_files(
     project_id: str,
     *,
     is_org_admin: bool = False,
-    limit: int = FILE_SEARCH_LIMIT,
+    limit: int | None = FILE_SEARCH_LIMIT,
     newest_first: bool = True,
     extra: T.StructType | None = None,
     wildcard: bool = True,
@@ -114,15 +127,21 @@ def search_files(
     """Full-text search in body, id and type of the events in the tenant's batch files.
 
     Files ruled out by their names are never opened. Results come newest file first; with
-    ``newest_first=False`` they come in any order and collecting them stops early. ``extra``
-    declares more fields to read and return.
+    ``newest_first=False`` they come in any order and collecting them stops early; ``limit=None`` returns all.
+    ``extra`` declares more fields of the events to read. Those named like a column of the result (``timestamp``
+    is the file's) come back as ``event_...``.
     """
-    events = read_events(spark, root, project_id, is_org_admin=is_org_admin, extra=extra)
+    extra = extra or T.StructType([])
+    shown = {f.name: f"event_{f.name}" if f.name in ("timestamp", "key") else f.name for f in extra}
+    events = read_events(spark, root, project_id, is_org_admin=is_org_admin, extra=extra, check_keys=False)
+    # In a struct of their own the event's fields cannot meet those of the file's name.
+    own = F.struct(*(F.col(name).alias(shown[name]) for name in shown)) if shown else F.lit("")
+    events = events.select("id", "type", "body", "key", own.alias("_own"))
     # Text first: the filters on keys choose the files before any row is read, but Spark checks
     # them again on each row, and that way only on rows that hold the text.
     found = text(events, q, ["body", "id", "type"], wildcard=wildcard)
     found = filter_files(found, project_id, is_org_admin=is_org_admin, **filters)
-    found = found.select("id", "type", "timestamp", "body", "key", *(field.name for field in extra or []))
+    found = found.select("id", "type", "timestamp", "body", "key", *(F.col("_own")[name].alias(name) for name in shown.values()))
     if not newest_first:
         return any_rows(found, limit)
     return newest(found, limit, ties=("key", "id", "body"))
@@ -140,18 +159,23 @@ def search_traces(
     trace_id: str | None = None,
     trace_type: str | None = None,
     input_hash: str | None = None,
-    limit: int = SEARCH_LIMIT,
-    pre_limit: bool = True,
+    limit: int | None = SEARCH_LIMIT,
+    pre_limit: bool = False,
+    tenant_col: str = "project_id",
 ) -> DataFrame:
     """Search trace records, newest first.
 
-    With ``pre_limit`` the newest ``limit`` traces are taken first and then searched, so that
-    fewer may come back; without it all traces are searched. Asking for one trace by id ignores
-    time, session and the first limit. ``input_hash`` is accepted and has no effect: traces
-    carry no hash.
+    All traces are searched; with ``pre_limit`` only the newest ``limit`` are, so that fewer may come back. Asking
+    for one trace by id ignores time, session and the first limit. A ``project_id`` keeps the traces of a tenant, by
+    ``tenant_col``; traces without that column cannot be told apart, and asking then is an error. ``input_hash`` is
+    accepted and has no effect: traces carry no hash.
     """
-    if project_id is not None and "project_id" in df.columns:
-        df = tenant(df, project_id, is_org_admin)
+    check_limit(limit)
+    if project_id is not None:
+        if tenant_col not in df.columns:
+            raise ValueError(f"traces have no column {tenant_col!r} to find a tenant by")
+        names = df.columns
+        df = tenant(df.withColumn("project_id", F.col(tenant_col)), project_id, is_org_admin).select(*names)
     if trace_id:
         df = df.where(F.col("id") == trace_id)
     else:
@@ -166,11 +190,11 @@ def search_traces(
         searched = df.withColumn("_searched", F.concat(trace_body(df), F.coalesce("name", F.lit(""))))
         df = text(searched, q, ["_searched"], wildcard=False).drop("_searched")
     # Ranked before they are mapped, so only returned traces are printed as JSON.
-    return trace_rows(newest(df, check_limit(limit), ties=("id",)))
+    return trace_rows(newest(df, limit, ties=("id",)))
 
 
 def search(
-    spark: SparkSession, source: Source, q: str, project_id: str, *, limit: int = SEARCH_LIMIT, **filters
+    spark: SparkSession, source: Source, q: str, project_id: str, *, limit: int | None = SEARCH_LIMIT, **filters
 ) -> DataFrame:
     """Search one named source, whatever its kind."""
     if not q:
@@ -179,8 +203,12 @@ def search(
         return search_files(spark, source.root, q, project_id, limit=limit, **filters)
     if source.kind == "table":
         table = scan_event_table(spark, **source.options)
-        return search_table(table, q, project_id, limit=limit, case=source.case_sensitive, **filters)
+        layout = {"org_col": source.org_col, "date_col": source.date_col}
+        return search_table(table, q, project_id, limit=limit, case=source.case_sensitive, **layout | filters)
     if source.kind == "traces":
         traces = scan_traces(spark, **source.options)
-        return search_traces(traces, q, project_id=project_id, limit=limit, **filters)
+        if source.tenant_col is None:
+            filters.pop("is_org_admin", None)
+            return search_traces(traces, q, limit=limit, **filters)
+        return search_traces(traces, q, project_id=project_id, tenant_col=source.tenant_col, limit=limit, **filters)
     raise ValueError(f"search is not supported for source kind {source.kind!r}")

@@ -23,7 +23,9 @@ TIME_FORMATS = {
 def _write(df: DataFrame, path: str, mode: str, fmt: str = "json") -> int:
     written = Observation()
     counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode(mode).format(fmt).options(**(TIME_FORMATS if fmt == "json" else {})).save(path)
+    # A null field is written as null.
+    options = TIME_FORMATS | {"ignoreNullFields": "false"} if fmt == "json" else {}
+    counted.write.mode(mode).format(fmt).options(**options).save(path)
     return written.get["rows"]
 
 

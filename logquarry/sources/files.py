@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jsonvals import at
-from ..functions.keys import with_key_meta
+from ..functions.keys import key_fields
 from ..functions.text import org_of, require_clean
 from ..schemas import EVENT_LINE, EXPORT_LINE
 
@@ -60,12 +60,23 @@ def tenant_folder(root: str, project_id: str | None, is_org_admin: bool = False)
     return f"{root.rstrip('/')}/{tenant_prefix(project_id, is_org_admin)}"
 
 
-def load_or_empty(spark: SparkSession, load: Callable[[], DataFrame], schema: T.StructType) -> DataFrame:
-    """The loaded files, or no rows of the same schema when the folder does not exist."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, in whatever store Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def load_or_empty(
+    spark: SparkSession, root: str, load: Callable[[], DataFrame], schema: T.StructType | str
+) -> DataFrame:
+    """The loaded files, or no rows of the same schema when a folder below the root does not exist.
+
+    A root that does not exist is an error.
+    """
     try:
         return load()
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() != "PATH_NOT_FOUND" or not exists(spark, root):
             raise
         return spark.createDataFrame([], schema)
 
@@ -91,7 +102,12 @@ def list_batches(
             )
         )
 
-    return load_or_empty(spark, load, "key string, length long, modified timestamp")
+    return load_or_empty(spark, root, load, "key string, length long, modified timestamp")
+
+
+def _usable(key: str = "key") -> Column:
+    """Whether the key is one of a batch file: media and other files are not events and are not opened."""
+    return key_fields(F.col(key))["timestamp"].isNotNull()
 
 
 def _read_lines(
@@ -110,7 +126,7 @@ def _read_lines(
             lines = lines.withColumn(_BROKEN, F.lit(None).cast("string"))
         return lines.withColumn("key", metadata_key(root))
 
-    return load_or_empty(spark, load, T.StructType([*schema, T.StructField("key", T.StringType())]))
+    return load_or_empty(spark, root, load, T.StructType([*schema, T.StructField("key", T.StringType())]))
 
 
 def _mark_of(lines: DataFrame) -> Column:
@@ -130,15 +146,18 @@ def read_events(
     is_org_admin: bool = False,
     strict: bool = False,
     extra: T.StructType | None = None,
+    check_keys: bool = True,
 ) -> DataFrame:
     """Events of the batch files: ``id, type, body, key``, and the ``extra`` fields if asked.
 
     One declared schema serves all files, so a field some files lack is null there. Lines that
-    are not JSON are left out (``broken_lines`` counts them); with ``strict`` they are an error.
+    are not JSON are left out (``broken_lines`` counts them); with ``strict`` they are an error. Files whose key is
+    not one of a batch, such as media, are not opened; ``check_keys=False`` leaves that to the caller.
     """
     fields = T.StructType([*EVENT_LINE, *(extra or [])])
     lines = _read_lines(spark, root, tenant_folder(root, project_id, is_org_admin), fields, strict)
-    return lines.where(_mark_of(lines).isNull()).drop(_BROKEN)
+    events = lines.where(_mark_of(lines).isNull()).drop(_BROKEN)
+    return events.where(_usable()) if check_keys else events
 
 
 def read_export_events(
@@ -146,7 +165,7 @@ def read_export_events(
 ) -> DataFrame:
     """Events for exports: typed ``body``, plus top-level ``input`` and ``output``; always strict."""
     folder = tenant_folder(root, project_id, is_org_admin)
-    return _read_lines(spark, root, folder, EXPORT_LINE, strict=True).drop(_BROKEN)
+    return _read_lines(spark, root, folder, EXPORT_LINE, strict=True).drop(_BROKEN).where(_usable())
 
 
 def read_records(
@@ -159,7 +178,8 @@ def read_records(
         reader = spark.read.option("recursiveFileLookup", "true").option("singleVariantColumn", "record")
         return reader.json(folder).select("record", metadata_key(root).alias("key"))
 
-    records = load_or_empty(spark, load, "record variant, key string").where(F.col("record").isNotNull())
+    records = load_or_empty(spark, root, load, "record variant, key string")
+    records = records.where(F.col("record").isNotNull() & _usable())
     return records.select(at(F.col("record"), "$.id", "string").alias("id"),
                           at(F.col("record"), "$.type", "string").alias("type"), "record", "key")
 
@@ -170,5 +190,5 @@ def broken_lines(
     """How many lines of each batch file are not JSON: ``key, broken``; files without any are left out."""
     folder = tenant_folder(root, project_id, is_org_admin)
     lines = _read_lines(spark, root, folder, T.StructType([EVENT_LINE["id"]]), strict=False)
-    broken = with_key_meta(lines).where(_mark_of(lines).isNotNull())
+    broken = lines.where(_usable() & _mark_of(lines).isNotNull())
     return broken.groupBy("key").agg(F.count(F.lit(1)).alias("broken"))

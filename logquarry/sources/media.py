@@ -1,15 +1,16 @@
-"""Media sidecars: small JSON objects at ``{tenant}/media/{id}.meta.json``."""
+"""Media sidecars: small JSON objects at ``{tenant}/media/{id}.meta.json``. A broken one is an error."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import parse_iso
+from ..functions.times import require_iso
 from ..schemas import MEDIA_META
-from .files import load_or_empty, metadata_key, tenant_folder
+from .files import exists, load_or_empty, metadata_key, tenant_folder
 
 # Fixed value: where sidecars are.
 PLACE = r"^(.*)/media/([^/]+)\.meta\.json$"
@@ -20,14 +21,15 @@ _OUTPUT = (
 )
 
 
-def _shape(spark: SparkSession, root: str, path: str) -> DataFrame:
+def _shape(spark: SparkSession, root: str, *paths: str) -> DataFrame:
     def load() -> DataFrame:
         sidecars = (
             spark.read.schema(MEDIA_META)
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.meta.json")
             .option("multiLine", "true")
-            .json(path)
+            .option("mode", "FAILFAST")
+            .json(list(paths))
             .withColumn("key", metadata_key(root))
         )
         return (
@@ -41,11 +43,11 @@ def _shape(spark: SparkSession, root: str, path: str) -> DataFrame:
                 F.concat("project_id", F.lit("/media/"), "media_id", F.lit(".bin")).alias("blob_key"),
                 F.col("contentType").alias("content_type"),
                 F.col("contentLength").alias("content_length"),
-                parse_iso(F.col("uploadedAt")).alias("uploaded_at"),
+                require_iso(F.col("uploadedAt")).alias("uploaded_at"),
             )
         )
 
-    return load_or_empty(spark, load, _OUTPUT)
+    return load_or_empty(spark, root, load, _OUTPUT)
 
 
 def read_media_meta(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
@@ -57,6 +59,13 @@ def read_media_meta(spark: SparkSession, root: str, project_id: str | None = Non
     return found.where(F.col("project_id") == project_id)
 
 
+def read_media_of(spark: SparkSession, root: str, tenants: Iterable[str]) -> DataFrame:
+    """The sidecars of some tenants; only their media folders are listed."""
+    folders = [tenant_folder(root, tenant) + "media" for tenant in dict.fromkeys(tenants)]
+    there = [folder for folder in folders if exists(spark, folder)]
+    return _shape(spark, root, *there) if there else spark.createDataFrame([], _OUTPUT)
+
+
 def read_one_media_meta(spark: SparkSession, root: str, project_id: str, media_id: str) -> DataFrame:
     """The sidecar of one id, read by its own path without listing a folder; no rows if missing."""
     if "/" in media_id or not media_id:

@@ -13,7 +13,9 @@ class Source:
     """Where events live.
 
     ``files`` needs ``root``; ``table`` needs one of ``table``, ``path``, ``jdbc`` in
-    ``options`` and may set ``case_sensitive``; ``traces`` needs ``path`` in ``options``.
+    ``options`` and may set ``case_sensitive`` and the partition columns ``org_col`` and ``date_col``;
+    ``traces`` needs ``path`` in ``options``. Traces belong to nobody in particular unless ``tenant_col`` names the column
+    with their tenant.
     ``base_uri``, ``internal_uri`` and ``public_uri`` shape the locations in manifests.
     """
 
@@ -25,6 +27,9 @@ class Source:
     internal_uri: str = ""
     public_uri: str = ""
     ttl_seconds: int = 3600
+    org_col: str | None = None
+    date_col: str | None = None
+    tenant_col: str | None = None
     options: dict = field(default_factory=dict)
 
 

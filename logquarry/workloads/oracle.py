@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from .queries import INTERNAL, PUBLIC
-from .views import FILE_SPAN, MEMBERS, TURNS, TYPES
+from .views import FILE_SPAN, MEMBERS
 
-_TYPES = "[" + ", ".join(f"'{name}'" for name in TYPES) + "]"
+_SESSION = "'d' || day(ts) || '-' || (user_id % 5)"
 _ISO = "'%Y-%m-%dT%H:%M:%S'"
 _STAMP = "'%Y%m%dT%H%M%SZ'"
 
 _LOG = f"""log AS (
-  SELECT 'evt-' || printf('%06d', event_id) AS event_id, event_type, ts AS "timestamp",
+  SELECT 'ev' || event_id AS event_id, event_type, ts AS "timestamp",
          'org' || (user_id % 4) || '/user' || user_id AS project_id,
          'model-' || (event_id % 3) AS model,
-         ({_TYPES})[event_id % 5 + 1] AS name,
-         'trace' || printf('%04d', event_id % 200) AS trace_id,
-         'sess' || printf('%04d', event_id % 50) AS session_id,
-         printf('%08x', event_id) AS input_hash,
+         'on-' || event_type AS name,
+         'run' || event_id // 8 AS trace_id,
+         {_SESSION} AS session_id,
+         left(md5(props), 8) AS input_hash,
          CASE WHEN event_id % 17 = 0 THEN '{{broken' WHEN event_id % 19 = 0 THEN NULL ELSE props END AS body
   FROM events)"""
 
@@ -34,14 +34,14 @@ _ORG1 = "starts_with(project_id, 'org1/')"
 
 _KEYS = f"""keys AS (
   SELECT event_id, project_id || '/' || session_id || trace_part || '_' || trace_type || '_' || input_hash || '_'
-           || CASE WHEN event_id % 13 = 0 THEN 'notatime' ELSE strftime(ts, {_STAMP}) END || '_u' || event_id
+           || CASE WHEN event_id % 13 = 0 THEN 'notatime' ELSE strftime(ts, {_STAMP}) END || '_n' || event_id
            || CASE WHEN event_id % 5 = 0 THEN '.json.jsonl' ELSE '.jsonl' END AS key, *
   FROM (
     SELECT *, 'org' || (user_id % 4) || '/user' || user_id AS project_id,
-           'sess' || printf('%04d', event_id % 50) AS session_id,
-           CASE WHEN event_id % 7 = 0 THEN '_trace_x_' || printf('%04d', event_id % 200)
-                WHEN event_id % 11 = 0 THEN '' ELSE '_trace' || printf('%04d', event_id % 200) END AS trace_part,
-           ({_TYPES})[event_id % 5 + 1] AS trace_type, printf('%08x', event_id) AS input_hash
+           {_SESSION} AS session_id,
+           CASE WHEN event_id % 7 = 0 THEN '_run_of_' || event_id // 8
+                WHEN event_id % 11 = 0 THEN '' ELSE '_run' || event_id // 8 END AS trace_part,
+           'on-' || event_type AS trace_type, left(md5(props), 8) AS input_hash
     FROM events))"""
 
 # Batch files: one per tenant and span of event ids, named after the first event in it.
@@ -54,16 +54,16 @@ _FILES = f"""files AS (
          strftime(first_ts, {_ISO}) || '+00:00' AS "timestamp"
   FROM (
     SELECT *, 'org' || (member % 4) || '/user' || member AS project_id,
-           'sess' || printf('%04d', member % 50) AS session_id,
-           CASE WHEN member % 7 = 0 THEN '_trace_x_' || printf('%04d', member)
-                WHEN member % 11 = 0 THEN '' ELSE '_trace' || printf('%04d', member) END AS trace_part,
-           ({_TYPES})[member % 5 + 1] AS trace_type, printf('%08x', member) AS input_hash
+           's' || (member % 40) AS session_id,
+           CASE WHEN member % 7 = 0 THEN '_run_of_' || member
+                WHEN member % 11 = 0 THEN '' ELSE '_run' || member END AS trace_part,
+           'kind' || (member % 3) AS trace_type, left(md5(CAST(member AS VARCHAR)), 8) AS input_hash
     FROM (SELECT user_id % {MEMBERS} AS member, event_id // {FILE_SPAN} AS span, min(ts) AS first_ts
           FROM events GROUP BY ALL)))"""
 
 _LINES = f"""{_FILES},
 lines AS (
-  SELECT 'evt-' || printf('%06d', e.event_id) AS id, e.event_type AS type,
+  SELECT 'ev' || e.event_id AS id, e.event_type AS type,
          CASE WHEN e.event_id % 19 = 0 THEN NULL ELSE e.props END AS body,
          CASE WHEN e.event_id % 23 = 0 THEN 'm' END AS model, e.event_id, f.*
   FROM events e JOIN files f ON e.user_id % {MEMBERS} = f.member AND e.event_id // {FILE_SPAN} = f.span)"""
@@ -80,9 +80,9 @@ ORDER BY file_ts DESC, key, id, body LIMIT {limit}"""
 
 
 _TRACES = f"""traces AS (
-  SELECT 'evt-' || printf('%06d', event_id) AS id, 'trace' AS type, ts AS "timestamp",
-         'sess' || printf('%04d', event_id % 50) AS session_id,
-         CASE WHEN event_id % 23 <> 0 THEN ({_TYPES})[event_id % 5 + 1] END AS name,
+  SELECT 'ev' || event_id AS id, 'trace' AS type, ts AS "timestamp",
+         {_SESSION} AS session_id,
+         CASE WHEN event_id % 23 <> 0 THEN 'on-' || event_type END AS name,
          '{{"input":' || props || ',"output":null,"metadata":{{"k":"' || event_type || '"}}}}' AS body,
          event_type AS tags, value AS latency, round(value / 100, 4) AS total_cost,
          'org' || (user_id % 4) || '/user' || user_id AS project_id
@@ -91,10 +91,10 @@ _TRACE_ISO = """CASE WHEN microsecond("timestamp") % 1000000 = 0 THEN strftime("
             ELSE strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS "timestamp\""""
 _TRACE_COLUMNS = 'id, type, "timestamp", session_id, name, body, tags, latency, total_cost'
 
-_SAID = f"""said AS (
-  SELECT conv_id, turn, turn // {TURNS} AS chunk, said.role AS role,
+_SAID = """said AS (
+  SELECT conv_id, turn, said.role AS role,
          CASE WHEN conv_id % 3 = 1 THEN said.text || ' !' ELSE said.text END AS content
-  FROM (SELECT conv_id, turn, min({{'role': role, 'text': text}}) AS said FROM conversations GROUP BY conv_id, turn)
+  FROM (SELECT conv_id, turn, min({'role': role, 'text': text}) AS said FROM conversations GROUP BY conv_id, turn)
   WHERE (conv_id + turn) % 5 <> 0 AND said.text <> '' AND said.role <> '')"""
 _CONVERSATION = """count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles,
        md5(string_agg(content, '|' ORDER BY turn)) AS contents"""
@@ -132,9 +132,10 @@ ORACLE: dict[str, str] = {
     "search_table_user_like": _table_search("project_id = 'org1/user5' AND body LIKE '%\"k\"%'", 50),
     "search_table_wildcard": _table_search(f"{_ORG1} AND body ILIKE '%K_: %5%'", 500),
     "text_backslash": f"WITH {_DOCUMENTS} SELECT id, type FROM docs WHERE body ILIKE '%AN.\\n_h%'",
-    "search_table_ids": _table_search(f"{_ORG1} AND session_id = 'sess0007' AND name = 'qa-bot'", 500),
-    "search_table_trace": _table_search(f"{_ORG1} AND trace_id = 'trace0011'", 500),
-    "events_by_hash": f"WITH {_LOG} SELECT event_id, project_id, input_hash FROM log WHERE input_hash = '0000002a'",
+    "search_table_ids": _table_search(f"{_ORG1} AND session_id = 'd9-0' AND name = 'on-view'", 500),
+    "search_table_trace": _table_search(f"{_ORG1} AND trace_id = 'run11'", 500),
+    "events_by_hash": f"""WITH {_LOG} SELECT event_id, project_id, input_hash FROM log
+WHERE input_hash = left(md5('{{"k": 7}}'), 8)""",
     "recent": _table_search(_ORG1, 100),
     "preset_window": _table_search(
         f"""{_ORG1} AND "timestamp" >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND "timestamp" <= TIMESTAMP '2024-01-20'""",
@@ -145,7 +146,7 @@ SELECT event_id, event_type, "timestamp", project_id, model, name, trace_id, ses
 FROM log WHERE starts_with(project_id, 'org2/')""",
     "time_range_events": f"""WITH {_LOG}
 SELECT event_id, "timestamp", input_hash FROM log
-WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12' AND name = 'summarizer'""",
+WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12' AND name = 'on-signup'""",
     "body_fallback": f"WITH {_LOG} SELECT event_id, {_VALID_BODY} FROM log",
     "text_literal": f"WITH {_DOCUMENTS} SELECT id, type FROM docs WHERE contains(lower(body), 'ou%%%') OR contains(lower(type), 'ou%%%')",
     "text_any_column": f"""WITH {_DOCUMENTS} SELECT id, type FROM docs
@@ -164,10 +165,10 @@ SELECT key FROM files UNION ALL SELECT blob_key FROM media
 UNION ALL SELECT replace(blob_key, '.bin', '.meta.json') FROM media""",
     "list_files": f"WITH {_FILES} SELECT {_FILE_COLUMNS} FROM files WHERE {_READABLE} AND {_ORG1}",
     "list_files_range": f"""WITH {_FILES} SELECT {_FILE_COLUMNS} FROM files
-WHERE {_READABLE} AND {_ORG1} AND trace_type = 'embedder'
+WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind2'
   AND file_ts BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 18:00:00'""",
     "list_files_ids": f"""WITH {_FILES} SELECT {_FILE_COLUMNS} FROM files
-WHERE {_READABLE} AND {_ORG1} AND session_id = 'sess0033' AND trace_id = 'unknown'""",
+WHERE {_READABLE} AND {_ORG1} AND session_id = 's33' AND trace_id = 'unknown'""",
     "scan_statistics": f"""WITH {_FILES} SELECT count(*) AS files_scanned FROM files
 WHERE {_READABLE} AND {_ORG1} AND file_ts >= TIMESTAMP '2024-01-01 02:00:00'""",
     "read_all_events": f"WITH {_LINES} SELECT id, type, body, model, key FROM lines WHERE {_READABLE}",
@@ -181,31 +182,31 @@ WHERE event_id % 97 = 0 AND {_READABLE} GROUP BY key""",
     "search_files_body": _file_search(
         """project_id = 'org1/user5' AND (body ILIKE '%"k": 7%' OR id ILIKE '%"k": 7%' OR type ILIKE '%"k": 7%')""", 100
     ),
-    "search_files_all": _file_search(f"{_ORG1} AND session_id = 'sess0005'", 500),
+    "search_files_all": _file_search(f"{_ORG1} AND session_id = 's5'", 500),
     "search_files_extra_fields": _file_search(
-        f"{_ORG1} AND (body ILIKE '%evt-0000_%' OR id ILIKE '%evt-0000_%' OR type ILIKE '%evt-0000_%')",
+        f"{_ORG1} AND (body ILIKE '%ev4_%' OR id ILIKE '%ev4_%' OR type ILIKE '%ev4_%')",
         500,
         ", model",
     ),
     "search_traces": f"""WITH {_TRACES} SELECT {_TRACE_COLUMNS} FROM traces
 WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25'
-  AND contains(lower(body || coalesce(name, '')), 'embed')
+  AND contains(lower(body || coalesce(name, '')), 'on-sig')
 ORDER BY "timestamp" DESC, id LIMIT 500""",
     "search_traces_prelimit": f"""WITH {_TRACES}, fetched AS (
-  SELECT * FROM traces WHERE session_id = 'sess0003' ORDER BY "timestamp" DESC, id LIMIT 100)
+  SELECT * FROM traces WHERE session_id = 'd3-3' ORDER BY "timestamp" DESC, id LIMIT 100)
 SELECT {_TRACE_COLUMNS} FROM fetched
-WHERE name = 'summarizer' AND contains(lower(body || coalesce(name, '')), '"k": 4')""",
-    "search_one_trace": f"WITH {_TRACES} SELECT {_TRACE_COLUMNS} FROM traces WHERE id = 'evt-000042'",
+WHERE name = 'on-signup' AND contains(lower(body || coalesce(name, '')), '"k": 4')""",
+    "search_one_trace": f"WITH {_TRACES} SELECT {_TRACE_COLUMNS} FROM traces WHERE id = 'ev42'",
     "trace_mapping": f"""WITH {_TRACES}
 SELECT id, type, id AS trace_id, session_id, name, body, tags AS tag, latency, total_cost FROM traces""",
     "landed_traces": f"""WITH {_TRACES}
 SELECT id, {_TRACE_ISO},
        name, replace(body, '": ', '":') AS body, total_cost FROM traces""",
     "chat_dataset": f"""WITH {_SAID}
-SELECT conv_id, chunk, {_CONVERSATION} FROM said GROUP BY conv_id, chunk HAVING count(*) >= 2""",
+SELECT conv_id, {_CONVERSATION} FROM said GROUP BY conv_id HAVING count(*) >= 2""",
     "chat_dataset_files": f"""WITH {_SAID}
-SELECT conv_id || '-' || chunk AS id, {_CONVERSATION} FROM said
-WHERE conv_id % 4 = 1 GROUP BY conv_id, chunk HAVING count(*) >= 2""",
+SELECT CAST(conv_id AS VARCHAR) AS id, {_CONVERSATION} FROM said
+WHERE conv_id % 4 = 1 GROUP BY conv_id HAVING count(*) >= 2""",
     "preview_events": f"""WITH {_DOCUMENTS}
 SELECT id, type, type AS model,
        CASE WHEN text = '' AND doc_id % 4 = 0 THEN '-' ELSE substring(CASE doc_id % 4
@@ -216,9 +217,9 @@ SELECT id, type, type AS model,
 FROM docs""",
     "selected_events": f"""WITH {_LOG}
 SELECT event_id, event_type, "timestamp", project_id FROM log l
-WHERE EXISTS (SELECT 1 FROM log c WHERE c.event_id = l.event_id AND c.name = 'embedder' AND c.event_type = 'error')""",
+WHERE EXISTS (SELECT 1 FROM log c WHERE c.event_id = l.event_id AND c.name = 'on-error' AND c.model = 'model-1')""",
     "selected_files": f"""WITH {_LINES} SELECT id, type, body, key FROM lines l
-WHERE EXISTS (SELECT 1 FROM files f WHERE f.key = l.key AND {_READABLE} AND {_ORG1} AND f.trace_type = 'chatbot')""",
+WHERE EXISTS (SELECT 1 FROM files f WHERE f.key = l.key AND {_READABLE} AND {_ORG1} AND f.trace_type = 'kind1')""",
     "manifest_uris": f"""WITH {_KEYS}
 SELECT key, '{PUBLIC}/logs/{INTERNAL}/' || key AS url FROM keys WHERE starts_with(key, 'org1/')""",
     "manifest_files": f"""WITH {_FILES}
@@ -230,21 +231,21 @@ SELECT {_MEDIA_COLUMNS}, '{PUBLIC}/logs/' || blob_key AS url, '2024-01-20T00:01:
 FROM media WHERE bought""",
     "export_jsonl_roundtrip": f"""WITH {_LOG}
 SELECT event_id AS id, event_type AS type, "timestamp",
-       CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.k') AS INTEGER) END AS body FROM log""",
+       CASE WHEN json_valid(body) THEN CAST(json(body) AS VARCHAR) ELSE '{{}}' END AS body FROM log""",
     "export_catalog_roundtrip": f"""WITH {_LINES}
-SELECT id, type, CAST(json_extract(body, '$.k') AS INTEGER) AS body, model FROM lines WHERE {_READABLE}""",
+SELECT id, type, CAST(json(body) AS VARCHAR) AS body, model FROM lines WHERE {_READABLE}""",
     "export_index_roundtrip": f"WITH {_KEYS} SELECT key, 's3a://logs/' || key AS url FROM keys",
     "export_url_index_roundtrip": f"""WITH {_FILES}
 SELECT 's3a://logs/' || key AS url FROM files WHERE {_READABLE} AND {_ORG1}""",
     "export_dataset_roundtrip": f"""WITH {_SAID}
-SELECT {_CONVERSATION} FROM said GROUP BY conv_id, chunk HAVING count(*) >= 2""",
+SELECT {_CONVERSATION} FROM said GROUP BY conv_id HAVING count(*) >= 2""",
     "search_partitioned_table": _table_search(
         f"""{_ORG1} AND "timestamp" >= TIMESTAMP '2024-01-11 18:00:00' AND "timestamp" <= TIMESTAMP '2024-01-14'
   AND body ILIKE '%"k": 1%'""",
         500,
     ),
     "search_source_table": _table_search(f"""{_ORG1} AND body LIKE '%{{"k": 2%%'""", 500),
-    "millisecond_times": """SELECT 'evt-' || printf('%06d', event_id) AS event_id,
+    "millisecond_times": """SELECT 'ev' || event_id AS event_id,
        CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
             ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS "timestamp",
        CASE WHEN millisecond(ts) % 1000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
@@ -253,10 +254,9 @@ FROM events""",
     "search_source_files": _file_search(
         "starts_with(project_id, 'org3/') AND (body ILIKE '%err_r%' OR id ILIKE '%err_r%' OR type ILIKE '%err_r%')", 500
     ),
-    "strict_events": f"""SELECT DISTINCT conv_id || '-' || turn // {TURNS} AS id,
-       'org' || conv_id % 4 || '/user' || conv_id % 20 || '/sess' || printf('%04d', conv_id % 20) || '_trace'
-         || conv_id % 20 || '_chatbot_' || printf('%08x', conv_id % 20) || '_20240101T000000Z_u'
-         || conv_id // 10000 || '-' || turn // {TURNS} // 1000 || '.jsonl' AS key
+    "strict_events": """SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id,
+       'org' || conv_id % 4 || '/user' || conv_id % 20 || '/s' || conv_id % 20 || '_run'
+         || conv_id % 20 || '_chat_c' || conv_id % 20 || '_20240101T000000Z_u' || conv_id // 10000 || '.jsonl' AS key
 FROM conversations""",
     "search_source_traces": f"""WITH {_TRACES}
 SELECT id, {_TRACE_ISO}, name, replace(body, '": ', '":') AS body
@@ -267,4 +267,31 @@ SELECT {_MEDIA_COLUMNS}, '{PUBLIC}/logs/' || blob_key AS url, '2024-01-20T00:01:
 FROM media WHERE project_id = 'org1/user5' AND media_id = 'm5-0'""",
     "located_source_files": f"""WITH {_FILES} SELECT key, 's3a://logs/' || key AS url FROM files
 WHERE {_READABLE} AND project_id = 'org1/user9' AND file_ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'""",
+    "search_table_all_matches": f"""WITH {_LOG}
+SELECT event_id AS id, event_type AS type, "timestamp", {_VALID_BODY} FROM log
+WHERE {_ORG1} AND body ILIKE '%"k"%'""",
+    "search_catalog_table": _table_search(
+        f"{_ORG1} AND \"timestamp\" >= TIMESTAMP '2024-01-11' AND \"timestamp\" <= TIMESTAMP '2024-01-12' AND body ILIKE '%\"k\": 2%'", 100
+    ),
+    "selected_events_large": f"""WITH {_LOG}
+SELECT event_id, event_type, "timestamp", project_id FROM log WHERE event_type <> 'view'""",
+    "selected_files_large": f"""WITH {_LINES} SELECT id, type, body, key FROM lines WHERE {_READABLE} AND {_ORG1} AND trace_type <> 'kind1'""",
+    "search_files_own_fields": f"""WITH {_LINES}
+SELECT id, type, "timestamp", body, key, own_trace AS trace_id, own_time AS event_timestamp
+FROM (SELECT *, 'own' || (event_id % 10) AS own_trace, CAST(event_id % 60 AS VARCHAR) AS own_time FROM lines)
+WHERE {_READABLE} AND {_ORG1} AND body ILIKE '%"k": 3%'""",
+    "search_files_any": f"""WITH {_LINES} SELECT least(40, count(*)) AS results FROM lines
+WHERE {_READABLE} AND {_ORG1} AND (body ILIKE '%"k"%' OR id ILIKE '%"k"%' OR type ILIKE '%"k"%')""",
+    "list_files_inventory": f"""WITH {_FILES} SELECT {_FILE_COLUMNS} FROM files
+WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind0'""",
+    "list_files_no_tenant": f"WITH {_FILES} SELECT {_FILE_COLUMNS} FROM files WHERE project_id = 'nobody/here'",
+    "search_source_traces_untagged": f"""WITH {_TRACES}
+SELECT id, {_TRACE_ISO}, name, replace(body, '": ', '":') AS body
+FROM (SELECT * FROM traces WHERE contains(lower(body || coalesce(name, '')), 'signup')
+      ORDER BY traces."timestamp" DESC, id LIMIT 500)""",
+    "trace_defaults": f"""WITH {_TRACES}
+SELECT id, '' AS session_id, name, body, CAST(0 AS BIGINT) AS n_tags, CAST(NULL AS DOUBLE) AS latency FROM traces""",
+    "export_traces_roundtrip": f"""WITH {_TRACES}
+SELECT '{{"id":' || to_json(id) || ',"name":' || coalesce(to_json(name), 'null') || ',"output":null,"session_id":'
+       || to_json(session_id) || ',"usage":null}}' AS line FROM traces""",
 }

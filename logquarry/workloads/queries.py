@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
-from functools import wraps
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from ..plans.named import list_source_files, locate_source_files, source_media
 from ..sinks import exports
 from ..sources.files import broken_lines, list_batches, read_events, read_export_events, read_records
 from ..sources.media import read_media_meta
-from ..sources.registry import Source
+from ..sources.registry import Source, Sources
 from ..sources.tables import scan_event_table
 from ..sources.traces import scan_traces
 from . import staging, views
@@ -40,17 +40,8 @@ PUBLIC = "https://files.example.org"
 
 
 def query(run: Query) -> Query:
-    @wraps(run)
-    def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return run(spark, sf_dir)
-
-    QUERIES[run.__name__] = in_utc
-    return in_utc
-
-
-def _k(body: Column | str) -> Column:
-    return F.try_variant_get(body, "$.k", "int")
+    QUERIES[run.__name__] = run
+    return run
 
 
 # --- event table ---------------------------------------------------------------------------
@@ -81,18 +72,18 @@ def text_backslash(spark, sf_dir):
 @query
 def search_table_ids(spark, sf_dir):
     return plans.search_table(
-        views.event_log(spark, sf_dir), "*", **ADMIN, session_id="sess0007", trace_type="qa-bot", limit=500
+        views.event_log(spark, sf_dir), "*", **ADMIN, session_id="d9-0", trace_type="on-view", limit=500
     )
 
 
 @query
 def search_table_trace(spark, sf_dir):
-    return plans.search_table(views.event_log(spark, sf_dir), "*", **ADMIN, trace_id="trace0011", limit=500)
+    return plans.search_table(views.event_log(spark, sf_dir), "*", **ADMIN, trace_id="run11", limit=500)
 
 
 @query
 def events_by_hash(spark, sf_dir):
-    found = ids(views.event_log(spark, sf_dir), input_hash="0000002a")
+    found = ids(views.event_log(spark, sf_dir), input_hash=md5(b'{"k": 7}').hexdigest()[:8])
     return found.select("event_id", "project_id", "input_hash")
 
 
@@ -116,7 +107,7 @@ def tenant_events(spark, sf_dir):
 @query
 def time_range_events(spark, sf_dir):
     rows = time_range(views.event_log(spark, sf_dir), "2024-01-10T06:00:00", "2024-01-12")
-    return ids(rows, trace_type="summarizer", type_col="name").select("event_id", "timestamp", "input_hash")
+    return ids(rows, trace_type="on-signup", type_col="name").select("event_id", "timestamp", "input_hash")
 
 
 @query
@@ -164,6 +155,25 @@ def millisecond_times(spark, sf_dir):
     )
 
 
+@query
+def search_table_all_matches(spark, sf_dir):
+    return plans.search_table(views.event_log(spark, sf_dir), '"k"', **ADMIN, limit=None)
+
+
+@query
+def search_catalog_table(spark, sf_dir):
+    """A table of the session's catalog, by its three-part name."""
+    root = views.event_table_root(spark, sf_dir)
+    name = f"events_{md5(root.encode()).hexdigest()[:12]}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS spark_catalog.default.{name} USING parquet LOCATION '{root}'")
+    spark.catalog.recoverPartitions(f"spark_catalog.default.{name}")
+    options = {"table": name, "schema": "default", "catalog": "spark_catalog"}
+    source = Source("days", "table", org_col="org", date_col="day", options=options)
+    return plans.search(
+        spark, Sources([source]).resolve("days", "table"), '"k": 2', **ADMIN, start="2024-01-11", end="2024-01-12", limit=100
+    )
+
+
 # --- keys and files ------------------------------------------------------------------------
 
 
@@ -197,13 +207,13 @@ def list_files(spark, sf_dir):
 def list_files_range(spark, sf_dir):
     return plans.list_files(
         spark, views.log_root(spark, sf_dir), **ADMIN,
-        start="2024-01-01T01:00:00", end="2024-01-01T18:00:00Z", trace_type="embedder",
+        start="2024-01-01T01:00:00", end="2024-01-01T18:00:00Z", trace_type="kind2",
     )
 
 
 @query
 def list_files_ids(spark, sf_dir):
-    return plans.list_files(spark, views.log_root(spark, sf_dir), **ADMIN, session_id="sess0033", trace_id="unknown")
+    return plans.list_files(spark, views.log_root(spark, sf_dir), **ADMIN, session_id="s33", trace_id="unknown")
 
 
 @query
@@ -245,20 +255,48 @@ def search_files_body(spark, sf_dir):
 
 @query
 def search_files_all(spark, sf_dir):
-    found = plans.search_files(spark, views.log_root(spark, sf_dir), "*", **ADMIN, session_id="sess0005", limit=500)
+    found = plans.search_files(spark, views.log_root(spark, sf_dir), "*", **ADMIN, session_id="s5", limit=500)
     return _file_results(found)
 
 
 @query
 def search_files_extra_fields(spark, sf_dir):
     model = T.StructType([T.StructField("model", T.StringType())])
-    found = plans.search_files(spark, views.log_root(spark, sf_dir), "evt-0000_", **ADMIN, limit=500, extra=model)
+    found = plans.search_files(spark, views.log_root(spark, sf_dir), "ev4_", **ADMIN, limit=500, extra=model)
+    return _file_results(found)
+
+
+@query
+def search_files_own_fields(spark, sf_dir):
+    """Fields of the events that are named like fields of the file names."""
+    own = T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("timestamp", T.StringType())])
+    found = plans.search_files(spark, views.log_root(spark, sf_dir), '"k": 3', **ADMIN, limit=None, extra=own)
     return _file_results(found)
 
 
+@query
+def search_files_any(spark, sf_dir):
+    found = plans.search_files(spark, views.log_root(spark, sf_dir), '"k"', **ADMIN, limit=40, newest_first=False)
+    return result_count(found)
+
+
+@query
+def list_files_inventory(spark, sf_dir):
+    """From a stored inventory of keys; nothing is listed."""
+    path = staging.scratch(spark, "inventory")
+    list_batches(spark, views.log_root(spark, sf_dir)).write.parquet(path)
+    inventory = spark.read.parquet(path)
+    return plans.list_files(spark, views.log_root(spark, sf_dir), **ADMIN, inventory=inventory, trace_type="kind0")
+
+
+@query
+def list_files_no_tenant(spark, sf_dir):
+    return plans.list_files(spark, views.log_root(spark, sf_dir), "nobody/here")
+
+
 @query
 def search_source_files(spark, sf_dir):
-    source = Source("lake", "files", root=views.log_root(spark, sf_dir))
+    source = Sources([Source("lake", "files", root=views.log_root(spark, sf_dir))]).resolve("lake", "files")
     return _file_results(plans.search(spark, source, "err_r", "org3/user3", is_org_admin=True, limit=500))
 
 
@@ -279,7 +317,7 @@ def _trace_results(df: DataFrame) -> DataFrame:
 @query
 def search_traces(spark, sf_dir):
     found = plans.search_traces(
-        views.trace_records(spark, sf_dir), "EMBED", start="2024-01-03", end="2024-01-25", limit=500, pre_limit=False
+        views.trace_records(spark, sf_dir), "ON-SIG", start="2024-01-03", end="2024-01-25", limit=500
     )
     return _trace_results(found)
 
@@ -287,14 +325,14 @@ def search_traces(spark, sf_dir):
 @query
 def search_traces_prelimit(spark, sf_dir):
     found = plans.search_traces(
-        views.trace_records(spark, sf_dir), '"k": 4', session_id="sess0003", trace_type="summarizer", limit=100
+        views.trace_records(spark, sf_dir), '"k": 4', session_id="d3-3", trace_type="on-signup", limit=100, pre_limit=True
     )
     return _trace_results(found)
 
 
 @query
 def search_one_trace(spark, sf_dir):
-    found = plans.search_traces(views.trace_records(spark, sf_dir), "*", trace_id="evt-000042", start="2030-01-01")
+    found = plans.search_traces(views.trace_records(spark, sf_dir), "*", trace_id="ev42", start="2030-01-01")
     return _trace_results(found)
 
 
@@ -313,11 +351,26 @@ def landed_traces(spark, sf_dir):
 
 @query
 def search_source_traces(spark, sf_dir):
+    source = Source("traces", "traces", tenant_col="project_id", options={"path": views.trace_root(spark, sf_dir)})
+    found = plans.search(spark, source, "signup", **ADMIN, limit=500)
+    return found.select("id", iso_utc(F.col("timestamp")).alias("timestamp"), "name", "body")
+
+
+@query
+def search_source_traces_untagged(spark, sf_dir):
+    """Traces that belong to nobody in particular."""
     source = Source("traces", "traces", options={"path": views.trace_root(spark, sf_dir)})
-    found = plans.search(spark, source, "signup", **ADMIN, pre_limit=False, limit=500)
+    found = plans.search(spark, source, "signup", **ADMIN, limit=500)
     return found.select("id", iso_utc(F.col("timestamp")).alias("timestamp"), "name", "body")
 
 
+@query
+def trace_defaults(spark, sf_dir):
+    """Records without sessions, tags and latency."""
+    rows = trace_rows(views.trace_records(spark, sf_dir).drop("sessionId", "tags", "latency"))
+    return rows.select("id", "session_id", "name", "body", F.size("tags").cast("bigint").alias("n_tags"), "latency")
+
+
 # --- chat data and previews ----------------------------------------------------------------
 
 
@@ -333,7 +386,7 @@ def _conversation_rows(df: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def chat_dataset(spark, sf_dir):
-    return _conversation_rows(to_messages(views.chat_bodies(spark, sf_dir)), "conv_id", "chunk")
+    return _conversation_rows(to_messages(views.chat_bodies(spark, sf_dir)), "conv_id")
 
 
 @query
@@ -355,14 +408,14 @@ def preview_events(spark, sf_dir):
 @query
 def selected_events(spark, sf_dir):
     log = views.event_log(spark, sf_dir)
-    chosen = log.where((F.col("name") == "embedder") & (F.col("event_type") == "error")).select("event_id")
+    chosen = log.where((F.col("name") == "on-error") & (F.col("model") == "model-1")).select("event_id")
     return select_events(log, chosen, column="event_id").select("event_id", "event_type", "timestamp", "project_id")
 
 
 @query
 def selected_files(spark, sf_dir):
     root = views.log_root(spark, sf_dir)
-    chosen = plans.list_files(spark, root, **ADMIN, trace_type="chatbot")
+    chosen = plans.list_files(spark, root, **ADMIN, trace_type="kind1")
     events = read_events(spark, root, ADMIN["project_id"], is_org_admin=True)
     return select_files(events, chosen).select("id", "type", "body", "key")
 
@@ -414,6 +467,22 @@ def located_source_files(spark, sf_dir):
     return locate_source_files(source, listed.select("key"), "org1/user9")
 
 
+@query
+def selected_events_large(spark, sf_dir):
+    log = views.event_log(spark, sf_dir)
+    chosen = log.where(F.col("event_type") != "view").select("event_id")
+    return select_events(log, chosen, column="event_id").select("event_id", "event_type", "timestamp", "project_id")
+
+
+@query
+def selected_files_large(spark, sf_dir):
+    """All files of an org but one kind, as a table of keys."""
+    root = views.log_root(spark, sf_dir)
+    chosen = plans.list_files(spark, root, **ADMIN).where(F.col("trace_type") != "kind1")
+    events = read_events(spark, root, ADMIN["project_id"], is_org_admin=True)
+    return select_files(events, chosen)
+
+
 # --- exports, written and read back --------------------------------------------------------
 
 
@@ -423,7 +492,7 @@ def export_jsonl_roundtrip(spark, sf_dir):
     path = staging.scratch(spark, "jsonl")
     exports.export_jsonl(plans.envelope(log), path)
     written = spark.read.schema("id string, type string, timestamp timestamp_ntz, body variant").json(path)
-    return written.withColumn("body", _k("body"))
+    return written.withColumn("body", F.to_json("body"))
 
 
 @query
@@ -432,7 +501,7 @@ def export_catalog_roundtrip(spark, sf_dir):
     records = read_records(spark, views.log_root(spark, sf_dir))
     exports.export_catalog(with_key_meta(records), path)
     written = spark.read.schema("id string, type string, body variant, model string").json(path)
-    return written.withColumn("body", _k("body"))
+    return written.withColumn("body", F.to_json("body"))
 
 
 @query
@@ -455,3 +524,12 @@ def export_dataset_roundtrip(spark, sf_dir):
     path = staging.scratch(spark, "dataset")
     exports.export_dataset(views.chat_bodies(spark, sf_dir), path)
     return _conversation_rows(spark.read.schema("messages array<struct<role: string, content: variant>>").json(path))
+
+
+@query
+def export_traces_roundtrip(spark, sf_dir):
+    """The written text itself: null fields are there."""
+    path = staging.scratch(spark, "traces")
+    rows = trace_rows(views.trace_records(spark, sf_dir)).withColumn("output", F.lit(None).cast("string"))
+    exports.export_jsonl(rows.select("id", "name", "output", "session_id", "usage"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))

@@ -6,27 +6,34 @@ spreads evenly however skewed users or conversations are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.exports import TIME_FORMATS
 from . import staging
 
-TYPES = ("default", "chatbot", "qa-bot", "summarizer", "embedder")
 # Batch files and blobs belong to this many tenants, each holding the events of one tenant out
 # of this many consecutive event ids: a file has a bounded size and is not tiny.
 MEMBERS = 200
 FILE_SPAN = 1_000_000
-# An event holds this many consecutive turns of a conversation: the last is the answer.
-TURNS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _type_of(number: Column) -> Column:
-    return F.get(F.array(*map(F.lit, TYPES)), (number % len(TYPES)).cast("int"))
+def _text(prefix: str, *parts: Column | str) -> Column:
+    columns = (F.col(part) if isinstance(part, str) else part for part in parts)
+    return F.concat(F.lit(prefix), *(column.cast("string") for column in columns))
+
+
+def _session() -> Column:
+    """A user group's day."""
+    return F.concat(_text("d", F.dayofmonth("ts")), F.lit("-"), (F.col("user_id") % 5).cast("string"))
+
+
+def _short_hash(text: Column) -> Column:
+    return F.left(F.md5(text), F.lit(8))
 
 
 def _project(user: Column) -> Column:
@@ -38,15 +45,15 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("event_id")
     body = F.when(number % 17 == 0, F.lit("{broken")).when(number % 19 != 0, F.col("props"))
     return table(spark, sf_dir, "events").select(
-        F.format_string("evt-%06d", number).alias("event_id"),
+        _text("ev", number).alias("event_id"),
         "event_type",
         F.col("ts").alias("timestamp"),
         _project(F.col("user_id")).alias("project_id"),
         F.concat(F.lit("model-"), (number % 3).cast("string")).alias("model"),
-        _type_of(number).alias("name"),
-        F.format_string("trace%04d", number % 200).alias("trace_id"),
-        F.format_string("sess%04d", number % 50).alias("session_id"),
-        F.format_string("%08x", number).alias("input_hash"),
+        _text("on-", "event_type").alias("name"),
+        _text("run", F.expr("event_id div 8")).alias("trace_id"),
+        _session().alias("session_id"),
+        _short_hash(F.col("props")).alias("input_hash"),
         body.alias("body"),
     )
 
@@ -54,17 +61,13 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One object key per event: extra underscores, missing trace ids and bad stamps included."""
     number = F.col("event_id")
-    digits = F.format_string("%04d", number % 200)
-    trace = (
-        F.when(number % 7 == 0, F.concat(F.lit("_trace_x_"), digits))
-        .when(number % 11 == 0, F.lit(""))
-        .otherwise(F.concat(F.lit("_trace"), digits))
-    )
+    run = F.expr("event_id div 8")
+    trace = F.when(number % 7 == 0, _text("_run_of_", run)).when(number % 11 == 0, F.lit("")).otherwise(_text("_run", run))
     stamp = F.when(number % 13 == 0, F.lit("notatime")).otherwise(F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"))
     suffix = F.when(number % 5 == 0, F.lit(".json.jsonl")).otherwise(F.lit(".jsonl"))
     key = F.concat(
-        _project(F.col("user_id")), F.lit("/"), F.format_string("sess%04d", number % 50), trace, F.lit("_"),
-        _type_of(number), F.format_string("_%08x_", number), stamp, F.lit("_u"), number.cast("string"), suffix,
+        _project(F.col("user_id")), F.lit("/"), _session(), trace, _text("_on-", "event_type"), F.lit("_"),
+        _short_hash(F.col("props")), F.lit("_"), stamp, _text("_n", number), suffix,
     )
     return table(spark, sf_dir, "events").select("event_id", key.alias("key"))
 
@@ -73,10 +76,10 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trace records with JSON text in the free-form columns."""
     number = F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        F.format_string("evt-%06d", number).alias("id"),
-        F.when(number % 23 != 0, _type_of(number)).alias("name"),
+        _text("ev", number).alias("id"),
+        F.when(number % 23 != 0, _text("on-", "event_type")).alias("name"),
         F.col("ts").alias("timestamp"),
-        F.format_string("sess%04d", number % 50).alias("sessionId"),
+        _session().alias("sessionId"),
         F.col("props").alias("input"),
         F.lit(None).cast("string").alias("output"),
         F.concat(F.lit('{"k":"'), "event_type", F.lit('"}')).alias("metadata"),
@@ -93,38 +96,24 @@ def _quoted(text: Column) -> Column:
 
 
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of up to ``TURNS`` turns of a conversation: ``conv_id, chunk, input, output``.
-
-    One aggregate per position keeps a group at ``TURNS`` values, however long the
-    conversation is, and is combined before the shuffle.
-    """
-    said = F.struct("role", "text")
-    position = F.col("turn") % TURNS
+    """One event per conversation, with all its turns: ``conv_id, input, output``. The last turn is the answer."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("said"))
+    number = F.col("conv_id") + F.col("turn")
+    spoken = F.when(number % 5 == 0, F.lit("")).otherwise(F.col("said.text"))
+    parts = F.concat(F.lit('[{"type":"text","text":'), _quoted(spoken), F.lit('},{"type":"note","content":"!"}]'))
+    content = F.when((F.col("conv_id") % 3 == 1) & (spoken != ""), parts).otherwise(_quoted(spoken))
+    message = F.concat(F.lit('{"role":'), _quoted(F.col("said.role")), F.lit(',"content":'), content, F.lit("}"))
     events = (
-        table(spark, sf_dir, "conversations")
-        .groupBy("conv_id", F.expr(f"turn div {TURNS}").alias("chunk"))
-        .agg(*(F.min(F.when(position == p, said)).alias(f"turn{p}") for p in range(TURNS)))
+        turns.select("conv_id", F.struct("turn", message.alias("message")).alias("part"))
+        .groupBy("conv_id")
+        .agg(F.sort_array(F.collect_list("part")).alias("parts"))
     )
-
-    def message(p: int) -> Column:
-        turn = F.col(f"turn{p}")
-        number = F.col("conv_id") + F.col("chunk") * TURNS + p
-        spoken = F.when(number % 5 == 0, F.lit("")).otherwise(turn["text"])
-        parts = F.concat(
-            F.lit('[{"type":"text","text":'), _quoted(spoken), F.lit('},{"type":"note","content":"!"}]')
-        )
-        content = F.when((F.col("conv_id") % 3 == 1) & (spoken != ""), parts).otherwise(_quoted(spoken))
-        text = F.concat(F.lit('{"role":'), _quoted(turn["role"]), F.lit(',"content":'), content, F.lit("}"))
-        return F.when(turn.isNotNull(), text)
-
-    asked = F.concat(
-        F.lit("["), F.array_join(F.array_compact(F.array(*(message(p) for p in range(TURNS - 1)))), ","), F.lit("]")
-    )
-    answer = message(TURNS - 1)
+    messages = F.col("parts.message")
+    asked = F.concat(F.lit("["), F.array_join(F.slice(messages, 1, F.size("parts") - 1), ","), F.lit("]"))
+    answer = F.element_at(messages, -1)
     even = F.col("conv_id") % 2 == 0
     return events.select(
         "conv_id",
-        "chunk",
         F.when(even, F.concat(F.lit('{"messages":'), asked, F.lit("}"))).otherwise(asked).alias("input"),
         F.coalesce(
             F.when(even, F.concat(F.lit('{"choices":[{"message":'), answer, F.lit("}]}"))).otherwise(answer),
@@ -135,7 +124,7 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit('{"input":'), "input", F.lit(',"output":'), "output", F.lit("}"))
-    return chat_events(spark, sf_dir).select("conv_id", "chunk", body.alias("body"))
+    return chat_events(spark, sf_dir).select("conv_id", body.alias("body"))
 
 
 def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,28 +163,26 @@ def _member_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of batch files: drifting fields, broken lines and unreadable file names included."""
     number, member = F.col("event_id"), F.col("member")
-    same_file = Window.partitionBy("member", "span")
-    digits = F.format_string("%04d", member)
     trace = (
-        F.when(member % 7 == 0, F.concat(F.lit("_trace_x_"), digits))
-        .when(member % 11 == 0, F.lit(""))
-        .otherwise(F.concat(F.lit("_trace"), digits))
-    )
-    stamp = F.when(member % 13 == 0, F.lit("notatime")).otherwise(
-        F.date_format(F.min("ts").over(same_file), "yyyyMMdd'T'HHmmss'Z'")
+        F.when(member % 7 == 0, _text("_run_of_", member)).when(member % 11 == 0, F.lit("")).otherwise(_text("_run", member))
     )
+    stamp = F.when(member % 13 == 0, F.lit("notatime")).otherwise(F.date_format("first_ts", "yyyyMMdd'T'HHmmss'Z'"))
     key = F.concat(
-        _project(member), F.lit("/"), F.format_string("sess%04d", member % 50), trace, F.lit("_"), _type_of(member),
-        F.format_string("_%08x_", member), stamp, F.format_string("_u%d.jsonl", "span"),
+        _project(member), _text("/s", member % 40), trace, _text("_kind", member % 3), F.lit("_"),
+        _short_hash(member.cast("string")), F.lit("_"), stamp, F.format_string("_u%d.jsonl", "span"),
     )
     line = F.concat(
-        F.format_string('{"id":"evt-%06d","type":"', number), "event_type", F.lit('"'),
+        F.format_string('{"id":"ev%d","type":"', number), "event_type", F.lit('"'),
         F.when(number % 19 == 0, F.lit("")).otherwise(F.concat(F.lit(',"body":'), "props")),
         F.when(number % 23 == 0, F.lit(',"model":"m"')).otherwise(F.lit("")),
+        F.format_string(',"trace_id":"own%d","timestamp":"%d"', number % 10, number % 60),
         F.lit("}"),
         F.when(number % 97 == 0, F.lit("\nBROKEN{")).otherwise(F.lit("")),
     )
-    events = _member_events(spark, sf_dir)
+    members = _member_events(spark, sf_dir)
+    # One small row per file: the time of its first event.
+    started = members.groupBy("member", "span").agg(F.min("ts").alias("first_ts"))
+    events = members.join(started, ["member", "span"])
     return events.select(key.alias("key"), number.alias("position"), line.alias("text"))
 
 
@@ -220,7 +207,8 @@ def _media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     files = F.array(
         F.struct(F.concat(place, F.lit(".meta.json")).alias("key"), sidecar.alias("text")),
-        F.struct(F.concat(place, F.lit(".bin")).alias("key"), F.lit("blob").alias("text")),
+        # A blob that could pass for an event.
+        F.struct(F.concat(place, F.lit(".bin")).alias("key"), F.lit('{"id":"blob","type":"t","body":"b"}').alias("text")),
     )
     return stored.select(F.explode(files).alias("file")).select(
         "file.key", F.lit(0).cast("bigint").alias("position"), "file.text"
@@ -238,12 +226,12 @@ def _chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch files of chat events; every other event carries input and output without a body."""
     number, member = F.col("conv_id"), F.col("conv_id") % 20
     key = F.format_string(
-        "org%d/user%d/sess%04d_trace%d_chatbot_%08x_20240101T000000Z_u%d-%d.jsonl",
-        number % 4, member, member, member, member, F.expr("conv_id div 10000"), F.expr("chunk div 1000"),
+        "org%d/user%d/s%d_run%d_chat_c%d_20240101T000000Z_u%d.jsonl",
+        number % 4, member, member, member, member, F.expr("conv_id div 10000"),
     )
     content = F.concat(F.lit('"input":'), "input", F.lit(',"output":'), "output")
     line = F.concat(
-        F.format_string('{"id":"%d-%d",', number, F.col("chunk")),
+        F.format_string('{"id":"%d",', number),
         F.when(number % 2 == 0, F.concat(F.lit('"body":{'), content, F.lit("}"))).otherwise(content),
         F.lit("}"),
     )

@@ -2,6 +2,7 @@ import json
 import re
 
 import pytest
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,17 +10,17 @@ import logquarry as lq
 
 from conftest import plan_of
 
-STAMP = "20260301T{}0000Z"
+STAMP = "20250614T{}1500Z"
 
 
 def key(session, trace, hour, folder="org/alice", kind="chat", unique="u.jsonl"):
     return f"{folder}/{session}_{trace}_{kind}_0a_{STAMP.format(hour)}_{unique}"
 
 
-A1, A2, B1 = key("sessA", "tr1", 10), key("sessA", "tr2", 12), key("sessB", "tr1", 14)
-BOB = key("sessA", "tr1", 11, "org/bob")
-DEEP = key("sessC", "tr9", 11, "org/alice/deep", "qa-bot")
-OTHER = key("sessA", "tr1", 10, "org2/alice")
+A1, A2, B1 = key("dawn", "req-7", "05"), key("dawn", "req-8", "09"), key("dusk", "req-7", "21")
+BOB = key("dawn", "req-7", "07", "org/bob")
+DEEP = key("noon", "req-9", "07", "org/alice/deep", "review")
+OTHER = key("dawn", "req-7", "05", "org2/alice")
 
 
 def line(number, **more):
@@ -85,15 +86,17 @@ def test_list_files(spark, root):
     def found(**filters):
         return keys(lq.list_files(spark, root, "org/alice", **filters))
 
-    assert found(start="2026-03-01T11:30:00", end="2026-03-01T13:00:00") == [A2]
-    assert found(start="2026-03-01T10:00:00", end="2026-03-01T14:00:00") == sorted([A1, A2, B1, DEEP])
-    assert found(session_id="sessB") == [B1]
-    assert found(trace_id="tr1") == sorted([A1, B1])
-    assert found(trace_type="qa-bot") == [DEEP]
+    assert found(start="2025-06-14T09:15:00") == sorted([A2, B1])
+    assert found(start="2025-06-14T05:15:00.000001", end="2025-06-14T09:14:59") == [DEEP]
+    assert found(end="2025-06-14T07:15:00+02:00") == [A1]
+    assert found(session_id="noon", trace_id="req-9") == [DEEP]
+    assert found(session_id="dusk", trace_id="req-8") == []
+    assert found(trace_id="req-7", end="2025-06-14T20:00:00") == [A1]
+    assert found(trace_type="review") == [DEEP]
     assert found(input_hash="ff") == []
-    row = lq.list_files(spark, root, "org/alice", session_id="sessB").head().asDict()
-    assert row == {"key": B1, "session_id": "sessB", "trace_id": "tr1", "trace_type": "chat", "input_hash": "0a",
-                   "timestamp": "2026-03-01T14:00:00+00:00"}
+    row = lq.list_files(spark, root, "org/alice", session_id="dusk").head().asDict()
+    assert row == {"key": B1, "session_id": "dusk", "trace_id": "req-7", "trace_type": "chat", "input_hash": "0a",
+                   "timestamp": "2025-06-14T21:15:00+00:00"}
 
 
 def test_missing_tenant_is_empty(spark, root):
@@ -124,7 +127,7 @@ def test_search(spark, root):
     assert ids("*", limit=2) == ["e4", "3"]
     assert sorted(ids("body", newest_first=False)) == ["e1", "e2", "e6"]
     assert ids("*", session_id="nope") == []
-    assert ids("body", is_org_admin=True, session_id="sessA", end="2026-03-01T11:00:00Z") == ["e5", "e1", "e2"]
+    assert ids("body", is_org_admin=True, session_id="dawn", end="2025-06-14T08:00:00Z") == ["e5", "e1", "e2"]
 
 
 def test_extra_fields(spark, root):
@@ -136,11 +139,11 @@ def test_extra_fields(spark, root):
 def test_only_matching_files_are_opened(spark, root):
     everything = lq.search_files(spark, root, "*", "org/alice")
     assert files_read(everything) == 4
-    assert files_read(lq.search_files(spark, root, "*", "org/alice", session_id="sessA", trace_id="tr2")) == 1
-    assert files_read(lq.search_files(spark, root, "*", "org/alice", start="2026-03-01T12:00:00")) == 2
+    assert files_read(lq.search_files(spark, root, "*", "org/alice", session_id="dawn", trace_id="req-8")) == 1
+    assert files_read(lq.search_files(spark, root, "*", "org/alice", start="2025-06-14T09:00:00")) == 2
     assert files_read(lq.select_files(lq.read_events(spark, root), [A1, B1])) == 2
     assert files_read(lq.list_files(spark, root, "org/alice")) == 4
-    assert files_read(lq.list_files(spark, root, "org/alice", session_id="sessB")) == 1
+    assert files_read(lq.list_files(spark, root, "org/alice", session_id="dusk")) == 1
     assert "TakeOrderedAndProject" in plan_of(everything)
     assert "Python" not in plan_of(everything)
 
@@ -170,14 +173,18 @@ def test_both_scans_give_the_same_keys(spark, put):
     assert keys(lq.read_events(spark, f"file://{root}", "org/alice")) == sorted(names)
 
 
-def test_selection_sizes(spark, root, monkeypatch):
+def test_selection_sizes(spark, root):
     events = lq.read_events(spark, root, "org/alice")
-    chosen = lq.list_files(spark, root, "org/alice", session_id="sessA")
+    chosen = lq.list_files(spark, root, "org/alice", session_id="dawn")
     assert sorted(r["id"] for r in lq.select_files(events, chosen).collect()) == ["3", "e1", "e2"]
+    assert lq.select_files(events, chosen).columns == lq.select_files(events, [A1]).columns == events.columns
+    assert lq.select_events(events, events.where("id = 'e1'").select("id")).count() == 1
+    assert lq.select_events(events, events.where("false").select("id")).count() == events.count()
+    many = spark.range(5000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"))
+    assert lq.select_events(events, many).count() == lq.select_events(events, [r["id"] for r in many.collect()]).count()
     assert lq.select_files(events, []).count() == 0
     assert lq.select_events(events, []).count() == events.count()
     assert lq.select_events(events, ["e1", "e6", "gone"]).count() == 2
-    monkeypatch.setattr("logquarry.operators.selection.INLINE_VALUES", 1)
     assert "Join" in plan_of(lq.select_files(events, chosen))
     assert sorted(r["id"] for r in lq.select_files(events, chosen).collect()) == ["3", "e1", "e2"]
     assert lq.select_events(events, ["e1", "e6", "gone", "e1"]).count() == 2
@@ -190,9 +197,9 @@ def test_manifest_and_ownership(spark, root):
     rows = lq.locate(wanted, "org/alice", "http://in/b/", internal_uri="http://in", public_uri="https://out").collect()
     assert [tuple(r) for r in rows] == [(A1, f"https://out/b/{A1}")]
     assert lq.locate(wanted, "org/alice", "s3a://b", is_org_admin=True).count() == 2
-    row = lq.manifest(lq.list_files(spark, root, "org/alice", session_id="sessB"), "s3a://b", ttl_seconds=90,
-                      now=datetime(2026, 3, 1)).head()
-    assert (row["url"], row["url_expiry"]) == (f"s3a://b/{B1}", "2026-03-01T00:01:30+00:00")
+    row = lq.manifest(lq.list_files(spark, root, "org/alice", session_id="dusk"), "s3a://b", ttl_seconds=90,
+                      now=datetime(2025, 6, 14)).head()
+    assert (row["url"], row["url_expiry"]) == (f"s3a://b/{B1}", "2025-06-14T00:01:30+00:00")
     assert lq.manifest(wanted).columns == ["key"]
 
 
@@ -202,15 +209,20 @@ def test_media(spark, put):
 
     root = put(
         {
-            "a/b/media/m1.meta.json": sidecar(1, uploadedAt="2026-03-01T12:00:00+05:00"),
+            "a/b/media/m1.meta.json": sidecar(1, uploadedAt="2025-06-14T09:00:00+05:00"),
             "a/b/media/m[1]*.meta.json": sidecar(2),
             "a/b/media/m1.bin": "x",
-            "a/c/media/m1.meta.json": sidecar(3, uploadedAt="not a time"),
+            "a/c/media/m1.meta.json": sidecar(3, uploadedAt="2025-06-14T09:00:00"),
+            "bad/t/media/m1.meta.json": sidecar(3, uploadedAt="not a time"),
+            "bad/u/media/m1.meta.json": "{broken",
             "a/b/m9.meta.json": sidecar(9),
         }
     )
-    rows = {(r["project_id"], r["media_id"]): r for r in lq.read_media_meta(spark, root).collect()}
+    rows = {(r["project_id"], r["media_id"]): r for r in lq.read_media_of(spark, root, ["a/b", "a/c", "no/one"]).collect()}
     assert set(rows) == {("a/b", "m1"), ("a/b", "m[1]*"), ("a/c", "m1")}
+    for tenant in ("bad/t", "bad/u"):
+        with pytest.raises(SparkRuntimeException if tenant == "bad/t" else Exception):
+            lq.read_media_meta(spark, root, tenant).collect()
     assert lq.read_media_meta(spark, root, "a/b").count() == 2
 
     def one(media_id, tenant="a/b"):
@@ -218,10 +230,11 @@ def test_media(spark, put):
         return found.withColumn("uploaded_at", lq.iso_utc(F.col("uploaded_at"))).collect()
 
     [row] = one("m1")
-    assert (row["content_type"], row["content_length"], row["uploaded_at"]) == ("image/png", 1, "2026-03-01T07:00:00+00:00")
+    assert (row["content_type"], row["content_length"], row["uploaded_at"]) == ("image/png", 1, "2025-06-14T04:00:00+00:00")
     assert row["url"] == "https://out/b/a/b/media/m1.bin"
     assert [r["content_length"] for r in one("m[1]*")] == [2]
-    assert [r["uploaded_at"] for r in one("m1", "a/c")] == [None]
+    assert [r["uploaded_at"] for r in one("m1", "a/c")] == ["2025-06-14T09:00:00+00:00"]
+    assert one("m[1]*")[0]["uploaded_at"] is None
     assert one("m2") == [] and one("m?") == []
     with pytest.raises(ValueError):
         one("../../c/media/m1")
@@ -231,15 +244,61 @@ def test_media(spark, put):
 
 def test_named_file_sources(spark, root):
     lake = lq.Source("lake", "files", root=root, base_uri="http://in/b", internal_uri="http://in", public_uri="https://out")
-    assert keys(lq.list_source_files(spark, lake, "org/alice", session_id="sessB")) == [B1]
-    day = {"start": "2026-03-01T14:00:00", "end": "2026-03-01T14:00:00"}
+    assert keys(lq.list_source_files(spark, lake, "org/alice", session_id="dusk")) == [B1]
+    day = {"start": "2025-06-14T21:00:00", "end": "2025-06-14T22:00:00"}
     [row] = lq.list_source_files(spark, lake, "org/alice", with_uri=True, **day).collect()
     assert row["url"] == f"https://out/b/{B1}"
     with pytest.raises(ValueError):
-        lq.list_source_files(spark, lake, "org/alice", with_uri=True, start="2026-03-01")
+        lq.list_source_files(spark, lake, "org/alice", with_uri=True, start="2025-06-14")
     wanted = spark.createDataFrame([(A1,), (OTHER,)], "key string")
     assert keys(lq.locate_source_files(lake, wanted, "org/alice")) == [A1]
     [row] = lq.source_media(spark, lake, "org/alice", "m1").collect()
     assert (row["url"], row["content_length"]) == ("https://out/b/org/alice/media/m1.bin", 5)
     with pytest.raises(ValueError):
         lq.list_source_files(spark, lq.Source("t", "table"), "org/alice")
+
+
+def test_media_and_own_fields_do_not_mix_with_events(spark, put):
+    root = put(
+        {
+            A1: '{"id":"e1","type":"t","body":"b","trace_id":"LINE","timestamp":"own"}\n',
+            "org/alice/media/m1.bin": '{"id":"x","type":"t","body":"b"}\n',
+            "org/alice/media/m1.meta.json": '{"contentType":"a","contentLength":1}\n',
+        }
+    )
+    own = T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("timestamp", T.StringType())])
+    [row] = lq.search_files(spark, root, "*", "org/alice", extra=own).collect()
+    assert (row["trace_id"], row["event_timestamp"], row["key"]) == ("LINE", "own", A1)
+    assert [r["id"] for r in lq.read_events(spark, root).collect()] == ["e1"]
+    assert lq.read_records(spark, root).count() == 1
+    assert lq.read_export_events(spark, root, "org/alice").count() == 1
+
+
+def test_missing_root_is_an_error(spark, tmp_path):
+    for read in (lq.list_batches, lq.read_events, lq.read_records):
+        with pytest.raises(AnalysisException):
+            read(spark, str(tmp_path / "gone")).collect()
+
+
+def test_inventory(spark, root):
+    stored = spark.createDataFrame([(A1,), (BOB,), ("x",)], "key string")
+    assert keys(lq.list_files(spark, root, "org/alice", inventory=stored)) == [A1]
+
+
+def test_broken_and_naive_traces(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"id":"a","timestamp":"2025-06-14T12:00:00"}\nBROKEN{\n')
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            traces = lq.scan_traces(spark, str(tmp_path))
+            found = lq.search_traces(traces, "*", start="2025-06-14T11:00:00", end="2025-06-14T13:00:00")
+            assert [r["id"] for r in found.collect()] == ["a"]
+            table = spark.createDataFrame([("2025-06-14T12:00:00",)], "timestamp string")
+            assert lq.time_range(table, "2025-06-14T11:59:00", "2025-06-14T12:01:00Z").count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    with pytest.raises(Exception, match="MALFORMED"):
+        lq.scan_traces(spark, str(tmp_path), strict=True).collect()
+    with pytest.raises(ValueError):
+        lq.search_traces(spark.createDataFrame([("a",)], "id string"), "*", project_id="o/u")

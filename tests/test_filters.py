@@ -126,7 +126,8 @@ def test_row_filters_run_on_a_stream(spark, put, tmp_path):
 def test_limits(spark):
     df = spark.range(600).select(F.col("id").cast("string").alias("event_id"), F.timestamp_seconds("id").alias("timestamp"))
     assert lq.newest(df, 0).count() == 0
-    assert lq.newest(df, 501).count() == 500
+    assert lq.newest(df, 501).count() == 501
+    assert lq.newest(df, None).count() == df.count()
     assert [r[0] for r in lq.newest(df, 2).collect()] == ["599", "598"]
     with pytest.raises(ValueError):
         lq.newest(df, -1)

@@ -17,42 +17,42 @@ def parse(spark, *keys):
 @pytest.mark.parametrize(
     "key, trace",
     [
-        ("p/s_t_chat_h_20260301T120000Z_id.jsonl", "t"),
-        ("p/s_t_w_u_chat_h_20260301T120000Z_id.jsonl", "t_w_u"),
-        ("p/s_t_chat_h_20260301T120000Z_id.json.jsonl", "t"),
-        ("p/s_t_chat_h_20260301T120000Z_id.json", "t"),
-        ("p/s_t_chat_h_20260301T120000Z_id", "t"),
-        ("s_chat_h_20260301T120000Z_id.jsonl", "unknown"),
-        ("p/s__chat_h_20260301T120000Z_id.jsonl", ""),
-        ("p/s____chat_h_20260301T120000Z_id.jsonl", "__"),
+        ("p/s_t_chat_h_20250614T051500Z_id.jsonl", "t"),
+        ("p/s_t_w_u_chat_h_20250614T051500Z_id.jsonl", "t_w_u"),
+        ("p/s_t_chat_h_20250614T051500Z_id.json.jsonl", "t"),
+        ("p/s_t_chat_h_20250614T051500Z_id.json", "t"),
+        ("p/s_t_chat_h_20250614T051500Z_id", "t"),
+        ("s_chat_h_20250614T051500Z_id.jsonl", "unknown"),
+        ("p/s__chat_h_20250614T051500Z_id.jsonl", ""),
+        ("p/s____chat_h_20250614T051500Z_id.jsonl", "__"),
     ],
 )
 def test_fields(spark, key, trace):
     row = parse(spark, key)[key]
     assert (row["session_id"], row["trace_type"], row["input_hash"]) == ("s", "chat", "h")
     assert row["trace_id"] == trace
-    assert row["timestamp"] == "2026-03-01T12:00:00+00:00"
+    assert row["timestamp"] == "2025-06-14T05:15:00+00:00"
 
 
 def test_underscore_in_type_shifts_fields(spark):
-    row = parse(spark, "p/s_t_my_type_h_20260301T120000Z_id.jsonl")["p/s_t_my_type_h_20260301T120000Z_id.jsonl"]
+    row = parse(spark, "p/s_t_my_type_h_20250614T051500Z_id.jsonl")["p/s_t_my_type_h_20250614T051500Z_id.jsonl"]
     assert (row["trace_id"], row["trace_type"]) == ("t_my", "type")
 
 
 @pytest.mark.parametrize(
     "key",
     [
-        "p/bad_key.jsonl",
+        "p/noparts.jsonl",
         "",
         "p/media/m.meta.json",
         "p/s_t_chat_h_20261301T120000Z_id.jsonl",
         "p/s_t_chat_h_20260230T120000Z_id.jsonl",
         "p/s_t_chat_h_00000101T120000Z_id.jsonl",
-        "p/s_t_chat_h_20260301t120000z_id.jsonl",
-        "p/chat_h_20260301T120000Z_id.jsonl",
-        "s_t/chat_h_20260301T120000Z_id.jsonl",
+        "p/s_t_chat_h_20250614t051500z_id.jsonl",
+        "p/chat_h_20250614T051500Z_id.jsonl",
+        "s_t/chat_h_20250614T051500Z_id.jsonl",
         "2026-03-01T12:00:00Z",
-        "p/s_t_chat_h_20260301T120000Z_id/",
+        "p/s_t_chat_h_20250614T051500Z_id/",
     ],
 )
 def test_unusable_keys_are_dropped(spark, key):

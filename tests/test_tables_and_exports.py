@@ -125,8 +125,8 @@ def test_search_traces(traces):
     assert ids("*") == ["t3", "t2", "t1"]
     assert ids("NEEDLE") == ["t3", "t2", "t1"]
     assert ids("needle", limit=1) == ["t3"]
-    assert ids("chat", limit=1) == []
-    assert ids("chat", limit=1, pre_limit=False) == ["t1"]
+    assert ids("chat", limit=1) == ["t1"]
+    assert ids("chat", limit=1, pre_limit=True) == []
     assert ids("e %") == ["t2"]
     assert ids("n%e") == []
     assert ids("*", trace_type="chat") == ["t1"]
