@@ -49,9 +49,18 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
     """How many of the ``counts`` documents of each length to take, so that the words taken come nearest to the budget.
 
     Documents are taken in proportion along the lengths until at most ``EXACT_BUDGET`` words or some of the longest
-    documents are left. A bounded knapsack fits the rest: the bits of an integer are the sums that can be
-    reached, lengths are added in seeded order, a length's count is split into powers of two, and the steps
-    are followed back from the sum nearest to the rest.
+    documents are left, and a bounded knapsack fits the rest. Where that misses and the whole budget is
+    small enough, the knapsack starts from nothing and is exact.
+    """
+    taken = _fit(lengths, counts, budget, seed, True)
+    if int((lengths * taken).sum()) != budget and 0 < budget <= EXACT_BUDGET:
+        taken = _fit(lengths, counts, budget, seed, False)
+    return taken
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, in_proportion: bool) -> np.ndarray:
+    """In the knapsack the bits of an integer are the sums that can be reached. Lengths are added in seeded order, a
+    length's count is split into powers of two, and the steps are followed back from the sum nearest to the rest.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     taken = np.zeros(len(lengths), dtype=np.int64)
@@ -61,7 +70,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
     if budget >= total:
         return counts.copy()
     slack = min(2 * int(lengths.max()), EXACT_BUDGET)
-    if budget > slack:
+    if in_proportion and budget > slack:
         share = (budget - slack) / total
         reached = np.floor(np.cumsum(counts) * share).astype(np.int64)
         taken = np.diff(reached, prepend=0)
@@ -79,7 +88,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
     if rest <= 0:
         return taken
 
-    limit = rest + int(lengths[lengths > 0].min())
+    limit = 2 * rest
     reach, mask, steps = 1, (1 << (limit + 1)) - 1, []
     for at in order:
         length, left, power = int(lengths[at]), int(counts[at] - taken[at]), 1

@@ -34,8 +34,9 @@ RULES = (
     Rule("symbol_rate", 0.01, 0.1),
     Rule("repetition_rate", 0.15, 0.35),
     Rule("shouting_rate", 0.1, 0.35),
-    Rule("odd_word_length", 2.0, 4.5),
-    Rule("unfinished_line_rate", 0.25, 0.75),
+    # Clean text of some languages and kinds has long words and no stops: these speak for a text, hardly against it.
+    Rule("odd_word_length", 2.0, 20.0),
+    Rule("unfinished_line_rate", 0.25, 2.0),
 )
 
 
@@ -177,6 +178,7 @@ def quality_rules(
     threshold: float = 0.5,
     rounds: int = 100,
     with_text: bool = True,
+    only_kept: bool = False,
 ) -> DataFrame:
     """Probability that each text is good, learnt from the rules' votes alone.
 
@@ -190,7 +192,7 @@ def quality_rules(
     table gives an empty result. Columns named like a result are replaced.
 
     Votes are computed twice, once to be counted and once to be weighed, because shuffling or storing the texts
-    costs more. ``with_text=False`` leaves the text out of the result, and then they are computed once and kept
+    costs more. ``only_kept=True`` returns only the rows that are kept. ``with_text=False`` leaves the text out of the result, and then they are computed once and kept
     in the shared folder.
     """
     rows = base_features(docs, id_col=id_col, text_col=text_col)
@@ -208,11 +210,17 @@ def quality_rules(
     for at, name in enumerate(names):
         odds = odds + F.when(F.col(name) > 0, up[at]).when(F.col(name) < 0, down[at]).otherwise(0.0)
     good = 1 / (1 + F.exp(-odds))
+    verdict = F.struct(good.alias("quality"), (~F.col("_failed") & (good >= threshold)).alias("kept"))
+    # Exploding a list of one verdict or none keeps or drops the row. A filter would be pushed below the features, and
+    # Spark would build them again for each of its conditions.
+    wanted = F.filter(F.array(verdict), lambda item: item.getField("kept") | F.lit(not only_kept))
+    text = [] if not with_text else ["_text"]
+    judged = voted.select(*text, "_row", *counts, "_failed", F.explode(wanted).alias("_verdict"))
     results = {name: F.col(name) for name in counts}
     results |= {
         "base_failed": F.col("_failed"),
-        "quality": good,
-        "kept": ~F.col("_failed") & (good >= threshold),
+        "quality": F.col("_verdict.quality"),
+        "kept": F.col("_verdict.kept"),
     }
     names = [name for name in docs.columns if with_text or name != text_col]
-    return unpacked(voted, names, text_col, F.col("_text"), results)
+    return unpacked(judged, names, text_col, F.col("_text"), results)
