@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,13 @@ THRESHOLD = 0.8
 PLACES = 128
 # Children per node. A pair of similarity s meets below a node at depth d with q(d) = 1 - (1 - s q(d - 1)) ** CHILDREN.
 CHILDREN = 2
-TARGET_RECALL = 0.9999
-# Buckets up to this size are compared by brute force; larger ones are split further.
-SMALL = 48
-MOST_LEVELS = 12
+TARGET_RECALL = 0.9995
+# Buckets up to this size are compared by brute force; larger ones are split further. Deep ones may be larger.
+SMALL, SMALL_BELOW = 64, 256
+DEEP = 3
+MOST_LEVELS = 40
 # Estimates: candidates (over five deviations below the threshold); safely alike; linked to a pivot that is left.
-CANDIDATE, ALIKE, LINKED = 0.6, 0.85, 0.42
+CANDIDATE, ALIKE, LINKED = 0.6, 0.75, 0.33
 # Sets of a component are compared in blocks of about this many.
 BLOCK = 256
 ROWS_AT_ONCE = 128
@@ -98,32 +100,74 @@ def _place(path: Column, child: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(77), path), F.lit(step)) + child * step
 
 
-def _children(nodes: DataFrame) -> DataFrame:
+def _children(nodes: DataFrame, number: int = CHILDREN) -> DataFrame:
     """The next level: rows of a bucket that agree in a sampled place share a child, whose path tells both."""
     value = lambda at: F.substring(F.col("_sketch"), (at * 4 + 1).cast("int"), F.lit(4))
-    child = [
-        F.xxhash64("_path", F.lit(at), value(_place(F.col("_path"), at))) for at in range(CHILDREN)
-    ]
+    child = [F.xxhash64("_path", F.lit(at), value(_place(F.col("_path"), at))) for at in range(number)]
     return nodes.select("_node", "_sketch", F.explode(F.array(*child)).alias("_path")).select("_path", "_node", "_sketch")
 
 
+def _spanning(size: int, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that connect what the ones before have not."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (parent := root.get(x, x)) != x:
+            root[x] = root.get(parent, parent)
+            x = root[x]
+        return x
+
+    links = []
+    for a, b in zip(first.tolist(), second.tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((a, b))
+    return links
+
+
 def _in_buckets(rows: DataFrame) -> DataFrame:
-    """Brute force within small buckets: a link to the first row of each group of candidates."""
+    """Brute force within small buckets: candidate links, as few as connect each bucket's candidates.
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_node", ignore_index=True)
-        sketches = np.frombuffer(b"".join(group["_sketch"]), dtype="<u4").reshape(len(group), PLACES)
-        root = np.arange(len(group))
-        for at in range(len(group) - 1):
-            like = np.flatnonzero(_likeness(sketches[at + 1 :], sketches[at]) >= CANDIDATE) + at + 1
-            for other in like:
-                old, new = root[other], root[at]
-                root[root == max(old, new)] = min(old, new)
-        names = group["_node"].to_numpy()
-        moved = root != np.arange(len(group))
-        return pd.DataFrame({"_u": names[moved], "_v": names[root[moved]]})
+    Rows come sorted by bucket. A task compares every row with the first, second, ... row behind it, for all its buckets
+    at once, and holds one batch and one bucket.
+    """
+
+    def links_of(paths: np.ndarray, nodes: list[str], sketches: np.ndarray) -> pa.RecordBatch:
+        ones, others = [], []
+        at = np.arange(len(paths))
+        for step in range(1, len(paths)):
+            at = at[: np.searchsorted(at, len(paths) - step)]
+            at = at[paths[at] == paths[at + step]]
+            if not len(at):
+                break
+            like = at[_likeness(sketches[at], sketches[at + step]) >= CANDIDATE]
+            ones.append(like)
+            others.append(like + step)
+        empty = np.zeros(0, dtype=np.int64)
+        found = _spanning(len(paths), np.concatenate([empty, *ones]), np.concatenate([empty, *others]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([nodes[a] for a, _ in found], pa.string()), pa.array([nodes[b] for _, b in found], pa.string())],
+            names=["_u", "_v"],
+        )
 
-    return rows.groupBy("_path").applyInPandas(compare, "_u string, _v string")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, nodes, data = np.zeros(0, dtype=np.int64), [], []
+        for batch in batches:
+            paths = np.concatenate([paths, batch.column(0).to_numpy()])
+            nodes += batch.column(1).to_pylist()
+            data += batch.column(2).to_pylist()
+            # The last bucket may go on in the next batch.
+            others = np.flatnonzero(paths != paths[-1]) if len(paths) else paths
+            if len(others):
+                stop = int(others[-1]) + 1
+                yield links_of(paths[:stop], nodes[:stop], np.frombuffer(b"".join(data[:stop]), "<u4").reshape(-1, PLACES))
+                paths, nodes, data = paths[stop:], nodes[stop:], data[stop:]
+        if len(paths):
+            yield links_of(paths, nodes, np.frombuffer(b"".join(data), "<u4").reshape(-1, PLACES))
+
+    dealt = rows.select("_path", "_node", "_sketch").repartition(spread(rows.sparkSession), "_path")
+    return dealt.sortWithinPartitions("_path", "_node").mapInArrow(compare, "_u string, _v string")
 
 
 def _likeness_column(rows: DataFrame) -> DataFrame:
@@ -152,32 +196,40 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     text ends at once however large, and no pairs of it are listed.
     """
     roots = F.array(*(F.xxhash64(F.lit("run"), F.lit(at)) for at in range(runs)))
-    level = cut(_children(sets.select(F.explode(roots).alias("_path"), "_node", "_sketch")).drop("_sketch"))
-    links = None
+    level = _children(sets.select(F.explode(roots).alias("_path"), "_node", "_sketch")).drop("_sketch")
+    sizes = cut(_bucket_sizes(level))
+    # Most texts are alone in every bucket; only the others go on, with their sketches.
+    level = cut(level.join(sizes.select("_path"), "_path"))
+    sets = cut(sets.join(level.select("_node").distinct(), "_node"))
+    links = []
     for depth in range(MOST_LEVELS):
-        sizes = level.groupBy("_path").agg(F.count("*").alias("_n"), F.min("_node").alias("_pivot_node"))
-        sizes = cut(sizes.where(F.col("_n") > 1))
-        small = level.join(sizes.where(F.col("_n") <= SMALL), "_path").select("_path", "_node")
-        found = _in_buckets(small.join(sets, "_node"))
-        large = sizes.where(F.col("_n") > SMALL)
-        if not large.isEmpty():
-            pivots = large.join(
-                sets.select(F.col("_node").alias("_pivot_node"), F.col("_sketch").alias("_pivot")), "_pivot_node"
-            )
-            rows = level.join(large.select("_path"), "_path").join(sets, "_node").join(pivots, "_path")
+        small = SMALL if depth < DEEP else SMALL_BELOW
+        few = level.join(sizes.where(F.col("_n") <= small).select("_path"), "_path")
+        found = _in_buckets(few.join(sets, "_node"))
+        large = sizes.where(F.col("_n") > small)
+        last = large.isEmpty()
+        if not last:
+            pivots = sets.select(F.col("_node").alias("_pivot_node"), F.col("_sketch").alias("_pivot"))
+            rows = level.join(large.join(pivots, "_pivot_node").drop("_n"), "_path").join(sets, "_node")
             met = cut(_likeness_column(rows.select("_path", "_node", "_sketch", "_pivot_node", "_pivot")).drop("_pivot"))
             linked = met.where((F.col("_like") >= LINKED) & (F.col("_node") != F.col("_pivot_node")))
             found = found.union(linked.select(F.col("_node").alias("_u"), F.col("_pivot_node").alias("_v")))
             rest = met.where(F.col("_like") < ALIKE).select("_node", "_sketch", "_path")
-        found = cut(found.distinct())
-        links = found if links is None else links.union(found)
-        if large.isEmpty():
-            return links
-        # At the last level what is left of a bucket keeps its path and meets further pivots until it is small.
-        level = cut(_children(rest).drop("_sketch") if depth < MOST_LEVELS // 2 else rest.drop("_sketch"))
+        links.append(cut(found.distinct()))
+        if last:
+            return reduce(DataFrame.union, links)
+        # A pair that is still together is so in many buckets; from here on one child each keeps the rows few.
+        level = cut(_children(rest, CHILDREN if depth < DEEP else 1).drop("_sketch"))
+        sizes = cut(_bucket_sizes(level))
     raise RuntimeError("some buckets are still large; allow more levels")
 
 
+def _bucket_sizes(level: DataFrame) -> DataFrame:
+    """Buckets of two rows or more, with their least row."""
+    sizes = level.groupBy("_path").agg(F.count("*").alias("_n"), F.min("_node").alias("_pivot_node"))
+    return sizes.where(F.col("_n") > 1)
+
+
 def _overlaps(sets: list[np.ndarray], first: int) -> np.ndarray:
     """Sizes of the intersections of the first sets with the others, or of all with all if ``first`` is their number.
 
