@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder path that all executors share."""
+    """A new folder that all executors share, as a path with its scheme."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="logquarry-")
-    return f"{shared.rstrip('/')}/logquarry-{label}-{uuid.uuid4().hex}"
+    # Without a scheme Spark takes its default file system, and so does this.
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/logquarry-{label}-{uuid.uuid4().hex}")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(place).toString()
 
 
 def write_named_files(lines: DataFrame, root: str) -> None:
@@ -35,8 +38,10 @@ def write_named_files(lines: DataFrame, root: str) -> None:
 
         if "://" in root:
             files, base = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
-        else:
+        elif root.startswith("file:"):
             files, base = fs.LocalFileSystem(), root.removeprefix("file:")
+        else:
+            raise ValueError(f"a root needs a scheme: {root!r}")
         current, stream = None, None
         for batch in batches:
             for key, part in batch.groupby("key", sort=False):

@@ -282,6 +282,8 @@ def event_table_root(spark: SparkSession, sf_dir: str) -> str:
 
     def build(root: str) -> None:
         layout = {"org": F.substring_index("project_id", "/", 1), "day": F.to_date("timestamp")}
-        event_log(spark, sf_dir).withColumns(layout).write.partitionBy(*layout).parquet(root)
+        # One task writes a partition, so there are no small files.
+        laid_out = event_log(spark, sf_dir).withColumns(layout).repartition(*layout)
+        laid_out.write.partitionBy(*layout).parquet(root)
 
     return _once(spark, sf_dir, "events", build)
