@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import reference
+from corpora import corpus, docs, empty, odd  # noqa: F401  (fixtures)
 from logquarry.llm import bpe, components, mixing, quality, sharding
 from logquarry.llm.fingerprints import document_fingerprints, edited_fingerprints
 from logquarry.llm.jaccard_join import jaccard_join, one_per_class

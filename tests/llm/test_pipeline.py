@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 import reference
+from corpora import corpus, docs, empty, odd  # noqa: F401  (fixtures)
 from logquarry.llm.common import written
 from logquarry.llm.mixing import mix_sources
 from logquarry.llm.queries import ORACLE, QUERIES
