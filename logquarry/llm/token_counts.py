@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from .common import column, in_workers, spread, text_or_empty
 
 ROWS_AT_ONCE = 256
-# How many of the most frequent pre-tokens are counted ahead and sent to all tasks: a fixed bound, about 1 MB.
-MOST_FREQUENT = 65_536
+# How many of the most frequent pre-tokens are counted ahead and sent to all tasks: a fixed bound, about 4 MB.
+MOST_FREQUENT = 262_144
 # Which share of the documents tells what is frequent. It decides only which way a pre-token goes.
 FREQUENT_FROM = 0.05
 MAX_SENT_LENGTH = 64
@@ -94,7 +94,7 @@ def token_counts(
 
     Texts become pre-token frequencies. Rare pre-tokens are shuffled, so that all rows of one meet in one task;
     there they are sorted, each distinct one is counted once, and counts are joined to the documents' frequencies and
-    summed per document. Up to 65,536 pre-tokens that are frequent in a seeded twentieth of the texts are counted
+    summed per document. Up to 262,144 pre-tokens that are frequent in a seeded twentieth of the texts are counted
     ahead and sent to all tasks, so no hot pre-token is ever shuffled. All texts and pre-tokens are counted
     exactly, whichever way they go.
 
@@ -103,9 +103,12 @@ def token_counts(
     machine, or sent along with ``SparkContext.addFile``.
     """
     rows = docs.select(column(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    rows = rows.select("_id", F.xxhash64("_text").alias("_hash"), F.octet_length("_text").alias("_bytes"), "_text")
     spark = docs.sparkSession
     in_workers(spark)
+    # Texts are told apart by a hash only where ids repeat: it would go into every shuffled row.
+    repeated = rows.groupBy("_id").count().where(F.col("count") > 1)
+    text_hash = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("_text")
+    rows = rows.select("_id", text_hash.alias("_hash"), F.octet_length("_text").alias("_bytes"), "_text")
     frequent = _frequent(rows)
     sizes = spark.sparkContext.broadcast(dict(zip(frequent, count_pieces(_model(model_path), frequent), strict=True)))
 
@@ -137,8 +140,9 @@ def token_counts(
                 words.append(None)
                 counts.append(settled)
             taken = part.select([0, 1]).take(pa.array(at, pa.int32()))
-            n_bytes = part.column(2).cast(pa.int64()).take(pa.array(at, pa.int32()))
-            arrays = [*taken.columns, n_bytes, pa.array(words, pa.string()), pa.array(counts, pa.int64())]
+            first = np.array([word is None for word in words])
+            n_bytes = np.where(first, part.column(2).to_numpy()[at], 0).astype(np.int64)
+            arrays = [*taken.columns, pa.array(n_bytes), pa.array(words, pa.string()), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[field.name for field in fields])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +164,13 @@ def token_counts(
             yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_hash", "_bytes", "_tokens", "_rows"])
 
     listed = rows.mapInArrow(frequencies, T.StructType(fields))
-    dealt = listed.repartition(spread(spark), F.coalesce("_word", F.col("_hash").cast("string")))
+    dealt = listed.repartition(spread(spark), F.coalesce("_word", F.xxhash64("_id", "_hash").cast("string")))
     out = T.StructType([*fields[:3], T.StructField("_tokens", T.LongType()), T.StructField("_rows", T.LongType())])
     summed = (
         dealt.sortWithinPartitions("_word")
         .mapInArrow(counted, out)
-        .groupBy("_id", "_hash", "_bytes")
-        .agg(F.sum("_tokens").alias("_tokens"), F.sum("_rows").alias("_rows"))
+        .groupBy("_id", "_hash")
+        .agg(F.max("_bytes").alias("_bytes"), F.sum("_tokens").alias("_tokens"), F.sum("_rows").alias("_rows"))
     )
     # Equal rows have been summed together.
     tokens = (F.col("_tokens") / F.col("_rows")).cast("long")
