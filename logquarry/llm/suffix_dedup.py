@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,16 +15,13 @@ from .hashing import Spans, mix
 
 # Passages of this many bytes are looked for.
 LENGTH = 100
-# Ranks start with this many bytes; then they are doubled, and the last step overlaps to come out at LENGTH.
+# The sampled suffixes are first ranked by this many bytes.
 SEED = 32
+# Then by what blocks of so many neighbouring passages have in common: with one, the passage itself.
+WIDTHS = (8, 1)
 BYTES_AT_ONCE = 8_000_000
 
-_PAIR = np.array([0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93], dtype=np.uint64)
-
-
-def doubled(ranks: np.ndarray, offset: int) -> np.ndarray:
-    """Ranks of longer prefixes: the pair of the ranks at each position and ``offset`` behind it."""
-    return mix(ranks[: len(ranks) - offset] * _PAIR[0] + mix(ranks[offset:]) * _PAIR[1])
+_PLACE = np.uint64(0x9E6C63D0876A9A47)
 
 
 def _least_in_window(values: np.ndarray, width: int) -> np.ndarray:
@@ -36,39 +33,45 @@ def _least_in_window(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(values) - width + 1], least[width - size :])
 
 
-class Suffixes:
-    """The sampled suffixes of one text.
+class Passages:
+    """The passages of one text, each with the suffix that it samples.
 
-    Of the seeds in every passage of ``length`` bytes the one with the least hash is sampled, so equal
-    passages sample the same seed at the same place. ``at`` are the sampled positions, and the passages that start from
-    ``low`` to ``high`` have sampled it. ``rank`` is the rank of the seed, ``context`` one of all bytes of these passages.
+    Of the seeds in a passage the one with the least hash is sampled, so equal passages sample an equal suffix, at the
+    same distance from their start. There is about one sampled suffix for 35 bytes.
     """
 
     def __init__(self, data: bytes, length: int, seed: int):
+        self.length, self.reach = length, length - seed
         self.count = max(0, len(data) - length + 1)
         if not self.count:
-            self.at = self.low = self.high = np.zeros(0, dtype=np.int64)
-            self.rank = self.context = np.zeros(0, dtype=np.uint64)
+            self.suffix = np.zeros(0, dtype=np.int64)
             return
-        spans = Spans(data)
+        self.spans = Spans(data)
         starts = np.arange(len(data) - seed + 1)
-        self.ranks = spans.hash(starts, starts + seed)
-        order = (self.ranks & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)
-        chosen = (_least_in_window(order, length - seed + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        self.at, self.low = chosen[first], first
-        self.high = np.append(first[1:], self.count) - 1
-        self.rank = self.ranks[self.at]
-        place = ((self.at - self.low) << 8 | (self.high - self.low)).astype(np.uint64)
-        self.context = mix(spans.hash(self.low, self.high + length) + mix(place + np.uint64(1)))
-
-    def passages(self, length: int, seed: int) -> np.ndarray:
-        """Ranks of all passages: seeds are paired at growing offsets until they reach ``length`` bytes."""
-        ranks, size = self.ranks, seed
-        while size < length:
-            step = min(size, length - size)
-            ranks, size = doubled(ranks, step), size + step
-        return ranks
+        order = self.spans.hash(starts, starts + seed) & np.uint64(0xFFFFFFFF00000000) | starts.astype(np.uint64)
+        self.suffix = (_least_in_window(order, self.reach + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def blocks(self, starts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """Blocks of the passages with these starts: first and last start, rank, and context.
+
+        Passages that sample one suffix are cut into blocks by their distance from it. The rank is that of the bytes that
+        all passages of such a block have; equal passages are in blocks of equal rank. The context is all
+        bytes that the passages of this block have; of blocks of equal rank and context the passages are equal one by one.
+        """
+        if not len(starts):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        suffix = self.suffix[starts]
+        block = (suffix - starts) // width
+        new = (np.diff(starts) != 1) | (np.diff(suffix) != 0) | (np.diff(block) != 0)
+        first = np.flatnonzero(np.concatenate([[True], new]))
+        low, high = starts[first], starts[np.append(first[1:], len(starts)) - 1]
+        suffix, nearest = suffix[first], block[first] * width
+        farthest = np.minimum(nearest + width - 1, self.reach)
+        rank = self.spans.hash(suffix - nearest, suffix - farthest + self.length)
+        place = ((suffix - low) << 8 | (high - low)).astype(np.uint64)
+        context = mix(self.spans.hash(low, high + self.length) + mix(place + np.uint64(1)))
+        return low, high, mix(rank + nearest.astype(np.uint64)), context
 
 
 def _split_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,32 +80,30 @@ def _split_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), valid
 
 
-def _combined(part: pa.RecordBatch, row: np.ndarray, keys: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """Rows for the shuffle. Of equal keys only the first in document order asks; the others are known repeats."""
+def _combined(part: pa.RecordBatch, row: np.ndarray, blocks: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Rows for the shuffle. Of equal rank and context only the first in document order asks; others are known repeats."""
+    low, high, rank, context = blocks
     number, valid = _split_ids(part.column(0))
-    texts = part.column(1).to_numpy()
-    order = np.lexsort((low, texts[row], number[row], valid[row], keys[1], keys[0]))
-    a, b = keys[0][order], keys[1][order]
+    hashes = part.column(1).to_numpy() if part.num_columns > 2 and part.schema.names[1] == "_hash" else np.zeros_like(number)
+    order = np.lexsort((low, hashes[row], number[row], valid[row], context, rank))
     repeat = np.zeros(len(order), dtype=bool)
-    repeat[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    taken = part.select([0, 1]).take(pa.array(row))
-    # Two rows of one id and text are the same place, and that is never its own repeat; they are rare, so both ask.
-    if len(order) > 1:
-        here, last = order[1:], order[:-1]
-        same = (low[here] == low[last]) & (number[row[here]] == number[row[last]]) & (texts[row[here]] == texts[row[last]])
-        repeat[here[same & (valid[row[here]] == valid[row[last]]) & repeat[here]]] = False
+    here, last = order[1:], order[:-1]
+    same_place = (low[here] == low[last]) & (number[row[here]] == number[row[last]]) & (valid[row[here]] == valid[row[last]])
+    # Rows of one id and text are one document, so a place is never its own repeat; both ask.
+    same_place &= hashes[row[here]] == hashes[row[last]]
+    repeat[here] = (rank[here] == rank[last]) & (context[here] == context[last])
+    repeat[here[same_place & repeat[here]]] = False
     # Known repeats are dealt out by their place.
-    spread = mix(number[row].astype(np.uint64) * _PAIR[0] + low.astype(np.uint64))
-    key = np.where(repeat, spread, keys[0])
+    spread = mix(number[row].astype(np.uint64) * _PLACE + low.astype(np.uint64))
+    taken = part.select([name for name in part.schema.names if name in ("_id", "_hash")]).take(pa.array(row))
     arrays = [
         *taken.columns,
-        pa.array(repeat),
-        pa.array(key.view(np.int64)),
-        pa.array(np.where(repeat, np.uint64(0), keys[1]).view(np.int64)),
-        pa.array(low.astype(np.int32)),
-        pa.array(high.astype(np.int32)),
+        pa.array(np.where(repeat, spread, rank).view(np.int64)),
+        pa.array(np.where(repeat, np.uint64(0), context).view(np.int64)),
+        # Start, number of further passages, and whether it is a known repeat, in one number.
+        pa.array(low << 8 | (high - low) << 1 | repeat),
     ]
-    return pa.RecordBatch.from_arrays(arrays, names=["_id", "_hash", "_repeat", "_key", "_key2", "_low", "_high"])
+    return pa.RecordBatch.from_arrays(arrays, names=[*taken.schema.names, "_rank", "_context", "_place"])
 
 
 def _portions(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -116,18 +117,6 @@ def _portions(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch,
             start, size = stop + 1, 0
 
 
-def _of_rows(sizes: list[int]) -> np.ndarray:
-    return np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _joined(arrays: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
-    return np.concatenate(arrays) if arrays else np.zeros(0, dtype=kind)
-
-
-def _place(low: str = "_low") -> Column:
-    return F.struct("_id", "_hash", low)
-
-
 def suffix_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED
 ) -> DataFrame:
@@ -136,103 +125,95 @@ def suffix_dedup(
     Earlier is a smaller integer id, or the same id and a smaller start. Texts are their UTF-8 bytes, passages
     never cross documents and are judged on the input. Returns ``id_col, n_bytes, n_removed, n_spans, spans, kept``: how many
     bytes there were and go, in how many maximal runs, these runs as ``low, high`` (exclusive), and what is left as binary.
+    ``length`` may exceed ``seed`` by at most 127.
 
-    Prefix doubling on a sample of the suffixes that loses no repeat (see ``Suffixes``):
+    Prefix doubling on a sample of the suffixes that loses no repeat (see ``Passages``). Spark sorts suffixes by rank:
+    first by their first ``seed`` bytes; then, for those still in question, by ever more of the bytes around, up to
+    whole passages. After each sort, what has a unique rank is done, since nothing is equal to it. Where all
+    of one rank agree in all bytes that their passages reach, all but the first are repeats. The rest is in question.
 
-    1. Spark sorts the sampled suffixes, about one in 35, by the rank of their first ``seed`` bytes. A suffix with a
-       unique rank is done.
-    2. Where all suffixes of a rank agree in all bytes that their passages reach, all but the first are repeats.
-    3. Elsewhere every passage of the suffix is ranked at full length by pairing ranks at growing offsets, and Spark
-       sorts the passages by these. All but the first of a rank are repeats.
-
-    A rank is a 64-bit name for a prefix; suffixes are told apart by the names of the seed and of the context or passage
-    together, 128 bits. Equal ones in one portion of the input are combined before the shuffle, so a passage that stands
-    in a third of all rows does not come together in one task. Texts are shuffled once, by id.
+    A rank is a 64-bit name for bytes; with the context it makes 128 bits wherever two are taken for equal. Equal ones in
+    one portion of the input are combined before the shuffle, so a passage that stands in a third of all rows
+    does not come together in one task. Texts are shuffled once, by id, and that shuffle is used again in every round.
 
     A null text is as an empty one. An id of null is the smallest. Rows of one id are ordered by a hash of their
     text; rows of one id and text are one document, and both keep what one keeps. An empty table gives an
     empty result. Other columns are left out.
     """
+    if not 0 <= length - seed <= 127:
+        raise ValueError("length must be seed to seed + 127")
     in_workers(docs.sparkSession)
     texts = docs.select(column(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    # The hash costs room in every row, so it is used only where ids repeat.
+    # The hash costs room in every row, so it is there only where ids repeat.
     repeated = texts.groupBy("_id").count().where(F.col("count") > 1)
-    text_hash = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("_text")
-    texts = texts.select("_id", text_hash.alias("_hash"), "_text")
+    if not repeated.isEmpty():
+        texts = texts.select("_id", F.xxhash64("_text").alias("_hash"), "_text")
+    key = texts.columns[:-1]
     listed = T.StructType(
-        [
-            T.StructField("_id", T.LongType()),
-            T.StructField("_hash", T.LongType()),
-            T.StructField("_repeat", T.BooleanType()),
-            T.StructField("_key", T.LongType()),
-            T.StructField("_key2", T.LongType()),
-            T.StructField("_low", T.IntegerType()),
-            T.StructField("_high", T.IntegerType()),
-        ]
-    )
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data in _portions(batch, 2):
-                found = [Suffixes(text, length, seed) for text in data]
-                keys = _joined([s.rank for s in found], np.uint64), _joined([s.context for s in found], np.uint64)
-                low, high = _joined([s.low for s in found]), _joined([s.high for s in found])
-                yield _combined(part, _of_rows([len(s.at) for s in found]), keys, low, high)
-
-    suffixes = texts.mapInArrow(sampled, listed)
-    by_rank = "over (partition by _repeat, _key)"
-    ranked = suffixes.select(
-        "*",
-        F.expr(f"count(*) {by_rank}").alias("_n"),
-        F.expr(f"min(_key2) {by_rank} = max(_key2) {by_rank}").alias("_alike"),
-        F.expr(f"min(struct(_id, _hash, _low)) {by_rank}").alias("_first"),
-    )
-    later = ~_place().eqNullSafe(F.col("_first"))
-    verdict = (
-        F.when(F.col("_repeat"), True).when(F.col("_n") == 1, F.lit(None)).when(~F.col("_alike"), False).when(later, True)
-    )
-    judged = ranked.select("_id", "_hash", "_low", "_high", verdict.alias("_sure")).where(F.col("_sure").isNotNull())
-    range_ = F.struct("_low", "_high")
-    by_text = judged.groupBy("_id", "_hash").agg(
-        F.collect_set(F.when(F.col("_sure"), range_)).alias("_repeats"),
-        F.collect_set(F.when(~F.col("_sure"), range_)).alias("_open"),
+        [*texts.schema.fields[:-1], *(T.StructField(name, T.LongType()) for name in ("_rank", "_context", "_place"))]
     )
 
     def with_text(found: DataFrame, how: str) -> DataFrame:
-        names = [name for name in found.columns if name not in ("_id", "_hash")]
-        found = found.select(F.col("_id").alias("_key_id"), F.col("_hash").alias("_key_hash"), *names)
-        same = F.col("_id").eqNullSafe(F.col("_key_id")) & (F.col("_hash") == F.col("_key_hash"))
-        return texts.join(found, same, how).select("_id", "_hash", "_text", *names)
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data in _portions(batch, 2):
-                sizes, ranks, keys, lows = [], [], [], []
-                for text, ranges in zip(data, part.column(3).to_pylist(), strict=True):
-                    suffixes = Suffixes(text, length, seed)
-                    wanted = np.sort(np.array([r["_low"] for r in ranges], dtype=np.int64))
-                    which = np.searchsorted(suffixes.low, wanted)
-                    counts = suffixes.high[which] - suffixes.low[which] + 1
-                    starts = np.repeat(wanted - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                    sizes.append(len(starts))
-                    lows.append(starts)
-                    ranks.append(suffixes.passages(length, seed)[starts])
-                    keys.append(np.repeat(suffixes.rank[which], counts))
-                low = _joined(lows)
-                both = _joined(ranks, np.uint64), _joined(keys, np.uint64)
-                yield _combined(part, _of_rows(sizes), both, low, low)
-
-    open_texts = with_text(by_text.where(F.size("_open") > 0).select("_id", "_hash", "_open"), "inner")
-    by_passage = "over (partition by _repeat, _key, _key2)"
-    compared = open_texts.mapInArrow(passages, listed).select(
-        "*", F.expr(f"min(struct(_id, _hash, _low)) {by_passage}").alias("_first")
-    )
-    more = compared.where(F.col("_repeat") | later).groupBy("_id", "_hash").agg(F.collect_set("_low").alias("_starts"))
+        names = [name for name in found.columns if name not in key]
+        found = found.select(*(F.col(name).alias(f"{name}_found") for name in key), *names)
+        same = F.lit(True)
+        for name in key:
+            same = same & F.col(name).eqNullSafe(F.col(f"{name}_found"))
+        return texts.join(found, same, how).select(*key, "_text", *names)
+
+    def blocks_of(rows: DataFrame, width: int) -> DataFrame:
+        """Blocks of all passages, or of those of the ranges in the column behind the text."""
+        at = len(key)
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, data in _portions(batch, at):
+                    ranges = part.column(at + 1).to_pylist() if part.num_columns > at + 1 else [None] * len(data)
+                    found = []
+                    for text, open_ in zip(data, ranges, strict=True):
+                        passages = Passages(text, length, seed)
+                        starts = np.arange(passages.count)
+                        if open_ is not None:
+                            places = np.sort(np.array(open_, dtype=np.int64))
+                            low, more = places >> 8, (places & 0xFF) >> 1
+                            starts = np.repeat(low - np.cumsum(more + 1) + more + 1, more + 1) + np.arange((more + 1).sum())
+                        found.append(passages.blocks(starts, width))
+                    joined = tuple(np.concatenate(arrays) for arrays in zip(*found, strict=True))
+                    rows_of = np.repeat(np.arange(len(data)), [len(low) for low, *_ in found])
+                    yield _combined(part, rows_of, joined)
+
+        return rows.mapInArrow(blocks, listed)
+
+    def judged(blocks: DataFrame) -> DataFrame:
+        """By text: the places of repeats, and those still in question."""
+        known = F.col("_place").bitwiseAND(F.lit(1)) == 1
+        blocks = blocks.select("*", known.alias("_known"))
+        where = ", ".join([*key, "_place"])
+        of_rank = "over (partition by _known, _rank)"
+        ranked = blocks.select(
+            "*",
+            F.expr(f"count(*) {of_rank}").alias("_n"),
+            F.expr(f"min(_context) {of_rank} = max(_context) {of_rank}").alias("_alike"),
+            F.expr(f"min(struct({where})) {of_rank}").alias("_first"),
+        )
+        later = ~F.struct(*key, "_place").eqNullSafe(F.col("_first"))
+        repeat = F.when(F.col("_known"), True).when(F.col("_n") == 1, F.lit(None))
+        repeat = repeat.when(~F.col("_alike"), False).when(later, True)
+        found = ranked.select(*key, "_place", repeat.alias("_repeat")).where(F.col("_repeat").isNotNull())
+        return found.groupBy(*key).agg(
+            F.collect_set(F.when(F.col("_repeat"), F.col("_place"))).alias("_repeats"),
+            F.collect_set(F.when(~F.col("_repeat"), F.col("_place"))).alias("_open"),
+        )
+
+    rounds = [judged(blocks_of(texts, length - seed + 1))]
+    for width in WIDTHS:
+        open_texts = with_text(rounds[-1].where(F.size("_open") > 0).select(*key, "_open"), "inner")
+        rounds.append(judged(blocks_of(open_texts, width)))
+    removals = rounds[0].select(*key, "_repeats")
+    for found in rounds[1:]:
+        removals = removals.union(found.select(*key, "_repeats"))
+    removals = removals.groupBy(*key).agg(F.flatten(F.collect_list("_repeats")).alias("_repeats"))
 
-    key = {"_k_id": F.col("_id"), "_k_hash": F.col("_hash")}
-    more = more.select(*(value.alias(name) for name, value in key.items()), "_starts")
-    same = F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_hash") == F.col("_k_hash"))
-    removals = by_text.join(more, same, "left").select("_id", "_hash", "_repeats", "_starts")
     span = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
     out = T.StructType(
         [
@@ -243,21 +224,19 @@ def suffix_dedup(
             T.StructField("kept", T.BinaryType()),
         ]
     )
+    text_at = len(key)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data in _portions(batch, 2):
+            for part, data in _portions(batch, text_at):
                 spans, kept, removed = [], [], []
-                repeats, starts = part.column(3).to_pylist(), part.column(4).to_pylist()
-                for text, ranges, single in zip(data, repeats, starts, strict=True):
+                for text, places in zip(data, part.column(text_at + 1).to_pylist(), strict=True):
                     # +1 where passages that go begin, -1 behind their last byte.
                     change = np.zeros(len(text) + 1, dtype=np.int32)
-                    for r in ranges or ():
-                        change[r["_low"]] += 1
-                        change[r["_high"] + length] -= 1
-                    if single:
-                        np.add.at(change, single, 1)
-                        np.add.at(change, np.array(single) + length, -1)
+                    if places:
+                        places = np.array(places, dtype=np.int64)
+                        np.add.at(change, places >> 8, 1)
+                        np.add.at(change, (places >> 8) + ((places & 0xFF) >> 1) + length, -1)
                     gone = np.cumsum(change)[:-1] > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     spans.append([{"low": a, "high": b} for a, b in edges.reshape(-1, 2).tolist()])
