@@ -200,6 +200,13 @@ def test_sharding(spark, docs, corpus, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_written_shards(spark, docs, corpus, tmp_path):
+    sharding.write_shards(docs, sharding.shard_documents(docs, n_shards=3), str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(r["doc_id"] for r in back.collect()) == [row[0] for row in corpus]
+    assert {r["shard"] for r in back.select("shard").collect()} == {0, 1, 2}
+
+
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     rng = random.Random(4)
     bad = ["grumble", "snarl", "zounds", "fie"]
