@@ -11,15 +11,17 @@ from itertools import chain, islice
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, in_workers, text_or_empty
 
 # Bounds of what a worker remembers. When one is reached that table starts anew; results do not change.
-MAX_STATES = 100_000
-MAX_KNOWN = 150_000
+MAX_STATES = 220_000
+MAX_PAIRS = 250_000
+MAX_KNOWN = 120_000
+OPENING, MAX_OPENINGS = 6, 60_000
 # A blank between white space: only there does the pattern look across a blank.
 OPEN_BLANK = re.compile(r"\s (?:\s|$)")
 ROWS_AT_ONCE = 128
@@ -51,11 +53,14 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # Last settled rank (-1 where it cannot matter), open bytes, boundaries with the ranks that lead to them.
-        start = (None, b"", ((0, ()),))
+        # Last settled rank (-1 where it cannot matter), open bytes, boundaries, and the ranks that lead to each.
+        start = (None, b"", (0,), ((),))
         self.number: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # By state and byte: the next state, or that and the ranks that are emitted.
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+        self.openings: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+        self.once: dict[tuple | bytes, tuple | bytes] = {}
 
     def merged(self, data: bytes, below: int) -> list[bytes]:
         """Plain merging, lowest rank first, with ranks under ``below``."""
@@ -101,22 +106,22 @@ class Transducer:
             else:
                 # On the right a pair across the border comes first in the text, so it wins a tie.
                 b, before = of_b[0], b + 1
-        if len(self.pairs) > 2 * MAX_STATES:
+        if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
         self.pairs[left, right] = answer
         return answer
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, data, opened = self.states[state]
+    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        before, data, starts, paths = self.states[state]
         data = data + bytes((byte,))
-        for start, path in opened:
+        for start, path in zip(starts, paths, strict=True):
             token = self.ranks.get(data[start:])
             if token is not None and self.stands(path[-1] if path else before, token):
                 break
         else:
             raise ValueError("the ranks must hold every single byte")
         whole = (*path, token)
-        kept = [(start, path) for start, path in opened if data[start:] in self.starts]
+        kept = [(start, path) for start, path in zip(starts, paths, strict=True) if data[start:] in self.starts]
         common = len(whole)
         for _, path in kept:
             common = min(common, len(path))
@@ -130,25 +135,46 @@ class Transducer:
             kept = [(start - size, path[common:]) for start, path in kept]
         if kept[0][0]:
             before = -1
-        key = (before, data, tuple(kept))
+        # Equal parts of states are kept once.
+        once = self.once.setdefault
+        key = (
+            before,
+            once(data, data),
+            once(ends := tuple(start for start, _ in kept), ends),
+            once(ways := tuple(once(path, path) for _, path in kept), ways),
+        )
         target = self.number.get(key)
         if target is None:
             target = self.number[key] = len(self.states)
             self.states.append(key)
-        self.moves[state << 8 | byte] = move = (target, emitted)
+        self.moves[state << 8 | byte] = move = (target, once(emitted, emitted)) if emitted else target
         return move
 
+    def _run(self, piece: bytes, state: int, ids: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        moves = self.moves
+        for byte in piece:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            if move.__class__ is int:
+                state = move
+            else:
+                state = move[0]
+                ids += move[1]
+        return state, ids
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Ranks of one piece."""
+        """Ranks of one piece. Where pieces begin alike, the run over the beginning is remembered."""
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, ids, moves = 0, (), self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                ids += move[1]
-        return ids + self.states[state][2][-1][1]
+        begin = piece[:OPENING]
+        known = self.openings.get(begin)
+        if known is None:
+            known = self._run(begin, 0, ())
+            if len(self.openings) < MAX_OPENINGS:
+                self.openings[begin] = known
+        state, ids = self._run(piece[OPENING:], *known)
+        return ids + self.states[state][3][-1]
 
     def encode_text(self, piece: str) -> tuple[int, ...]:
         return self.encode(piece.encode())
@@ -157,15 +183,15 @@ class Transducer:
 class Known(dict):
     """Ids by text, worked out when first asked for; what is not asked for again is forgotten in time."""
 
-    def __init__(self, encode: Callable[[str], tuple[int, ...]]):
+    def __init__(self, encode: Callable[[str], tuple[int, ...]], most: int = MAX_KNOWN):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
         ids = self.older.get(text)
         if ids is None:
             ids = self.encode(text)
-        if len(self) >= MAX_KNOWN:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(text) < 64:
@@ -179,11 +205,13 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.pieces = Known(self.transducer.encode_text)
+        self.pieces = Known(self.transducer.encode_text, MAX_KNOWN // 4)
         self.after_blank = Known(lambda word: self.encode_chunk(" " + word))
         self.at_start = Known(self.encode_chunk)
 
     def encode_chunk(self, text: str) -> tuple[int, ...]:
+        if text[1:].isalpha() and text[0] == " ":  # one match: letters behind a blank
+            return self.transducer.encode_text(text)
         matches = self.pattern.findall(text)
         if len(matches) == 1:
             return self.transducer.encode_text(text)
@@ -285,6 +313,16 @@ def _with_column(batch: pa.RecordBatch, values: pa.Array, name: str) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*batch.schema.names[:-1], name])
 
 
+def _beside(df: DataFrame, rest: list[str], value: Column, name: str) -> DataFrame:
+    """The other columns in one, whatever they are called, and the value."""
+    others = [column(other).alias(other) for other in rest] or [F.lit(0).alias("_none")]
+    return df.select(F.struct(*others).alias("_row"), value.alias(name))
+
+
+def _spread_out(df: DataFrame, rest: list[str], name: str) -> DataFrame:
+    return df.select(*(F.col("_row").getField(other).alias(other) for other in rest), column(name))
+
+
 def bpe_encode(
     docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids"
 ) -> DataFrame:
@@ -295,8 +333,8 @@ def bpe_encode(
     at ``ranks_path`` on every machine, or sent along with ``SparkContext.addFile``.
     """
     in_workers(docs.sparkSession)
-    rest = [column(name) for name in docs.columns if name not in (text_col, ids_col)]
-    source = docs.select(*rest, text_or_empty(text_col).alias(ids_col))
+    rest = [name for name in docs.columns if name not in (text_col, ids_col)]
+    source = _beside(docs, rest, text_or_empty(text_col), ids_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)
@@ -307,14 +345,14 @@ def bpe_encode(
                 yield _with_column(part, pa.array(ids, pa.list_(pa.int32())), ids_col)
 
     fields = [*source.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
-    return source.mapInArrow(encode, T.StructType(fields))
+    return _spread_out(source.mapInArrow(encode, T.StructType(fields)), rest, ids_col)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """The given columns and the text of their ids. No ids, or null, give an empty text; an unknown id is an error."""
     in_workers(df.sparkSession)
-    rest = [column(name) for name in df.columns if name != text_col]
-    source = df.select(*rest, F.coalesce(column(ids_col), F.array().cast("array<int>")).alias(text_col))
+    rest = [name for name in df.columns if name != text_col]
+    source = _beside(df, rest, F.coalesce(column(ids_col), F.array().cast("array<int>")), text_col)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = _bytes_of(ranks_path)
@@ -326,4 +364,4 @@ def bpe_decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", text_col
                 yield _with_column(part, pa.array(texts, pa.string()), text_col)
 
     fields = [*source.schema.fields[:-1], T.StructField(text_col, T.StringType())]
-    return source.mapInArrow(decode, T.StructType(fields))
+    return _spread_out(source.mapInArrow(decode, T.StructType(fields)), rest, text_col)
