@@ -28,9 +28,9 @@ SMALL, SMALL_BELOW = 64, 256
 DEEP = 3
 MOST_LEVELS = 40
 # Estimates: candidates (over five deviations below the threshold); safely alike; linked to a pivot that is left.
-CANDIDATE, ALIKE, LINKED = 0.6, 0.75, 0.33
+CANDIDATE, ALIKE, LINKED = 0.6, 0.85, 0.45
 # Sets of a component are compared in blocks of about this many.
-BLOCK = 256
+BLOCK = 512
 ROWS_AT_ONCE = 128
 
 _rng = np.random.default_rng(5)
@@ -304,7 +304,7 @@ def jaccard_join(
        a number of copies, so copies are never compared or paired.
     2. Chosen paths find candidates (``candidate_links``) in as many runs as the recall asks for. The
        connected components of the candidates are a superset of the classes.
-    3. Within a component all sets are compared exactly, in pairs of blocks of about 256, so that neither
+    3. Within a component all sets are compared exactly, in pairs of blocks of about 512, so that neither
        a component nor its pairs come together in one task. Links give the numbers and the classes.
 
     The similarity is exact for hashed runs (64 bits). A text without words, null included, is like no other, not even
