@@ -18,7 +18,7 @@ LENGTH = 100
 # The sampled suffixes are first ranked by this many bytes.
 SEED = 32
 # Then by what blocks of so many neighbouring passages have in common: with one, the passage itself.
-WIDTHS = (8, 1)
+WIDTHS = (24, 8, 1)
 BYTES_AT_ONCE = 8_000_000
 
 _PLACE = np.uint64(0x9E6C63D0876A9A47)
@@ -70,7 +70,7 @@ class Passages:
         farthest = np.minimum(nearest + width - 1, self.reach)
         rank = self.spans.hash(suffix - nearest, suffix - farthest + self.length)
         place = ((suffix - low) << 8 | (high - low)).astype(np.uint64)
-        context = mix(self.spans.hash(low, high + self.length) + mix(place + np.uint64(1)))
+        context = mix(self.spans.hash(low, high + self.length) + mix(place + np.uint64(1))) & np.uint64(0x7FFFFFFF)
         return low, high, mix(rank + nearest.astype(np.uint64)), context
 
 
@@ -93,28 +93,35 @@ def _combined(part: pa.RecordBatch, row: np.ndarray, blocks: tuple[np.ndarray, .
     same_place &= hashes[row[here]] == hashes[row[last]]
     repeat[here] = (rank[here] == rank[last]) & (context[here] == context[last])
     repeat[here[same_place & repeat[here]]] = False
-    # Known repeats are dealt out by their place.
-    spread = mix(number[row].astype(np.uint64) * _PLACE + low.astype(np.uint64))
+    # Known repeats are dealt out by their place, by short numbers that take little room.
+    spread = mix(number[row].astype(np.uint64) * _PLACE + low.astype(np.uint64)) & np.uint64(0xFFFF)
     taken = part.select([name for name in part.schema.names if name in ("_id", "_hash")]).take(pa.array(row))
     arrays = [
         *taken.columns,
         pa.array(np.where(repeat, spread, rank).view(np.int64)),
-        pa.array(np.where(repeat, np.uint64(0), context).view(np.int64)),
+        pa.array(np.where(repeat, np.uint64(0), context & np.uint64(0x7FFFFFFF)).astype(np.int32)),
         # Start, number of further passages, and whether it is a known repeat, in one number.
         pa.array(low << 8 | (high - low) << 1 | repeat),
     ]
     return pa.RecordBatch.from_arrays(arrays, names=[*taken.schema.names, "_rank", "_context", "_place"])
 
 
-def _portions(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch of some megabytes of text each, with the texts as bytes."""
-    texts = [text.encode() for text in batch.column(at).to_pylist()]
-    start, size = 0, 0
-    for stop, text in enumerate(texts):
-        size += len(text)
-        if size >= BYTES_AT_ONCE or stop == len(texts) - 1:
-            yield batch.slice(start, stop + 1 - start), texts[start : stop + 1]
-            start, size = stop + 1, 0
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch of some megabytes of text each, with the texts as bytes; with ``_size`` they are compressed."""
+    texts = batch.column("_text").to_pylist()
+    packed = "_size" in batch.schema.names
+    sizes = batch.column("_size").to_pylist() if packed else [len(text) for text in texts]
+    start, total = 0, 0
+    for stop, size in enumerate(sizes):
+        total += size
+        if total >= BYTES_AT_ONCE or stop == len(texts) - 1:
+            data = texts[start : stop + 1]
+            if packed:
+                data = [pa.decompress(d, n, "zstd", asbytes=True) for d, n in zip(data, sizes[start : stop + 1], strict=True)]
+            else:
+                data = [text.encode() for text in data]
+            yield batch.slice(start, stop + 1 - start), data
+            start, total = stop + 1, 0
 
 
 def suffix_dedup(
@@ -132,9 +139,10 @@ def suffix_dedup(
     whole passages. After each sort, what has a unique rank is done, since nothing is equal to it. Where all
     of one rank agree in all bytes that their passages reach, all but the first are repeats. The rest is in question.
 
-    A rank is a 64-bit name for bytes; with the context it makes 128 bits wherever two are taken for equal. Equal ones in
+    A rank is a 64-bit name for bytes; with the context it makes 95 bits wherever two are taken for equal. Equal ones in
     one portion of the input are combined before the shuffle, so a passage that stands in a third of all rows
-    does not come together in one task. Texts are shuffled once, by id, and that shuffle is used again in every round.
+    does not come together in one task. Texts are shuffled once, by id and compressed one by one, and that shuffle is
+    used again in every round.
 
     A null text is as an empty one. An id of null is the smallest. Rows of one id are ordered by a hash of their
     text; rows of one id and text are one document, and both keep what one keeps. An empty table gives an
@@ -150,25 +158,40 @@ def suffix_dedup(
         texts = texts.select("_id", F.xxhash64("_text").alias("_hash"), "_text")
     key = texts.columns[:-1]
     listed = T.StructType(
-        [*texts.schema.fields[:-1], *(T.StructField(name, T.LongType()) for name in ("_rank", "_context", "_place"))]
+        [
+            *texts.schema.fields[:-1],
+            T.StructField("_rank", T.LongType()),
+            T.StructField("_context", T.IntegerType()),
+            T.StructField("_place", T.LongType()),
+        ]
     )
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [text.encode() for text in batch.column(len(key)).to_pylist()]
+            sizes = pa.array([len(text) for text in data], pa.int64())
+            squeezed = pa.array([pa.compress(text, "zstd", asbytes=True) for text in data], pa.binary())
+            columns = [*batch.columns[: len(key)], sizes, squeezed]
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "_size", "_text"])
+
+    small = [T.StructField("_size", T.LongType()), T.StructField("_text", T.BinaryType())]
+    squeezed = texts.mapInArrow(squeeze, T.StructType([*texts.schema.fields[:-1], *small]))
+
     def with_text(found: DataFrame, how: str) -> DataFrame:
         names = [name for name in found.columns if name not in key]
         found = found.select(*(F.col(name).alias(f"{name}_found") for name in key), *names)
         same = F.lit(True)
         for name in key:
             same = same & F.col(name).eqNullSafe(F.col(f"{name}_found"))
-        return texts.join(found, same, how).select(*key, "_text", *names)
+        return squeezed.join(found, same, how).select(*key, "_size", "_text", *names)
 
     def blocks_of(rows: DataFrame, width: int) -> DataFrame:
-        """Blocks of all passages, or of those of the ranges in the column behind the text."""
-        at = len(key)
+        """Blocks of all passages, or of those of the ranges in ``_open``."""
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, data in _portions(batch, at):
-                    ranges = part.column(at + 1).to_pylist() if part.num_columns > at + 1 else [None] * len(data)
+                for part, data in _portions(batch):
+                    ranges = part.column("_open").to_pylist() if "_open" in part.schema.names else [None] * len(data)
                     found = []
                     for text, open_ in zip(data, ranges, strict=True):
                         passages = Passages(text, length, seed)
@@ -224,13 +247,12 @@ def suffix_dedup(
             T.StructField("kept", T.BinaryType()),
         ]
     )
-    text_at = len(key)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data in _portions(batch, text_at):
+            for part, data in _portions(batch):
                 spans, kept, removed = [], [], []
-                for text, places in zip(data, part.column(text_at + 1).to_pylist(), strict=True):
+                for text, places in zip(data, part.column("_repeats").to_pylist(), strict=True):
                     # +1 where passages that go begin, -1 behind their last byte.
                     change = np.zeros(len(text) + 1, dtype=np.int32)
                     if places:
