@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, packed, plain_blanks, spread, text_or_empty, unpacked, words_of
+from .common import column, cut, packed, plain_blanks, spread, text_or_empty, unpacked, wide_hash, words_of
 
 # Terms are numbered by hash in this many slots, so the lexicon is a bit map of fixed size (32 KB).
 SLOT_BITS = 18
-# The band: terms found in at least and at most this share of the documents.
+# The band: terms found in at least and at most this share of the distinct texts.
 LOWEST_SHARE, HIGHEST_SHARE = 0.001, 0.1
+# A text with at most the first share of its terms in the band is printed from all its terms, from the second share on
+# from those in the band alone. Between them the parts change over one by one, so that near copies stay alike.
+FEW_IN_BAND, ENOUGH_IN_BAND = 0.1, 0.3
 # Randomised lexicons: for each rate, so many disjoint random subsets that hold 1 / rate of the terms each.
 RATES = (16, 128, 1024)
 SUBSETS_PER_RATE = 16
@@ -31,11 +34,16 @@ def _slots(text: Column) -> Column:
 def lexicon(texts: DataFrame, lowest: float = LOWEST_SHARE, highest: float = HIGHEST_SHARE) -> DataFrame:
     """One row with the bits of the slots in the band; ``texts`` has the column ``_text``.
 
-    A slot counts once for each document that has a word in it. In small tables a slot of two documents is in
-    the band. Counts are combined before the shuffle, and there are at most ``2 ** 18`` of them.
+    A slot counts once for each distinct text (by 128 bits) that has a word in it, so copies do not push the terms of
+    their text out of the band. In small tables a slot of two texts is in the band. Copies are dropped before the
+    shuffle as far as they stand in one partition; counts are combined before the shuffle, and there are at
+    most ``2 ** 18`` of them.
     """
-    number = texts.count()
-    counts = texts.select(F.explode(_slots(F.col("_text"))).alias("_slot")).groupBy("_slot").count()
+    first, second = wide_hash(F.col("_text"))
+    names = [first.alias("_first"), second.alias("_second")]
+    number = texts.select(*names).distinct().count()
+    once = texts.select(*names, _slots(F.col("_text")).alias("_slots")).dropDuplicates(["_first", "_second"])
+    counts = once.select(F.explode("_slots").alias("_slot")).groupBy("_slot").count()
     inside = F.col("count").between(max(2.0, lowest * number), max(2.0, highest * number))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot").bitwiseAND(F.lit(63)))
     filled = counts.where(inside).groupBy(F.shiftright("_slot", 6).alias("_at")).agg(F.bit_or(bit).alias("_bits"))
@@ -52,6 +60,9 @@ def with_fingerprint(rows: DataFrame, text_col: str, bits: DataFrame, name: str)
     The text's distinct terms in the lexicon are sorted. Each random subset of the lexicon gives one part: a hash
     of those terms that fall in the subset. Subsets of several sizes are used, so that long and short texts both have
     subsets with a few of their terms. The lexicon is one row of 32 KB and joins by broadcast.
+
+    A text with no or few terms in the band, such as one of a large family of near copies, is printed from all its terms:
+    each part has its own share, from ``FEW_IN_BAND`` to ``ENOUGH_IN_BAND``, below which it takes all terms of its subset.
     """
     names = rows.columns
     slots = rows.select("*", _slots(column(text_col)).alias("_slots"), F.lit(1).alias("_one"))
@@ -61,20 +72,34 @@ def with_fingerprint(rows: DataFrame, text_col: str, bits: DataFrame, name: str)
         word = F.get(F.col("_lexicon"), F.shiftright(slot, 6))
         return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63))) == 1
 
-    terms = joined.select(*names, F.sort_array(F.filter("_slots", known)).alias("_terms"))
+    marked = F.transform(F.sort_array("_slots"), lambda slot: F.struct(slot.alias("t"), known(slot).alias("k")))
+    terms = joined.select(*names, marked.alias("_terms"))
+    inside = F.size(F.filter("_terms", lambda item: item.getField("k")))
+    share = inside / F.greatest(F.size("_terms"), F.lit(1))
+    terms = terms.select("*", share.alias("_share"))
 
     def subset(rate: int) -> Column:
-        """The terms with their subset, where they have one; the terms stay sorted."""
+        """The terms with their subset, where they have one and it takes them; the terms stay sorted."""
         placed = F.transform(
             F.col("_terms"),
-            lambda term: F.struct(F.pmod(F.xxhash64(F.lit(rate), term), F.lit(rate)).alias("s"), term.alias("t")),
+            lambda item: F.struct(
+                F.pmod(F.xxhash64(F.lit(rate), item.getField("t")), F.lit(rate)).alias("s"),
+                item.getField("t").alias("t"),
+                item.getField("k").alias("k"),
+            ),
+        )
+        step = (ENOUGH_IN_BAND - FEW_IN_BAND) / SUBSETS_PER_RATE
+        takes_all = lambda at: F.col("_share") <= F.lit(FEW_IN_BAND) + at * F.lit(step)
+        return F.filter(
+            placed,
+            lambda item: (item.getField("s") < SUBSETS_PER_RATE) & (item.getField("k") | takes_all(item.getField("s"))),
         )
-        return F.filter(placed, lambda item: item.getField("s") < SUBSETS_PER_RATE)
 
     placed = terms.select(*names, *(subset(rate).alias(f"_subset{rate}") for rate in RATES))
 
     def part(rate: int, at: int) -> Column:
-        return F.xxhash64(F.filter(f"_subset{rate}", lambda item: item.getField("s") == at))
+        own = F.filter(f"_subset{rate}", lambda item: item.getField("s") == at)
+        return F.xxhash64(F.transform(own, lambda item: item.getField("t")))
 
     parts = [part(rate, at) for rate in RATES for at in range(SUBSETS_PER_RATE)]
     digits = [F.lower(F.right(F.lpad(F.hex(part), DIGITS, "0"), F.lit(DIGITS))) for part in parts]
@@ -92,10 +117,10 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The given columns and ``fingerprint``; nothing but term counts is shuffled.
+    """The given columns and ``fingerprint``; nothing but the terms of distinct texts and their counts is shuffled.
 
-    A null text is as an empty one, and texts without terms in the band share the fingerprint of all-empty parts.
-    Repeated rows count as documents. An empty table gives an empty result; a column named like the result
+    A null text is as an empty one, and only texts without words share the fingerprint of all-empty parts. Copies
+    count as one document. An empty table gives an empty result; a column named like the result
     is replaced.
     """
     rows = packed(docs, id_col, text_col)
