@@ -178,7 +178,7 @@ class TermFinder:
             if at < self.n_strong:
                 votes |= 1 << (at % LEXICONS)
         size = max(len(words), 1)
-        capitals = sum(map(str.isupper, text[:: max(1, len(text) // 2000)])) / max(1, min(len(text), 2000))
+        capitals = sum(map(str.isupper, text)) / max(1, len(text))
         often = Counter(words).most_common(1)[0][1] / size if words else 0
         patterns = (capitals > 0.5, text.count("!") / size > 0.2, often > 0.3)
         for at, fires in enumerate(patterns):
