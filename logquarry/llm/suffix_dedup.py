@@ -1,4 +1,4 @@
-"""Suffix-array dedup: repeated passages found by distributed prefix doubling over sampled suffixes."""
+"""Suffix dedup: repeated passages found by refining hashes at winnowed positions, in place of prefix doubling."""
 
 from __future__ import annotations
 
@@ -134,7 +134,7 @@ def suffix_dedup(
     bytes there were and go, in how many maximal runs, these runs as ``low, high`` (exclusive), and what is left as binary.
     ``length`` may exceed ``seed`` by at most 127.
 
-    Prefix doubling on a sample of the suffixes that loses no repeat (see ``Passages``). Spark sorts suffixes by rank:
+    In place of prefix doubling, hashes of ever more bytes on a sample of the suffixes that loses no repeat (see ``Passages``). Spark sorts suffixes by rank:
     first by their first ``seed`` bytes; then, for those still in question, by ever more of the bytes around, up to
     whole passages. After each sort, what has a unique rank is done, since nothing is equal to it. Where all
     of one rank agree in all bytes that their passages reach, all but the first are repeats. The rest is in question.
