@@ -13,8 +13,10 @@ from .bpe import bpe_decode, bpe_encode
 from .common import documents, text_or_empty
 from .fingerprints import edited_fingerprints
 from .jaccard_join import jaccard_join
+from .lexical import lexical_search
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
 from .suffix_dedup import suffix_dedup
@@ -80,6 +82,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -91,6 +101,11 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_source_mix": op10_source_mix,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {"op1_line_dedup": oracle.LINE_DEDUP}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": oracle.LINE_DEDUP,
+    "op11_lexical_search": oracle.LEXICAL_SEARCH,
+}
