@@ -59,7 +59,7 @@ with texts as (
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
   from documents
 ), pieces as (
-  select lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), word -> word <> '') as words
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words
   from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from texts)
 ), spots as (
   select lang, words, unnest(range(1, len(words) + 1)) as pos from pieces
@@ -72,17 +72,24 @@ with texts as (
   select lang, sum(f)::bigint as n from counts where size = 1 group by lang
 ), candidates as (
   select lang, size, words, f as a from counts where size > 1 and f >= 10
+), halves as (
+  select lang, size, words, a, k, words[1:k] as head, words[k + 1:size] as tail
+  from candidates, (values (1), (2)) cut(k) where k < size
 ), cuts as (
-  select c.lang, c.size, c.words, c.a, k, l.f as l, r.f as r,
-         ((1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f))::bigint as score
-  from candidates c, (values (1), (2)) cut(k), counts l, counts r
-  where k < c.size and l.lang = c.lang and l.words = c.words[1:k] and r.lang = c.lang and r.words = c.words[k + 1:c.size]
+  select h.lang, size, h.words, a, k, l.f as l, r.f as r,
+         ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint as score
+  from halves h
+  join (select lang, words, f from counts where f >= 10) l on l.lang = h.lang and l.words = head
+  join (select lang, words, f from counts where f >= 10) r on r.lang = h.lang and r.words = tail
 ), lowest as (
   select * from cuts qualify row_number() over (partition by lang, words order by score, k) = 1
 ), inside as (
   select distinct c.lang, c.words
-  from candidates c join candidates b on b.lang = c.lang and b.size = 3 and c.size = 2
-    and (b.words[1:2] = c.words or b.words[2:3] = c.words) and 100 * b.a >= 50 * c.a
+  from candidates c
+  join (select lang, words[1:2] as part, a from candidates where size = 3
+        union all select lang, words[2:3], a from candidates where size = 3) b
+    on b.lang = c.lang and b.part = c.words
+  where c.size = 2 and 100 * b.a >= 50 * c.a
 )
 select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank,
        phrase, a, l, r, n, score

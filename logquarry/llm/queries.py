@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .bpe import bpe_decode, bpe_encode
+from .collocations import collocations
 from .common import documents, text_or_empty
 from .fingerprints import edited_fingerprints
 from .jaccard_join import jaccard_join
@@ -90,6 +91,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -103,9 +108,11 @@ QUERIES: dict[str, Query] = {
     "op10_source_mix": op10_source_mix,
     "op11_lexical_search": op11_lexical_search,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": oracle.LINE_DEDUP,
     "op11_lexical_search": oracle.LEXICAL_SEARCH,
+    "op13_collocations": oracle.COLLOCATIONS,
 }
