@@ -12,20 +12,34 @@ from .operators.ranking import any_rows, newest
 from .operators.selection import result_count, scan_stats, select_events, select_files
 from .plans.media import media, media_for
 from .plans.named import list_source_files, locate_source_files, source_media
-from .plans.search import list_files, recent, search, search_files, search_table, search_traces
+from .plans.search import (
+    FileSearch,
+    chosen_files,
+    list_files,
+    recent,
+    search,
+    search_chosen_files,
+    search_files,
+    search_table,
+    search_traces,
+)
 from .sinks.exports import export_catalog, export_dataset, export_index, export_jsonl
 from .sources.files import broken_lines, list_batches, read_events, read_export_events, read_records
+from .sources.inventory import read_files, read_inventory, scan_slices, update_inventory
 from .sources.media import read_media_meta, read_media_of, read_one_media_meta
 from .sources.registry import Source, Sources
+from .sources.skip_index import read_skip_index, update_skip_index
 from .sources.tables import scan_event_table
 from .sources.traces import scan_traces
 
 __all__ = [
+    "FileSearch",
     "Source",
     "Sources",
     "any_rows",
     "body_or_empty",
     "broken_lines",
+    "chosen_files",
     "clean_tenant",
     "content_text",
     "envelope",
@@ -53,18 +67,23 @@ __all__ = [
     "project_events",
     "read_events",
     "read_export_events",
+    "read_files",
+    "read_inventory",
     "read_media_meta",
     "read_media_of",
     "read_one_media_meta",
     "read_records",
+    "read_skip_index",
     "recent",
     "result_count",
     "rewrite_base",
     "sanitize_key",
     "scan_event_table",
+    "scan_slices",
     "scan_stats",
     "scan_traces",
     "search",
+    "search_chosen_files",
     "search_files",
     "search_table",
     "search_traces",
@@ -77,5 +96,7 @@ __all__ = [
     "time_range",
     "to_messages",
     "trace_rows",
+    "update_inventory",
+    "update_skip_index",
     "with_key_meta",
 ]

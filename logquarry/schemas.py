@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -41,3 +43,11 @@ MEDIA_META = T.StructType(
         T.StructField("uploadedAt", T.StringType()),
     ]
 )
+
+
+def no_rows(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """An empty table of a schema; the optimizer sees that it is empty and nothing runs."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    nothing = (F.lit(None).cast(field.dataType).alias(field.name) for field in schema)
+    return spark.sql("SELECT 1 AS one WHERE false").select(*nothing)

@@ -8,7 +8,7 @@ because Spark evaluates filters on file metadata before it opens a file.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from ..functions.jsonvals import at
 from ..functions.keys import key_fields
 from ..functions.text import org_of, require_clean
-from ..schemas import EVENT_LINE, EXPORT_LINE
+from ..schemas import EVENT_LINE, EXPORT_LINE, no_rows
 
+_GLOB_CHARACTERS = r"([\\{}\[\]*?])"
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 _BROKEN = "_broken"
 
@@ -60,6 +61,11 @@ def tenant_folder(root: str, project_id: str | None, is_org_admin: bool = False)
     return f"{root.rstrip('/')}/{tenant_prefix(project_id, is_org_admin)}"
 
 
+def exact_path(root: str, key: str) -> str:
+    """The path of one object; characters that readers take for patterns stand for themselves."""
+    return f"{root.rstrip('/')}/" + re.sub(_GLOB_CHARACTERS, r"\\\1", key)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder of that name, in whatever store Spark reads."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,7 +84,7 @@ def load_or_empty(
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND" or not exists(spark, root):
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
 
 
 def list_batches(
@@ -111,8 +117,9 @@ def _usable(key: str = "key") -> Column:
 
 
 def _read_lines(
-    spark: SparkSession, root: str, folder: str, fields: T.StructType, strict: bool
+    spark: SparkSession, root: str, place: str | Sequence[str], fields: T.StructType, strict: bool
 ) -> DataFrame:
+    """The lines of a folder, or of the files with the given keys; such a file must exist."""
     schema = T.StructType([*fields, T.StructField(_BROKEN, T.StringType())])
     reader = spark.read.schema(fields if strict else schema).option("recursiveFileLookup", "true")
     if strict:
@@ -121,12 +128,16 @@ def _read_lines(
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
 
     def load() -> DataFrame:
-        lines = reader.json(folder)
+        lines = reader.json(place if isinstance(place, str) else [exact_path(root, key) for key in place])
         if strict:
             lines = lines.withColumn(_BROKEN, F.lit(None).cast("string"))
-        return lines.withColumn("key", metadata_key(root))
+        return lines.withColumnRenamed("key", "event_key").withColumn("key", metadata_key(root))
 
-    return load_or_empty(spark, root, load, T.StructType([*schema, T.StructField("key", T.StringType())]))
+    named = [T.StructField("event_key" if field.name == "key" else field.name, field.dataType) for field in schema]
+    shape = T.StructType([*named, T.StructField("key", T.StringType())])
+    if not isinstance(place, str):
+        return load() if place else no_rows(spark, shape)
+    return load_or_empty(spark, root, load, shape)
 
 
 def _mark_of(lines: DataFrame) -> Column:
@@ -147,25 +158,36 @@ def read_events(
     strict: bool = False,
     extra: T.StructType | None = None,
     check_keys: bool = True,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Events of the batch files: ``id, type, body, key``, and the ``extra`` fields if asked.
+    """Events of the batch files: ``id, type, body, key``, and the ``extra`` fields if asked, ``key`` among them as ``event_key``.
 
     One declared schema serves all files, so a field some files lack is null there. Lines that
     are not JSON are left out (``broken_lines`` counts them); with ``strict`` they are an error. Files whose key is
-    not one of a batch, such as media, are not opened; ``check_keys=False`` leaves that to the caller.
+    not one of a batch, such as media, are not opened; ``check_keys=False`` leaves that to the caller. With ``keys``, a
+    bounded number of them, just these files are read and no folder is listed; one that is not there is an error.
     """
     fields = T.StructType([*EVENT_LINE, *(extra or [])])
-    lines = _read_lines(spark, root, tenant_folder(root, project_id, is_org_admin), fields, strict)
+    place = tenant_folder(root, project_id, is_org_admin) if keys is None else list(dict.fromkeys(keys))
+    lines = _read_lines(spark, root, place, fields, strict)
     events = lines.where(_mark_of(lines).isNull()).drop(_BROKEN)
     return events.where(_usable()) if check_keys else events
 
 
 def read_export_events(
-    spark: SparkSession, root: str, project_id: str | None = None, *, is_org_admin: bool = False
+    spark: SparkSession,
+    root: str,
+    project_id: str | None = None,
+    *,
+    is_org_admin: bool = False,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Events for exports: typed ``body``, plus top-level ``input`` and ``output``; always strict."""
-    folder = tenant_folder(root, project_id, is_org_admin)
-    return _read_lines(spark, root, folder, EXPORT_LINE, strict=True).drop(_BROKEN).where(_usable())
+    """Events for exports: typed ``body``, plus top-level ``input`` and ``output``; always strict.
+
+    ``keys`` works as for ``read_events``.
+    """
+    place = tenant_folder(root, project_id, is_org_admin) if keys is None else list(dict.fromkeys(keys))
+    return _read_lines(spark, root, place, EXPORT_LINE, strict=True).drop(_BROKEN).where(_usable())
 
 
 def read_records(

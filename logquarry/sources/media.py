@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import require_clean
 from ..functions.times import require_iso
-from ..schemas import MEDIA_META
-from .files import exists, load_or_empty, metadata_key, tenant_folder
+from ..schemas import MEDIA_META, no_rows
+from .files import exact_path, exists, load_or_empty, metadata_key, tenant_folder
 
 # Fixed value: where sidecars are.
 PLACE = r"^(.*)/media/([^/]+)\.meta\.json$"
-_GLOB_CHARACTERS = r"([\\{}\[\]*?])"
 _OUTPUT = (
     "key string, project_id string, media_id string, blob_key string, "
     "content_type string, content_length long, uploaded_at timestamp"
@@ -63,12 +62,12 @@ def read_media_of(spark: SparkSession, root: str, tenants: Iterable[str]) -> Dat
     """The sidecars of some tenants; only their media folders are listed."""
     folders = [tenant_folder(root, tenant) + "media" for tenant in dict.fromkeys(tenants)]
     there = [folder for folder in folders if exists(spark, folder)]
-    return _shape(spark, root, *there) if there else spark.createDataFrame([], _OUTPUT)
+    return _shape(spark, root, *there) if there else no_rows(spark, _OUTPUT)
 
 
 def read_one_media_meta(spark: SparkSession, root: str, project_id: str, media_id: str) -> DataFrame:
     """The sidecar of one id, read by its own path without listing a folder; no rows if missing."""
     if "/" in media_id or not media_id:
         raise ValueError(f"not a media id: {media_id!r}")
-    name = re.sub(_GLOB_CHARACTERS, r"\\\1", media_id)
-    return _shape(spark, root, f"{tenant_folder(root, project_id)}media/{name}.meta.json")
+    require_clean(project_id)
+    return _shape(spark, root, exact_path(root, f"{project_id}/media/{media_id}.meta.json"))

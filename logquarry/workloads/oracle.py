@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .queries import INTERNAL, PUBLIC
-from .views import FILE_SPAN, MEMBERS
+from .views import FILE_DOCUMENTS, FILE_SPAN, MEMBERS
 
 _SESSION = "'d' || day(ts) || '-' || (user_id % 5)"
 _ISO = "'%Y-%m-%dT%H:%M:%S'"
@@ -123,6 +123,13 @@ _DOCUMENT_BODY = """'{"model":' || to_json(lang) || ',"input":' || CASE doc_id %
 _DOCUMENTS = f"""docs AS (
   SELECT doc_id, 'doc-' || doc_id AS id, lang AS type, text, source, {_DOCUMENT_BODY} AS body FROM documents)"""
 
+_DOCUMENT_LINES = f"""{_DOCUMENTS},
+document_lines AS (
+  SELECT *, 'org' || g % 4 AS org, 'org' || g % 4 || '/user' || g % 52 || '/s' || g % 7 || '_run' || g || '_doc_d' || g % 16 || '_'
+            || strftime(file_ts, {_STAMP}) || '_u' || g || '.jsonl' AS key, strftime(file_ts, {_ISO}) || '+00:00' AS "timestamp"
+  FROM (SELECT *, doc_id // {FILE_DOCUMENTS} AS g, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (doc_id // {FILE_DOCUMENTS}) AS file_ts
+        FROM docs))"""
+
 ORACLE: dict[str, str] = {
     "search_table_org_ilike": _table_search(
         f"""{_ORG1} AND "timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" <= TIMESTAMP '2024-01-20 07:00:00'
@@ -294,4 +301,29 @@ SELECT id, '' AS session_id, name, body, CAST(0 AS BIGINT) AS n_tags, CAST(NULL
     "export_traces_roundtrip": f"""WITH {_TRACES}
 SELECT '{{"id":' || to_json(id) || ',"name":' || coalesce(to_json(name), 'null') || ',"output":null,"session_id":'
        || to_json(session_id) || ',"usage":null}}' AS line FROM traces""",
+    "inventory_objects": f"""WITH {_FILES}, {_MEDIA}
+SELECT key, split_part(key, '/', 1) AS org, CASE WHEN {_READABLE} THEN strftime(file_ts, '%Y-%m-%d') END AS day FROM files
+UNION ALL SELECT unnest([blob_key, replace(blob_key, '.bin', '.meta.json')]), split_part(blob_key, '/', 1), NULL FROM media""",
+    "search_files_inventory": _file_search(
+        f"""{_ORG1} AND file_ts >= TIMESTAMP '2024-01-01 02:00:00'
+  AND (body ILIKE '%"k": 7%' OR id ILIKE '%"k": 7%' OR type ILIKE '%"k": 7%')""",
+        500,
+    ),
+    "search_files_inventory_all": f"""WITH {_LINES}
+SELECT id, type, "timestamp", body, key, model FROM lines
+WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind2' AND (body ILIKE '%PURCH%' OR id ILIKE '%PURCH%' OR type ILIKE '%PURCH%')""",
+    "search_files_statistics": f"""WITH {_LINES}
+SELECT id, key, (SELECT count(*) FROM files WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind1') AS files_scanned FROM lines
+WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind1' AND (body ILIKE '%signup%' OR id ILIKE '%signup%' OR type ILIKE '%signup%')
+ORDER BY file_ts DESC, key, id, body LIMIT 200""",
+    "search_files_keys": f"""WITH {_FILES} SELECT {_FILE_COLUMNS} FROM files
+WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind1'""",
+    "search_files_skipping": f"""WITH {_DOCUMENT_LINES}
+SELECT id, type, "timestamp", body, key FROM document_lines
+WHERE org = 'org1' AND (body ILIKE '%shwhing%' OR id ILIKE '%shwhing%' OR type ILIKE '%shwhing%')""",
+    "search_files_skipping_wildcard": f"""WITH {_DOCUMENT_LINES}
+SELECT id, type, "timestamp", body, key FROM document_lines
+WHERE org = 'org2' AND file_ts >= TIMESTAMP '2024-01-01 00:03:00' AND body ILIKE '%hanti%_ha%nd%'""",
+    "read_chosen_files": f"""WITH {_LINES} SELECT id, type, body, key FROM lines
+WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind0'""",
 }

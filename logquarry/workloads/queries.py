@@ -24,8 +24,10 @@ from ..plans.media import media_for
 from ..plans.named import list_source_files, locate_source_files, source_media
 from ..sinks import exports
 from ..sources.files import broken_lines, list_batches, read_events, read_export_events, read_records
+from ..sources.inventory import read_files
 from ..sources.media import read_media_meta
 from ..sources.registry import Source, Sources
+from ..sources.skip_index import read_skip_index
 from ..sources.tables import scan_event_table
 from ..sources.traces import scan_traces
 from . import staging, views
@@ -289,6 +291,82 @@ def list_files_inventory(spark, sf_dir):
     return plans.list_files(spark, views.log_root(spark, sf_dir), **ADMIN, inventory=inventory, trace_type="kind0")
 
 
+@query
+def inventory_objects(spark, sf_dir):
+    """The inventory that a stream over the root has written, with its layout."""
+    inventory = views.log_inventory(spark, sf_dir)
+    return inventory.select("key", "org", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def search_files_inventory(spark, sf_dir):
+    """The newest matches, from files that a stored inventory names."""
+    found = plans.search_files(
+        spark, views.log_root(spark, sf_dir), '"k": 7', **ADMIN, inventory=views.log_inventory(spark, sf_dir),
+        start="2024-01-01T02:00:00", limit=500,
+    )
+    return _file_results(found)
+
+
+@query
+def search_files_inventory_all(spark, sf_dir):
+    """All matches, with a field of the events' own."""
+    model = T.StructType([T.StructField("model", T.StringType())])
+    found = plans.search_files(
+        spark, views.log_root(spark, sf_dir), "PURCH", **ADMIN, inventory=views.log_inventory(spark, sf_dir), limit=None,
+        trace_type="kind2", extra=model,
+    )
+    return _file_results(found)
+
+
+@query
+def search_files_statistics(spark, sf_dir):
+    """What a search found, beside how many files its filters chose."""
+    found = plans.search_chosen_files(
+        spark, views.log_root(spark, sf_dir), "signup", **ADMIN, trace_type="kind1", limit=200
+    )
+    return found.rows.select("id", "key").withColumn("files_scanned", found.files_scanned.scalar())
+
+
+@query
+def search_files_keys(spark, sf_dir):
+    """The files that a search chose."""
+    found = plans.search_chosen_files(
+        spark, views.log_root(spark, sf_dir), "signup", **ADMIN, trace_type="kind1", limit=10,
+        inventory=views.log_inventory(spark, sf_dir),
+    )
+    return found.keys
+
+
+def _skipped(spark, sf_dir, q, **how):
+    index = read_skip_index(spark, views.document_skip_index(spark, sf_dir))
+    found = plans.search_files(
+        spark, views.document_root(spark, sf_dir), q, **how, limit=None,
+        inventory=views.document_inventory(spark, sf_dir), index=index,
+    )
+    return _file_results(found)
+
+
+@query
+def search_files_skipping(spark, sf_dir):
+    """Files whose trigrams rule the text out stay closed."""
+    return _skipped(spark, sf_dir, "ShWhing", project_id="org1/x", is_org_admin=True)
+
+
+@query
+def search_files_skipping_wildcard(spark, sf_dir):
+    return _skipped(spark, sf_dir, "hanti%_ha%nd", project_id="org2/x", is_org_admin=True, start="2024-01-01T00:03:00")
+
+
+@query
+def read_chosen_files(spark, sf_dir):
+    """The contents of the files that a table of keys names; no other file is looked at."""
+    chosen = plans.list_files(
+        spark, views.log_root(spark, sf_dir), **ADMIN, inventory=views.log_inventory(spark, sf_dir)
+    )
+    return read_files(spark, views.log_root(spark, sf_dir), chosen.where(F.col("trace_type") == "kind0"))
+
+
 @query
 def list_files_no_tenant(spark, sf_dir):
     return plans.list_files(spark, views.log_root(spark, sf_dir), "nobody/here")

@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.exports import TIME_FORMATS
+from ..sources.inventory import read_inventory, update_inventory
+from ..sources.skip_index import update_skip_index
 from . import staging
 
 # Batch files and blobs belong to this many tenants, each holding the events of one tenant out
 # of this many consecutive event ids: a file has a bounded size and is not tiny.
 MEMBERS = 200
 FILE_SPAN = 1_000_000
+# Documents in a batch file of long texts.
+FILE_DOCUMENTS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -238,6 +242,20 @@ def _chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events(spark, sf_dir).select(key.alias("key"), number.alias("position"), line.alias("text"))
 
 
+def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch files of events with long bodies, one file a minute."""
+    number, group = F.expr("cast(substring(id, 5) as bigint)"), F.col("group")
+    stamp = F.date_format(F.timestamp_add("MINUTE", group, F.lit("2024-01-01").cast("timestamp_ntz")), "yyyyMMdd'T'HHmmss'Z'")
+    key = F.concat(
+        F.format_string("org%d/user%d/s%d_run%d_doc_d%d_", group % 4, group % 52, group % 7, group, group % 16), stamp,
+        F.format_string("_u%d.jsonl", group),
+    )
+    line = F.concat(F.lit('{"id":"'), "id", F.lit('","type":"'), "type", F.lit('","body":'), "body", F.lit("}"))
+    events = document_events(spark, sf_dir).withColumn("position", number)
+    events = events.withColumn("group", F.expr(f"position div {FILE_DOCUMENTS}"))
+    return events.select(key.alias("key"), "position", line.alias("text"))
+
+
 _roots: dict[tuple[str, str, str], str] = {}
 
 
@@ -287,3 +305,35 @@ def event_table_root(spark: SparkSession, sf_dir: str) -> str:
         laid_out.write.partitionBy(*layout).parquet(root)
 
     return _once(spark, sf_dir, "events", build)
+
+
+def document_root(spark: SparkSession, sf_dir: str) -> str:
+    """A root with the batch files of documents."""
+    return _once(spark, sf_dir, "documents", lambda root: staging.write_named_files(_document_files(spark, sf_dir), root))
+
+
+def log_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored inventory of the log files."""
+
+    def build(path: str) -> None:
+        update_inventory(spark, log_root(spark, sf_dir), path, staging.scratch(spark, "stream"))
+
+    return read_inventory(spark, _once(spark, sf_dir, "log-inventory", build))
+
+
+def document_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored inventory of the files of documents."""
+
+    def build(path: str) -> None:
+        update_inventory(spark, document_root(spark, sf_dir), path, staging.scratch(spark, "stream"))
+
+    return read_inventory(spark, _once(spark, sf_dir, "document-inventory", build))
+
+
+def document_skip_index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the skip index of the files of documents is."""
+
+    def build(path: str) -> None:
+        update_skip_index(spark, document_root(spark, sf_dir), document_inventory(spark, sf_dir), path)
+
+    return _once(spark, sf_dir, "document-index", build)
