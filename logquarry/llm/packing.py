@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,11 +95,50 @@ def places(patterns: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in the file of a byte-level tokenizer: printable Latin-1 for itself, the rest in
+    order from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {chr(byte): byte for byte in shown} | {chr(0x100 + at): byte for at, byte in enumerate(hidden)}
+
+
+def _as_ranks(file: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Ranks and special tokens of a tokenizer file, if it is plain byte-level BPE in which ids are the order of merging."""
+    model, split = file["model"], file["pre_tokenizer"] or {}
+    plain = (
+        model["type"] == "BPE"
+        and not any(model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and file["normalizer"] is file["truncation"] is file["padding"] is None
+        and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        and not any(token[name] for token in file["added_tokens"] for name in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+    if not plain:
+        return None
+    special = {token["content"]: token["id"] for token in file["added_tokens"]}
+    alphabet, vocabulary = _byte_alphabet(), {token: rank for token, rank in model["vocab"].items() if token not in special}
+    merges = [pair if isinstance(pair, str) else " ".join(pair) for pair in model["merges"]]
+    merged = [vocabulary.get(pair.replace(" ", "", 1)) for pair in merges]
+    if merged != list(range(256, 256 + len(merges))) or len(vocabulary) != 256 + len(merges):
+        return None
+    return {bytes(alphabet[character] for character in token): rank for token, rank in vocabulary.items()}, special
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    """The tokenizer at ``path`` on this machine, or as Spark has sent it."""
+def _encoder(path: str) -> Callable[[str], Sequence[int]]:
+    """The ids of a text by the tokenizer file at ``path`` on this machine, or as Spark has sent it.
+
+    A plain byte-level BPE has the same ids as a rank file, which another library encodes four times as fast.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
-    return Tokenizer.from_file(path if os.path.exists(path) else SparkFiles.get(path.rpartition("/")[2]))
+    path = path if os.path.exists(path) else SparkFiles.get(path.rpartition("/")[2])
+    with open(path, encoding="utf-8") as file:
+        ranks = _as_ranks(json.load(file))
+    if ranks is None:
+        tokenizer = Tokenizer.from_file(path)
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks[0], special_tokens=ranks[1])
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
 def cut_points(total: int, size: int) -> list[int]:
@@ -117,13 +159,13 @@ def pieces(
     kind = source.schema["_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer_path).encode
+        encode = _encoder(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 owner, piece, start, length, crc = [], [], [], [], []
                 for row, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.array([*encode(text, add_special_tokens=False).ids, end_id], dtype="<u4")
+                    ids = np.append(np.asarray(encode(text), dtype="<u4"), np.array([end_id], dtype="<u4"))
                     starts = cut_points(len(ids), size)
                     for number, (first, behind) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                         owner.append(row)
