@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, in_workers, text_or_empty, written
+from .hashing import mix
 
 LEAST_COUNT = 10
 INSIDE_PERCENT = 50
 BEST = 2000
 MAX_WORDS = 3
+# Groups of a language's phrases that are ranked on their own first.
+PARTS = 32
 # Words in a shard, and bytes of text that are split at once.
 SHARD_WORDS, PART_BYTES = 1 << 21, 1 << 22
+# Words of text for each bucket in which phrases of all shards are summed.
+BUCKET_WORDS = 1 << 20
 
 _BORDER = b"\xff"  # no byte of UTF-8
 _FOLD = bytearray(range(256))
@@ -56,6 +61,27 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers from 0 on, the first in ascending order, as bytes: its differences, then the others, each in as many
+    planes of bytes as its largest number needs."""
+    columns = [np.diff(columns[0], prepend=0), *columns[1:]]
+    widths = [max(1, (int(column.max(initial=0)).bit_length() + 7) // 8) for column in columns]
+    planes = [column.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes() for column, width in zip(columns, widths, strict=True)]
+    return zlib.compress(bytes([len(widths), *widths]) + b"".join(planes), 1)
+
+
+def unpack_columns(data: bytes) -> list[np.ndarray]:
+    data = zlib.decompress(data)
+    widths = data[1 : 1 + data[0]]
+    at, size, columns = 1 + len(widths), (len(data) - 1 - len(widths)) // sum(widths), []
+    for width in widths:
+        planes = np.zeros((8, size), dtype=np.uint8)
+        planes[:width] = np.frombuffer(data, dtype=np.uint8, count=width * size, offset=at).reshape(width, size)
+        columns.append(np.ascontiguousarray(planes.T).view("<i8").ravel())
+        at += width * size
+    return [np.cumsum(columns[0]), *columns[1:]]
+
+
 class _Ids(dict):
     """Ids of the words of one language, from a count that all languages share."""
 
@@ -249,23 +275,89 @@ def _words(length: int) -> list[str]:
     return [f"w{at}" for at in range(1, length + 1)]
 
 
-def _phrases(texts: DataFrame, parts: DataFrame, length: int) -> DataFrame:
-    """Phrases of ``length`` words by shard, from the words or shorter phrases that are left of it."""
-    names = _words(length)
+def _runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts the rows, and where in it each run of equal rows starts."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[order[1:]] != column[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
+def _phrases(texts: DataFrame, parts: DataFrame, length: int, last: bool, buckets: int) -> DataFrame:
+    """Phrases of ``length`` words by shard, from the words or shorter phrases that are left of it.
+
+    Phrases are dealt to ``buckets`` by their words. A row holds those of a shard in one bucket: with place and count, or
+    for the last length with the count alone.
+    """
 
     def count(key: tuple, text: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if not len(text) or not len(some):
-            return pd.DataFrame({name: pd.Series(dtype="int64") for name in ["shard", "low", "count", *names]})
-        row, sign = unpack(text["text"].iloc[0]), int(text["sign"].iloc[0])
-        columns = [some[name].to_numpy() for name in some.columns if name != "shard"]
-        if length == 2:
-            low, counts, ids = pairs_of(row, *columns)
-        else:
-            low, counts, ids = longer_by_one(row, columns[0], np.abs(columns[1]), columns[2:])
-        return pd.DataFrame({"shard": key[0], "low": low, "count": sign * counts, **dict(zip(names, ids, strict=True))})
+        rows = []
+        if len(text) and len(some):
+            row, sign = unpack(text["text"].iloc[0]), int(text["sign"].iloc[0])
+            if length == 2:
+                low, counts, ids = pairs_of(row, some["local"].to_numpy(), some["id"].to_numpy())
+            else:
+                known = [np.concatenate(column) for column in zip(*map(unpack_columns, some["data"]), strict=True)]
+                low, counts, ids = longer_by_one(row, known[0], known[1], known[2:])
+            bucket = ids[0].astype(np.uint64)
+            for one in ids[1:]:
+                bucket = mix(bucket) + one.astype(np.uint64)
+            bucket = (mix(bucket) % np.uint64(buckets)).astype(np.int64)
+            columns = [*ids, counts] if last else [low, counts, *ids]
+            order = np.lexsort((*ids[::-1], bucket) if last else (low, bucket))
+            borders = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for at in np.split(order, borders[1:]) if len(order) else ():
+                rows.append((int(bucket[at[0]]), key[0], sign, pack_columns([column[at] for column in columns])))
+        return pd.DataFrame(rows, columns=["bucket", "shard", "sign", "data"])
+
+    return texts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(count, "bucket long, shard long, sign int, data binary")
+
+
+def _frequent(found: DataFrame, length: int, last: bool, least: int) -> DataFrame:
+    """The phrases with at least ``least`` occurrences over all shards.
+
+    Rows of shard -1 hold them with their counts, the others what each shard has of them.
+    """
 
-    schema = ", ".join(f"{name} long" for name in ["shard", "low", "count", *names])
-    return texts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(count, schema)
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        shares = [unpack_columns(data) for data in group["data"]]
+        sizes = [len(share[0]) for share in shares]
+        columns = [np.concatenate(column) for column in zip(*shares, strict=True)]
+        signs = np.repeat(group["sign"].to_numpy(), sizes)
+        ids, counts = (columns[:length], columns[length]) if last else (columns[2:], columns[1])
+        order, starts = _runs(ids)
+        total = np.add.reduceat(signs[order] * counts[order], starts)
+        good = total >= least
+        rows = []
+        if good.any():
+            heads = order[starts[good]]
+            rows.append((-1, pack_columns([*(one[heads] for one in ids), total[good]])))
+            if not last:
+                keeps = np.zeros(len(order), dtype=bool)
+                keeps[order] = np.repeat(good, np.diff(np.append(starts, len(order))))
+                begin = 0
+                for shard, size in zip(group["shard"].tolist(), sizes, strict=True):
+                    own = slice(begin, begin + size)
+                    if keeps[own].any():
+                        rows.append((shard, pack_columns([column[own][keeps[own]] for column in columns])))
+                    begin += size
+        return pd.DataFrame(rows, columns=["shard", "data"])
+
+    return found.groupBy("bucket").applyInPandas(add, "shard long, data binary")
+
+
+def _counts(found: DataFrame, length: int) -> DataFrame:
+    """``w1, w2, ... , f`` of the frequent phrases."""
+    names = [*_words(length), "f"]
+
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in unpack_columns(data)], names=names)
+
+    return found.where("shard = -1").select("data").mapInArrow(spread_out, ", ".join(f"{name} long" for name in names))
 
 
 def _exact_score(a: Column, left: Column, right: Column) -> Column:
@@ -286,6 +378,7 @@ def collocations(
     inside_percent: int = INSIDE_PERCENT,
     best: int | None = BEST,
     shard_words: int = SHARD_WORDS,
+    bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """Phrases of 2 to ``max_words`` words that stand together more often than their parts: per language the ``best``.
 
@@ -299,8 +392,8 @@ def collocations(
 
     Texts become shards of word ids, split wherever a shard is full. Words are counted over all shards, and only
     words, then phrases, that are frequent over all shards are extended by the shards' indexes; the counts of a phrase are
-    summed across shards. A phrase has at most one row per shard, so no word or phrase, however
-    frequent, makes a large group.
+    summed across shards, in buckets of phrases whose number grows with the text. A phrase has one count per shard, so no word or
+    phrase, however frequent, makes a large group.
     """
     in_workers(docs.sparkSession)
     if max_words < 2:
@@ -334,18 +427,16 @@ def collocations(
     words = words.withColumn("id", number)
     parts = words.select("shard", "local", "id")
 
+    # A bucket of phrases holds about as much as a shard.
+    total = per_lang.agg(F.sum("n")).first()[0] or 0
+    buckets = total // bucket_words + 1
     # Counts by length; ``w1, w2, ...`` are the words' numbers.
     counted = {1: words.where(F.col("word").isNotNull()).select(F.col("id").alias("w1"), "f")}
     for length in range(2, max_words + 1):
-        names = _words(length)
-        found = _phrases(texts, parts, length)
-        if length < max_words:
-            found = found.withColumn("f", F.sum("count").over(Window.partitionBy(*names))).where(F.col("f") >= least)
-            found = written(found)
-            parts = found.select("shard", "low", "count", *names)
-            counted[length] = found.groupBy(*names).agg(F.first("f").alias("f"))
-        else:
-            counted[length] = written(found.groupBy(*names).agg(F.sum("count").alias("f")).where(F.col("f") >= least))
+        last = length == max_words
+        found = written(_frequent(_phrases(texts, parts, length, last, buckets), length, last, least))
+        counted[length] = _counts(found, length)
+        parts = found.where("shard >= 0")
 
     scored = []
     for length in range(2, max_words + 1):
@@ -381,9 +472,14 @@ def _named(scored: DataFrame, words: DataFrame, per_lang: DataFrame, best: int |
     spelled = spelled.agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
     phrase = F.array_join(F.col("words.word"), " ")
     found = scored.join(spelled, "_phrase").select("lang", phrase.alias("phrase"), "a", "weakest.l", "weakest.r", "weakest.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
-    found = found.withColumn("rank", rank)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    if best is not None:
+        # Within some groups of a language first, so that its phrases need not all meet at once.
+        found = found.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+        found = found.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order)))
+        found = found.where(F.col("_rank") <= best)
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if best is not None:
         found = found.where(F.col("rank") <= best)
     found = found.join(per_lang.withColumnRenamed("langs", "lang"), "lang")
-    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -1,11 +1,13 @@
 """Ranked search, packing and collocations against plain versions, and on odd input."""
 
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -102,6 +104,22 @@ def test_search_stops_before_the_end():
     assert int((lists.met == lists.searches).sum()) < 100
 
 
+def test_both_ways_of_encoding_agree(corpus, tmp_path):
+    texts = [row[1] or "" for row in corpus] + ["a<|endoftext|> b<|endoftext|>", " " * 5000 + "\n\n  x", "".join(map(chr, range(0x20, 0x3000)))]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    fast = packing._encoder(TOKENIZER)
+    assert all(list(fast(text)) == tokenizer.encode(text, add_special_tokens=False).ids for text in texts)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        other = json.loads(Path(public_tokenizers.path(name)).read_text())
+        if name.startswith("byte"):
+            other["model"]["merges"][5], other["model"]["merges"][6] = other["model"]["merges"][6], other["model"]["merges"][5]
+        assert packing._as_ranks(other) is None
+        path = tmp_path / name
+        path.write_text(json.dumps(other))
+        tokenizer = Tokenizer.from_file(str(path))
+        assert all(list(packing._encoder(str(path))(text)) == tokenizer.encode(text, add_special_tokens=False).ids for text in texts)
+
+
 def plain_pieces(rows, size):
     tokenizer, out = Tokenizer.from_file(TOKENIZER), []
     for key, text in rows:
@@ -209,7 +227,7 @@ def test_collocations_equal_counting_everything(spark, odd, max_words, shard_wor
     rows = [(rng.choice(["en", "de", None, "und"]), text) for text in texts]
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("rank", F.lit("clash")).repartition(2)
     for least, best in ((10, 2000), (3, 7)):
-        found = phrases.collocations(df, max_words=max_words, least=least, best=best, shard_words=shard_words)
+        found = phrases.collocations(df, max_words=max_words, least=least, best=best, shard_words=shard_words, bucket_words=shard_words)
         assert sorted(tuple(row) for row in found.collect()) == plain_phrases(rows, max_words, least, 50, best)
 
 
