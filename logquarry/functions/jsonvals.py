@@ -23,6 +23,11 @@ def json_valid(text: Column) -> Column:
     return F.coalesce(F.slice(items, 2, 2) == F.array(F.lit(_END)), F.lit(False))
 
 
+def _may_be_json(text: Column) -> Column:
+    """Whether the text begins as JSON does. Most text that is not JSON is told apart by that, without a parser that fails."""
+    return F.rlike(text, F.lit(r'^[ \t\r\n]*([\[{"0-9-]|true|false|null)'))
+
+
 def body_or_empty(text: Column) -> Column:
     """The body as stored, or ``{}`` when it is null or not JSON."""
     return F.when(json_valid(text), text).otherwise(F.lit("{}"))
@@ -38,13 +43,13 @@ def with_variant(df: DataFrame, name: str, text: Column) -> DataFrame:
     lost = F.concat(F.lit("JSON repeats a key; set spark.sql.variant.allowDuplicateKeys: "), F.left(text, F.lit(200)))
     raw = f"_{name}_wrapped"
     return (
-        df.withColumn(raw, F.try_parse_json(_wrapped(text)))
+        df.withColumn(raw, F.when(_may_be_json(text), F.try_parse_json(_wrapped(text))))
         .withColumn(
             name,
             F.when(
                 F.try_variant_get(raw, "$[1]", "string") == _END,
                 F.try_variant_get(raw, "$[0]", "variant"),
-            ).when(F.col(raw).isNull() & json_valid(text), F.raise_error(lost).cast("variant")),
+            ).when(F.col(raw).isNull() & _may_be_json(text) & json_valid(text), F.raise_error(lost).cast("variant")),
         )
         .drop(raw)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsonvals import as_text, at, body_or_empty, content_text, is_list, is_text, truthy, with_variant
+from ..functions.jsonvals import as_text, at, body_or_empty, content_text, is_text, truthy, with_variant
 from ..functions.times import iso_utc
 from ..schemas import EVENT_COLUMNS
 
@@ -88,52 +88,68 @@ def _shown(value: Column) -> Column:
 
 
 def _decoded(df: DataFrame, part: str) -> DataFrame:
-    """Columns for one part of the body: ``{part}_text``, and ``{part}_json`` if that is JSON.
+    """Columns for one part of the body: ``_{part}`` as it is there, and ``_{part}_json``, where a part that is text is
+    decoded once more; null if that text is not JSON.
+    """
+    value, said = F.col(f"_{part}"), F.col(f"_{part}_said")
+    df = df.withColumn(f"_{part}", at(F.col("_body"), f"$.{part}"))
+    df = df.withColumn(f"_{part}_said", F.when(is_text(value), as_text(value)))
+    df = with_variant(df, f"_{part}_told", said)
+    return df.withColumn(f"_{part}_json", F.when(said.isNull(), value).otherwise(F.col(f"_{part}_told")))
+
 
-    A part stored as a JSON string is decoded once more, as the text columns hold it unquoted.
+def _source(part: str, path: Column | str = "") -> Column:
+    """What stands at the path of a part, as JSON text with keys in their own order; text stands there without quotes.
+
+    This parses the text again, so it belongs only where an object or a list is printed.
     """
-    value = F.col("_body")
-    df = df.withColumn(
-        f"_{part}_text", F.when(truthy(at(value, f"$.{part}")), F.get_json_object("_text", f"$.{part}"))
-    )
-    return with_variant(df, f"_{part}_json", F.col(f"_{part}_text"))
+    said, path = F.col(f"_{part}_said"), path if isinstance(path, Column) else F.lit(path)
+    text = F.when(said.isNull(), F.col("_text")).otherwise(said)
+    root = F.when(said.isNull(), F.lit(f"$.{part}")).otherwise(F.lit("$"))
+    return F.call_function("get_json_object", text, F.concat(root, path))
+
+
+def _with_input(df: DataFrame) -> DataFrame:
+    """``_input_list``, the messages, and ``_input_part``, the content of the last of them.
+
+    What several conditions look at has a column of its own, so that it is worked out once.
+    """
+    value = F.col("_input_json")
+    own = at(value, "$", "array<variant>")
+    df = df.withColumn("_input_own", own)
+    df = df.withColumn("_input_list", F.coalesce("_input_own", at(value, "$.messages", "array<variant>")))
+    return df.withColumn("_input_part", at(F.try_element_at("_input_list", F.lit(-1)), "$.content"))
 
 
 def _input_preview() -> Column:
-    source, value = F.col("_input_text"), F.col("_input_json")
-    nested = at(value, "$.messages", "array<variant>")
-    typed = F.coalesce(at(value, "$", "array<variant>"), nested)
-    printed = F.from_json(
-        F.when(is_list(value), source).otherwise(F.get_json_object(source, "$.messages")), "array<string>"
-    )
-    last = content_text(
-        at(F.element_at(typed, -1), "$.content"), F.get_json_object(F.element_at(printed, -1), "$.content")
-    )
+    value, size = F.col("_input_json"), F.size("_input_list")
+    place = F.when(F.col("_input_own").isNotNull(), F.lit("[")).otherwise(F.lit(".messages["))
+    last = content_text(F.col("_input_part"), _source("input", F.concat(place, (size - 1).cast("string"), F.lit("].content"))))
     return (
-        F.when(source.isNull(), F.lit(MISSING))
-        .when(value.isNull(), _shown(source))
-        .when(F.size(typed) > 0, _shown(last))
+        F.when(~truthy(F.col("_input")), F.lit(MISSING))
+        .when(value.isNull(), _shown(F.col("_input_said")))
+        .when(size > 0, _shown(last))
         .when(is_text(value), _shown(as_text(value)))
-        .otherwise(_shown(F.get_json_object(source, "$")))
+        .otherwise(_shown(_source("input")))
     )
 
 
+def _with_output(df: DataFrame) -> DataFrame:
+    """``_output_choices``, whether there are any, the first one's message, and ``_output_part``, the content shown."""
+    value, some = F.col("_output_json"), F.col("_output_choices")
+    df = df.withColumn("_output_choices", F.coalesce(F.size(at(value, "$.choices", "array<variant>")) > 0, F.lit(False)))
+    df = df.withColumn("_output_message", at(value, "$.choices[0].message"))
+    return df.withColumn("_output_part", F.when(some, at(F.col("_output_message"), "$.content")).otherwise(at(value, "$.content")))
+
+
 def _output_preview() -> Column:
-    source, value = F.col("_output_text"), F.col("_output_json")
-    message = at(value, "$.choices[0].message")
-    chosen = content_text(
-        at(message, "$.content"), F.get_json_object(source, "$.choices[0].message.content")
-    )
-    own = at(value, "$.content")
+    value, part, some = F.col("_output_json"), F.col("_output_part"), F.col("_output_choices")
+    place = F.when(some, F.lit(".choices[0].message.content")).otherwise(F.lit(".content"))
     return (
-        F.when(source.isNull(), F.lit(MISSING))
-        .when(value.isNull(), _shown(source))
+        F.when(~truthy(F.col("_output")), F.lit(MISSING))
+        .when(value.isNull(), _shown(F.col("_output_said")))
         .when(is_text(value), _shown(as_text(value)))
-        .when(
-            F.size(at(value, "$.choices", "array<variant>")) > 0,
-            F.when(truthy(message), _shown(chosen)).otherwise(F.lit(MISSING)),
-        )
-        .when(truthy(own), _shown(content_text(own, F.get_json_object(source, "$.content"))))
+        .when(truthy(F.when(some, F.col("_output_message")).otherwise(part)), _shown(content_text(part, _source("output", place))))
         .otherwise(F.lit(MISSING))
     )
 
@@ -141,13 +157,14 @@ def _output_preview() -> Column:
 def preview(df: DataFrame, body_col: str = "body") -> DataFrame:
     """Add ``model``, ``input_preview`` and ``output_preview`` read from the body text.
 
-    A body that is missing or not JSON shows ``-`` in all three.
+    A body that is missing or not JSON shows ``-`` in all three. A body is parsed once, a part that is text and holds
+    JSON once more; what is printed as JSON is taken from the text, and only then is that read a second time.
     """
     columns = df.columns
     body = F.col(body_col)
     unquoted = F.when(F.startswith(F.ltrim(body), F.lit('"')), F.get_json_object(body, "$")).otherwise(body)
     df = with_variant(df.withColumn("_text", unquoted), "_body", F.col("_text"))
-    df = _decoded(_decoded(df, "input"), "output")
+    df = _with_output(_with_input(_decoded(_decoded(df, "input"), "output")))
     model = at(F.col("_body"), "$.model")
     return df.select(
         *columns,
