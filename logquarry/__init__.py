@@ -9,6 +9,7 @@ from .operators.manifests import locate, manifest
 from .operators.messages import to_messages
 from .operators.projections import envelope, file_rows, preview, project_events, trace_rows
 from .operators.ranking import any_rows, newest
+from .operators.records import record_schema, search_records, typed_records
 from .operators.selection import result_count, scan_stats, select_events, select_files
 from .plans.media import media, media_for
 from .plans.named import list_source_files, locate_source_files, source_media
@@ -24,9 +25,11 @@ from .plans.search import (
     search_traces,
 )
 from .sinks.exports import export_catalog, export_dataset, export_index, export_jsonl
+from .sinks.tables import write_event_table, write_traces
+from .sources.compaction import broken_compacted, compact_files, read_compacted
 from .sources.files import broken_lines, list_batches, read_events, read_export_events, read_records
 from .sources.inventory import read_files, read_inventory, scan_slices, update_inventory
-from .sources.media import read_media_meta, read_media_of, read_one_media_meta
+from .sources.media import read_media_meta, read_media_of, read_media_table, read_one_media_meta, update_media_table
 from .sources.registry import Source, Sources
 from .sources.skip_index import read_skip_index, update_skip_index
 from .sources.tables import scan_event_table
@@ -38,9 +41,11 @@ __all__ = [
     "Sources",
     "any_rows",
     "body_or_empty",
+    "broken_compacted",
     "broken_lines",
     "chosen_files",
     "clean_tenant",
+    "compact_files",
     "content_text",
     "envelope",
     "export_catalog",
@@ -65,16 +70,19 @@ __all__ = [
     "preset",
     "preview",
     "project_events",
+    "read_compacted",
     "read_events",
     "read_export_events",
     "read_files",
     "read_inventory",
     "read_media_meta",
     "read_media_of",
+    "read_media_table",
     "read_one_media_meta",
     "read_records",
     "read_skip_index",
     "recent",
+    "record_schema",
     "result_count",
     "rewrite_base",
     "sanitize_key",
@@ -85,6 +93,7 @@ __all__ = [
     "search",
     "search_chosen_files",
     "search_files",
+    "search_records",
     "search_table",
     "search_traces",
     "select_events",
@@ -96,7 +105,11 @@ __all__ = [
     "time_range",
     "to_messages",
     "trace_rows",
+    "typed_records",
     "update_inventory",
+    "update_media_table",
     "update_skip_index",
     "with_key_meta",
+    "write_event_table",
+    "write_traces",
 ]

@@ -48,9 +48,13 @@ def clean_tenant(spark: SparkSession, raw: str) -> str:
     return clean
 
 
+# The characters of a safe tenant key.
+SAFE_KEY = r"[a-zA-Z0-9_\-./]+"
+
+
 def require_clean(project_id: str) -> str:
     """Refuse a tenant key that could reach outside its folder or act as a path pattern."""
-    if not re.fullmatch(r"[a-zA-Z0-9_\-./]+", project_id) or ".." in project_id or project_id.startswith("/"):
+    if not re.fullmatch(SAFE_KEY, project_id) or ".." in project_id or project_id.startswith("/"):
         raise ValueError(f"unsafe tenant key {project_id!r}; pass it through clean_tenant first")
     return project_id
 

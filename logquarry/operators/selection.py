@@ -25,11 +25,8 @@ def select_events(df: DataFrame, chosen: DataFrame | Iterable[str] | None, *, co
     if chosen is None:
         return df
     if isinstance(chosen, DataFrame):
-        # One row that says whether anything was chosen.
-        none = chosen.where(F.col(column).isNotNull()).agg((F.count(F.lit(1)) == 0).alias("_none"))
-        wanted = chosen.select(F.col(column).alias("_chosen"))
-        picked = df.join(wanted, F.col(column) == F.col("_chosen"), "left_semi")
-        return picked.unionByName(df.where(none.scalar()))
+        # Whether anything is chosen is asked at once, by a job that stops at the first row.
+        return df if chosen.where(F.col(column).isNotNull()).isEmpty() else chosen_rows(df, column, chosen)
     chosen = list(chosen)
     return chosen_rows(df, column, chosen) if chosen else df
 

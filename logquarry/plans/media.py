@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SAFE_KEY
 from ..operators.manifests import manifest
-from ..operators.selection import chosen_rows
-from ..sources.media import read_media_of, read_one_media_meta
+from ..sources.media import MEDIA_COLUMNS, read_media_of, read_one_media_meta
 
 
 def media(
@@ -38,18 +38,26 @@ def media_for(
     requests: DataFrame,
     base_uri: str,
     *,
+    media: DataFrame | None = None,
     ttl_seconds: int = 3600,
     internal_uri: str | None = None,
     public_uri: str | None = None,
     now: datetime | None = None,
 ) -> DataFrame:
-    """The blobs of many ``project_id, media_id`` requests at once; unknown ones give no row.
+    """The blobs of many ``project_id, media_id`` requests at once; unknown ones and unsafe names give no row.
 
-    Only the media folders of the requested tenants are listed; their names pass the driver, one per tenant.
+    ``media`` is a table of sidecars (``read_media_table``): requests are joined with it, nothing is listed and no name passes the driver.
+    Without it the media folders of the requested tenants are listed when the plan is made, and their names pass the
+    driver, one per tenant.
     """
-    key = F.concat("project_id", F.lit("/media/"), "media_id", F.lit(".meta.json"))
-    tenants = [row[0] for row in requests.select("project_id").where("project_id is not null").distinct().collect()]
-    found = chosen_rows(read_media_of(spark, root, tenants), "key", requests.select(key.alias("key")))
+    wanted = requests.where(F.rlike("project_id", F.lit(f"^{SAFE_KEY}$")) & ~F.contains("project_id", F.lit("..")))
+    wanted = wanted.where(~F.startswith("project_id", F.lit("/"))).select("project_id", "media_id")
+    if media is None:
+        tenants = [row[0] for row in wanted.select("project_id").distinct().collect()]
+        media = read_media_of(spark, root, tenants)
+    else:
+        media = media.select(*MEDIA_COLUMNS)
+    found = media.join(wanted, ["project_id", "media_id"], "left_semi").select(*MEDIA_COLUMNS)
     return manifest(
         found, base_uri, internal_uri=internal_uri, public_uri=public_uri,
         ttl_seconds=ttl_seconds, now=now, key_col="blob_key",

@@ -232,6 +232,7 @@ def search_files(
     wildcard: bool = True,
     inventory: DataFrame | None = None,
     index: DataFrame | None = None,
+    events: DataFrame | None = None,
     **filters,
 ) -> DataFrame:
     """Full-text search in body, id and type of the events in the tenant's batch files.
@@ -242,7 +243,7 @@ def search_files(
     is the file's) come back as ``event_...``.
 
     With an ``inventory`` no folder is listed, and the search runs at once, as ``search_chosen_files`` says; a skip ``index`` keeps
-    more files closed.
+    more files closed. ``events`` is a table of the files' events that takes their place (``read_compacted``, with the same ``extra``).
     """
     if inventory is not None or index is not None:
         return search_chosen_files(
@@ -250,7 +251,10 @@ def search_files(
             inventory=inventory, index=index, **filters,
         ).rows
     shown = _shown_names(extra)
-    events = read_events(spark, root, project_id, is_org_admin=is_org_admin, extra=extra, check_keys=False)
+    if events is None:
+        events = read_events(spark, root, project_id, is_org_admin=is_org_admin, extra=extra, check_keys=False)
+    else:
+        events = pruned(events, project_id, filters.get("start"), filters.get("end"))
     # Text first: the filters on keys choose the files before any row is read, but Spark checks
     # them again on each row, and that way only on rows that hold the text.
     found = _matching(events, q, wildcard, shown)

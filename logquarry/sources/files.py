@@ -191,16 +191,25 @@ def read_export_events(
 
 
 def read_records(
-    spark: SparkSession, root: str, project_id: str | None = None, *, is_org_admin: bool = False
+    spark: SparkSession,
+    root: str,
+    project_id: str | None = None,
+    *,
+    is_org_admin: bool = False,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Events with every field they hold: ``record``, the whole line as VARIANT, and ``id, type, key``."""
-    folder = tenant_folder(root, project_id, is_org_admin)
+    """Events with every field they hold: ``record``, the whole line as VARIANT, and ``id, type, key``.
+
+    ``keys`` works as for ``read_events``. ``typed_records`` makes columns of the fields.
+    """
+    place = tenant_folder(root, project_id, is_org_admin) if keys is None else [exact_path(root, key) for key in dict.fromkeys(keys)]
 
     def load() -> DataFrame:
         reader = spark.read.option("recursiveFileLookup", "true").option("singleVariantColumn", "record")
-        return reader.json(folder).select("record", metadata_key(root).alias("key"))
+        return reader.json(place).select("record", metadata_key(root).alias("key"))
 
-    records = load_or_empty(spark, root, load, "record variant, key string")
+    shape = "record variant, key string"
+    records = load_or_empty(spark, root, load, shape) if isinstance(place, str) else load() if place else no_rows(spark, shape)
     records = records.where(F.col("record").isNotNull() & _usable())
     return records.select(at(F.col("record"), "$.id", "string").alias("id"),
                           at(F.col("record"), "$.type", "string").alias("type"), "record", "key")

@@ -20,33 +20,61 @@ _OUTPUT = (
 )
 
 
-def _shape(spark: SparkSession, root: str, *paths: str) -> DataFrame:
-    def load() -> DataFrame:
-        sidecars = (
-            spark.read.schema(MEDIA_META)
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.meta.json")
-            .option("multiLine", "true")
-            .option("mode", "FAILFAST")
-            .json(list(paths))
-            .withColumn("key", metadata_key(root))
-        )
-        return (
-            sidecars.where(F.col("key").rlike(PLACE))
-            .withColumn("project_id", F.regexp_extract("key", PLACE, 1))
-            .withColumn("media_id", F.regexp_extract("key", PLACE, 2))
-            .select(
-                "key",
-                "project_id",
-                "media_id",
-                F.concat("project_id", F.lit("/media/"), "media_id", F.lit(".bin")).alias("blob_key"),
-                F.col("contentType").alias("content_type"),
-                F.col("contentLength").alias("content_length"),
-                require_iso(F.col("uploadedAt")).alias("uploaded_at"),
-            )
+MEDIA_COLUMNS = tuple(field.split()[0] for field in _OUTPUT.split(", "))
+_OPTIONS = {"recursiveFileLookup": "true", "pathGlobFilter": "*.meta.json", "multiLine": "true", "mode": "FAILFAST"}
+
+
+def _shaped(sidecars: DataFrame, root: str) -> DataFrame:
+    return (
+        sidecars.withColumn("key", metadata_key(root))
+        .where(F.col("key").rlike(PLACE))
+        .withColumn("project_id", F.regexp_extract("key", PLACE, 1))
+        .withColumn("media_id", F.regexp_extract("key", PLACE, 2))
+        .select(
+            "key",
+            "project_id",
+            "media_id",
+            F.concat("project_id", F.lit("/media/"), "media_id", F.lit(".bin")).alias("blob_key"),
+            F.col("contentType").alias("content_type"),
+            F.col("contentLength").alias("content_length"),
+            require_iso(F.col("uploadedAt")).alias("uploaded_at"),
         )
+    )
+
+
+def _shape(spark: SparkSession, root: str, *paths: str) -> DataFrame:
+    reader = spark.read.schema(MEDIA_META).options(**_OPTIONS)
+    return load_or_empty(spark, root, lambda: _shaped(reader.json(list(paths)), root), _OUTPUT)
+
+
+def update_media_table(
+    spark: SparkSession, root: str, path: str, checkpoint: str, project_id: str | None = None, *, files_at_once: int = 10_000
+) -> None:
+    """Append the sidecars that were not there at the last run to a table, which lookups join instead of listing folders.
+
+    A file stream with its own ``checkpoint`` reads every sidecar once. It lists the root, or one tenant's media folder. The table is laid
+    out by ``org``.
+    """
+    folder = tenant_folder(root, project_id) + ("" if project_id is None else "media")
+    reader = spark.readStream.schema(MEDIA_META).options(**_OPTIONS)
+    # A late file is old by its own clock; none may be left out.
+    sidecars = reader.option("maxFilesPerTrigger", files_at_once).option("maxFileAge", "36500d").json(folder)
+    run = (
+        _shaped(sidecars, root)
+        .withColumn("org", F.substring_index("project_id", "/", 1))
+        .writeStream.format("parquet")
+        .partitionBy("org")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+
 
-    return load_or_empty(spark, root, load, _OUTPUT)
+def read_media_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored sidecars, as ``read_media_meta`` has them, and ``org``."""
+    return spark.read.schema(_OUTPUT + ", org string").parquet(path)
 
 
 def read_media_meta(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:

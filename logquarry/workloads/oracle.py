@@ -99,6 +99,20 @@ _SAID = """said AS (
 _CONVERSATION = """count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles,
        md5(string_agg(content, '|' ORDER BY turn)) AS contents"""
 
+_MESSAGE = "struct<content:variant,role:string>"
+# Messages as VARIANT prints them, with sorted keys; the last turn is the answer.
+_SAID_ALL = """turns AS (
+  SELECT conv_id, turn, said.role AS role, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE said.text END AS spoken
+  FROM (SELECT conv_id, turn, min({'role': role, 'text': text}) AS said FROM conversations GROUP BY conv_id, turn)
+), messages AS (
+  SELECT conv_id, turn, '{"content":' || CASE WHEN conv_id % 3 = 1 AND spoken <> ''
+           THEN '[{"text":' || to_json(spoken) || ',"type":"text"},{"content":"!","type":"note"}]' ELSE to_json(spoken) END
+         || ',"role":' || to_json(role) || '}' AS message, max(turn) OVER (PARTITION BY conv_id) AS final
+  FROM turns
+), asked AS (
+  SELECT conv_id, coalesce(string_agg(message, ',' ORDER BY turn) FILTER (WHERE turn <> final), '') AS asked
+  FROM messages GROUP BY conv_id)"""
+
 _MEDIA = f"""media AS (
   SELECT *, project_id || '/media/' || media_id || '.bin' AS blob_key
   FROM (
@@ -320,10 +334,34 @@ ORDER BY file_ts DESC, key, id, body LIMIT 200""",
 WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind1'""",
     "search_files_skipping": f"""WITH {_DOCUMENT_LINES}
 SELECT id, type, "timestamp", body, key FROM document_lines
-WHERE org = 'org1' AND (body ILIKE '%shwhing%' OR id ILIKE '%shwhing%' OR type ILIKE '%shwhing%')""",
+WHERE org = 'org1' AND (body ILIKE '%ershsh%' OR id ILIKE '%ershsh%' OR type ILIKE '%ershsh%')""",
     "search_files_skipping_wildcard": f"""WITH {_DOCUMENT_LINES}
 SELECT id, type, "timestamp", body, key FROM document_lines
 WHERE org = 'org2' AND file_ts >= TIMESTAMP '2024-01-01 00:03:00' AND body ILIKE '%hanti%_ha%nd%'""",
     "read_chosen_files": f"""WITH {_LINES} SELECT id, type, body, key FROM lines
 WHERE {_READABLE} AND {_ORG1} AND trace_type = 'kind0'""",
+    "search_table_trace_lookup": _table_search(f"{_ORG1} AND trace_id = 'run9'", 500),
+    "search_compacted_files": _file_search(
+        f"""{_ORG1} AND file_ts BETWEEN TIMESTAMP '2024-01-01 02:00:00' AND TIMESTAMP '2024-01-02 12:00:00'
+  AND (body ILIKE '%PURCH%' OR id ILIKE '%PURCH%' OR type ILIKE '%PURCH%')""",
+        500,
+        ", model",
+    ),
+    "read_compacted_events": f"WITH {_LINES} SELECT id, type, body, model, key FROM lines WHERE {_READABLE}",
+    "count_compacted_broken_lines": f"""WITH {_LINES} SELECT key, count(*) AS broken FROM lines
+WHERE event_id % 97 = 0 AND {_READABLE} GROUP BY key""",
+    "search_typed_records": f"""WITH {_LINES}
+SELECT id, type, replace(body, ' ', '') AS body, model, 'own' || (event_id % 10) AS trace_id, CAST(event_id % 60 AS VARCHAR) AS "timestamp",
+       key AS file_key, lines."timestamp" AS file_timestamp
+FROM lines WHERE {_READABLE} AND {_ORG1} AND replace(body, ' ', '') LIKE '%"k":7%'""",
+    "typed_chat_records": f"""WITH {_SAID_ALL}
+SELECT CAST(conv_id AS VARCHAR) AS id,
+       'struct<body:struct<input:struct<messages:array<{_MESSAGE}>>,output:struct<choices:array<struct<message:{_MESSAGE}>>>>,'
+         || 'id:string,input:array<{_MESSAGE}>,output:{_MESSAGE}>' AS types,
+       md5(CASE WHEN conv_id % 2 = 0 THEN '{{"messages":[' || asked || ']}}' ELSE '[' || asked || ']' END) AS input
+FROM asked""",
+    "media_lookup_table": f"""WITH {_MEDIA}
+SELECT {_MEDIA_COLUMNS}, '{PUBLIC}/logs/' || blob_key AS url, '2024-01-20T00:01:30+00:00' AS url_expiry
+FROM media WHERE bought""",
+    "search_one_trace_stored": f"WITH {_TRACES} SELECT {_TRACE_COLUMNS} FROM traces WHERE id = 'ev42'",
 }

@@ -18,11 +18,13 @@ from ..operators.filters import ids, owned, tenant, text, time_range
 from ..operators.manifests import locate, manifest
 from ..operators.messages import to_messages
 from ..operators.projections import file_rows, preview, project_events, trace_rows
+from ..operators.records import search_records, typed_records
 from ..operators.selection import result_count, scan_stats, select_events, select_files
 from ..plans import search as plans
 from ..plans.media import media_for
 from ..plans.named import list_source_files, locate_source_files, source_media
 from ..sinks import exports
+from ..sources.compaction import broken_compacted, read_compacted
 from ..sources.files import broken_lines, list_batches, read_events, read_export_events, read_records
 from ..sources.inventory import read_files
 from ..sources.media import read_media_meta
@@ -176,6 +178,13 @@ def search_catalog_table(spark, sf_dir):
     )
 
 
+@query
+def search_table_trace_lookup(spark, sf_dir):
+    """One trace in a table whose row groups have filters for ids."""
+    log = scan_event_table(spark, path=views.lookup_event_table(spark, sf_dir))
+    return plans.search_table(log, "*", **ADMIN, trace_id="run9", limit=500, org_col="org", date_col="day")
+
+
 # --- keys and files ------------------------------------------------------------------------
 
 
@@ -350,7 +359,7 @@ def _skipped(spark, sf_dir, q, **how):
 @query
 def search_files_skipping(spark, sf_dir):
     """Files whose trigrams rule the text out stay closed."""
-    return _skipped(spark, sf_dir, "ShWhing", project_id="org1/x", is_org_admin=True)
+    return _skipped(spark, sf_dir, "erSHsh", project_id="org1/x", is_org_admin=True)
 
 
 @query
@@ -367,6 +376,47 @@ def read_chosen_files(spark, sf_dir):
     return read_files(spark, views.log_root(spark, sf_dir), chosen.where(F.col("trace_type") == "kind0"))
 
 
+@query
+def search_compacted_files(spark, sf_dir):
+    """The events of batch files that a stream has brought together in one table."""
+    model = T.StructType([T.StructField("model", T.StringType())])
+    events = read_compacted(spark, views.compacted_logs(spark, sf_dir), extra=model)
+    found = plans.search_files(
+        spark, views.log_root(spark, sf_dir), "PURCH", **ADMIN, events=events, extra=model,
+        start="2024-01-01T02:00:00", end="2024-01-02T12:00:00", limit=500,
+    )
+    return _file_results(found)
+
+
+@query
+def read_compacted_events(spark, sf_dir):
+    """Every readable line of every batch file, from the compacted table."""
+    model = T.StructType([T.StructField("model", T.StringType())])
+    return read_compacted(spark, views.compacted_logs(spark, sf_dir), extra=model).drop("org", "day")
+
+
+@query
+def count_compacted_broken_lines(spark, sf_dir):
+    return broken_compacted(spark, views.compacted_logs(spark, sf_dir))
+
+
+@query
+def search_typed_records(spark, sf_dir):
+    """Whole records as search results, with a column for every field of any of them."""
+    records = read_records(spark, views.log_root(spark, sf_dir), ADMIN["project_id"], is_org_admin=True)
+    found = search_records(records, '"k":7')
+    return found.withColumn("file_timestamp", iso_utc(F.col("file_timestamp"))).withColumn("body", F.to_json("body"))
+
+
+@query
+def typed_chat_records(spark, sf_dir):
+    """Records with different fields, whose contents are text in some and lists in others: the type of the columns, and the input."""
+    records = typed_records(read_records(spark, views.chat_root(spark, sf_dir)))
+    types = F.lit(records.drop("file_key").schema.simpleString())
+    given = F.coalesce(F.to_json("input"), F.to_json(F.col("body")["input"]))
+    return records.select("id", types.alias("types"), F.md5(given).alias("input"))
+
+
 @query
 def list_files_no_tenant(spark, sf_dir):
     return plans.list_files(spark, views.log_root(spark, sf_dir), "nobody/here")
@@ -414,6 +464,13 @@ def search_one_trace(spark, sf_dir):
     return _trace_results(found)
 
 
+@query
+def search_one_trace_stored(spark, sf_dir):
+    """One trace in a table whose row groups have filters for ids."""
+    traces = scan_traces(spark, views.lookup_trace_table(spark, sf_dir), fmt="parquet")
+    return _trace_results(plans.search_traces(traces, "*", trace_id="ev42"))
+
+
 @query
 def trace_mapping(spark, sf_dir):
     return trace_rows(views.trace_records(spark, sf_dir)).select(
@@ -530,6 +587,18 @@ def media_lookup(spark, sf_dir):
     return _media_rows(found)
 
 
+@query
+def media_lookup_table(spark, sf_dir):
+    """Requests joined with the stored sidecars; a tenant's name that is not safe gives no row."""
+    wanted = views.media_requests(spark, sf_dir)
+    unsafe = wanted.limit(1).select(F.lit("../org1").alias("project_id"), "media_id")
+    found = media_for(
+        spark, views.log_root(spark, sf_dir), wanted.unionAll(unsafe), f"{INTERNAL}/logs", media=views.media_table(spark, sf_dir),
+        ttl_seconds=90, internal_uri=INTERNAL, public_uri=PUBLIC, now=NOW,
+    )
+    return _media_rows(found)
+
+
 @query
 def media_of_source(spark, sf_dir):
     source = Source("lake", "files", root=views.log_root(spark, sf_dir), base_uri=f"{INTERNAL}/logs",

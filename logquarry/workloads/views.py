@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sinks.exports import TIME_FORMATS
+from ..sinks.tables import write_event_table, write_traces
+from ..sources.compaction import compact_files
 from ..sources.inventory import read_inventory, update_inventory
+from ..sources.media import read_media_table, update_media_table
 from ..sources.skip_index import update_skip_index
 from . import staging
 
@@ -337,3 +341,32 @@ def document_skip_index(spark: SparkSession, sf_dir: str) -> str:
         update_skip_index(spark, document_root(spark, sf_dir), document_inventory(spark, sf_dir), path)
 
     return _once(spark, sf_dir, "document-index", build)
+
+
+def media_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sidecars."""
+
+    def build(path: str) -> None:
+        update_media_table(spark, log_root(spark, sf_dir), path, staging.scratch(spark, "stream"))
+
+    return read_media_table(spark, _once(spark, sf_dir, "media", build))
+
+
+def compacted_logs(spark: SparkSession, sf_dir: str) -> str:
+    """Where the compacted log files are."""
+
+    def build(path: str) -> None:
+        model = T.StructType([T.StructField("model", T.StringType())])
+        compact_files(spark, log_root(spark, sf_dir), path, staging.scratch(spark, "stream"), extra=model)
+
+    return _once(spark, sf_dir, "compacted", build)
+
+
+def lookup_event_table(spark: SparkSession, sf_dir: str) -> str:
+    """Where the event table with filters for single ids is."""
+    return _once(spark, sf_dir, "lookup-events", lambda path: write_event_table(event_log(spark, sf_dir), path))
+
+
+def lookup_trace_table(spark: SparkSession, sf_dir: str) -> str:
+    """Where the traces with filters for single ids are."""
+    return _once(spark, sf_dir, "lookup-traces", lambda path: write_traces(trace_records(spark, sf_dir), path))

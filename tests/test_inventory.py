@@ -211,3 +211,114 @@ def test_no_rows_runs_nothing(spark):
     empty = no_rows(spark, "a string, b map<int,binary>, c variant")
     assert empty.collect() == [] and empty.columns == ["a", "b", "c"]
     assert "LocalTableScan" in plan_of(empty)
+
+
+def test_compacted_files_answer_like_the_files(spark, root, tmp_path, put):
+    extra = T.StructType([T.StructField("key", T.StringType())])
+    path, stream = str(tmp_path / "table"), str(tmp_path / "table-stream")
+    lines = sum(len(text.split("\n")) - 1 for text in (open(f"{root}/{row['key']}").read() for row in lq.list_batches(spark, root).where("key like '%jsonl' and key not like '%notes%'").collect()) if text.strip())
+    assert lq.compact_files(spark, root, path, stream, extra=extra, files_at_once=15) == lines
+    events = lambda: lq.read_compacted(spark, path, extra=extra)
+    for q in ["alpha", "*", "a%ma gam", "BROKEN"]:
+        for filters in [{}, {"start": "2025-06-14T05:15:00", "end": "2025-06-15T03:15:00"}, {"trace_type": "review", "is_org_admin": True}]:
+            plain = lq.search_files(spark, root, q, "org/alice", limit=9, extra=extra, **filters)
+            assert rows(lq.search_files(spark, root, q, "org/alice", limit=9, extra=extra, events=events(), **filters)) == rows(plain)
+    assert sorted(rows(lq.broken_compacted(spark, path))) == sorted(rows(lq.broken_lines(spark, root)))
+    found = lq.search_files(spark, root, "*", "org/alice", limit=None, events=events(), extra=extra, start="2025-06-15")
+    assert "org" in plan_of(found).partition("PartitionFilters")[2][:300]
+    # A new file is added once.
+    put({"logs/" + batch_key(90, "org/carol"): '{"id":"n","type":"t","body": {"b": 1,"a":2}}\n\n'})
+    assert lq.compact_files(spark, root, path, stream, extra=extra) == 1
+    assert lq.compact_files(spark, root, path, stream, extra=extra) == 0
+    assert rows(lq.search_files(spark, root, '"b": 1', "org/carol", events=events()), "id", "body") == [("n", '{"b": 1,"a":2}')]
+
+
+def test_typed_records(spark, put):
+    lines = [
+        {"id": "1", "type": "t", "body": {"n": 1, "deep": {"x": "a"}}, "tags": ["a"], "odd name`": 1, "quote\"": 2},
+        {"id": "2", "type": "t", "body": {"n": 1.5, "more": None}, "tags": "b", "never": None, "empty": {}},
+        {"id": "3", "type": "needle", "extra": [{"k": 1}], "quote\"": 3},
+        {"id": 4, "body": "text with Needle"},
+    ]
+    names = [f"r/org/u/s_r{at}_chat_0a_20250614T051500Z_u{at}.jsonl" for at in range(4)]
+    root = put({name: json.dumps(line) + "\n" for name, line in zip(names, lines)}) + "/r"
+    records = lq.read_records(spark, root)
+    schema = lq.record_schema(records)
+    kinds = {field.name: field.dataType.simpleString() for field in schema}
+    assert kinds == {"body": "variant", "empty": "variant", "extra": "array<struct<k:bigint>>", "id": "variant", "never": "variant",
+                     "odd name`": "bigint", 'quote"': "bigint", "tags": "variant", "type": "string"}
+    rows_of = {row["file_key"][-7:-6]: row.asDict() for row in lq.typed_records(records).orderBy("file_key").collect()}
+    assert rows_of["0"]["odd name`"] == 1 and rows_of["2"]['quote"'] == 3 and rows_of["2"]["extra"][0]["k"] == 1 and rows_of["1"]["extra"] is None
+    some = lq.read_records(spark, root, keys=[names[0][2:], names[1][2:]])
+    typed = lq.typed_records(some)
+    assert typed.schema["body"].dataType.simpleString() == "struct<deep:struct<x:string>,more:variant,n:decimal(21,1)>"
+    assert sorted(float(row["body"]["n"]) for row in typed.collect()) == [1.0, 1.5]
+    found = lambda q: sorted(row["file_key"][-7:-6] for row in lq.search_records(records, q).collect())
+    assert found("needle") == ["2", "3"] and found('"N":1') == ["0", "1"] and found("*") == ["0", "1", "2", "3"] and found("4") == ["3"]
+    assert lq.search_records(records, "no such").columns == [*kinds, "file_key", "file_timestamp"]
+    assert lq.typed_records(records.limit(0)).columns == ["file_key"]
+
+
+def test_media_table(spark, put, tmp_path):
+    sidecar = '{\n "contentType": "image/png",\n "contentLength": 5\n}'
+    root = put({"m/org/u/media/a.meta.json": sidecar, "m/org/u/media/a.bin": "x", "m/org/v/media/b.meta.json": sidecar, "m/org/v/other.meta.json": "{}"}) + "/m"
+    table, stream = str(tmp_path / "media"), str(tmp_path / "media-stream")
+    lq.update_media_table(spark, root, table, stream)
+    requests = spark.createDataFrame([("org/u", "a"), ("org/v", "b"), ("org/v", "b"), ("org/v", "gone"), ("../org/u", "a"), ("/org", "a"), (None, "a"), ("o*", "a")], "project_id string, media_id string")
+    stored = lambda: lq.read_media_table(spark, table)
+    found = lq.media_for(spark, root, requests, "s3a://b", media=stored())
+    listed = lq.media_for(spark, root, requests, "s3a://b")
+    assert found.columns == listed.columns
+    assert sorted(rows(found, "blob_key", "url")) == sorted(rows(listed, "blob_key", "url")) == [("org/u/media/a.bin", "s3a://b/org/u/media/a.bin"), ("org/v/media/b.bin", "s3a://b/org/v/media/b.bin")]
+    put({"m/org/w/media/c.meta.json": sidecar})
+    lq.update_media_table(spark, root, table, stream)
+    lq.update_media_table(spark, root, table, stream)
+    assert sorted(rows(stored(), "media_id")) == [("a",), ("b",), ("c",)]
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    events = spark.range(40_000).select(
+        F.concat(F.lit("ev"), "id").alias("event_id"), F.lit("t").alias("event_type"),
+        F.timestamp_add("SECOND", F.col("id"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("timestamp"),
+        F.when(F.col("id") % 10 < 7, F.lit("big/u")).otherwise(F.concat(F.lit("org"), F.col("id") % 10, F.lit("/u"))).alias("project_id"),
+        F.lit("m").alias("model"), F.lit("n").alias("name"), F.md5((F.col("id") % 9000).cast("string")).alias("trace_id"),
+        F.md5(F.col("id").cast("string")).alias("session_id"), F.lit("{}").alias("body"),
+    )
+    path = str(tmp_path / "events")
+    events = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    try:
+        lq.write_event_table(events, path, group_bytes=64 << 10, group_ids=2_000)
+    finally:
+        spark.conf.unset("spark.sql.parquet.outputTimestampType")
+    table = spark.read.parquet(path)
+    assert table.count() == 40_000
+
+    def scanned(df):
+        got = df.collect()
+        leaf = next(iter(iter_leaves(df._jdf.queryExecution().executedPlan())))
+        return len(got), leaf.metrics().apply("numOutputRows").value()
+
+    some = table.where("event_id = 'ev4217'").head()
+    found, read = scanned(lq.ids(table, trace_id=some["trace_id"]))
+    assert found == len([n for n in range(4217 % 9000, 40_000, 9000)]) and read < 20_000
+    found, read = scanned(lq.ids(table, session_id=some["session_id"]))
+    assert found == 1 and read < 8_000
+    assert scanned(lq.ids(table, session_id="not there at all"))[0] == 0
+    found, read = scanned(lq.time_range(lq.tenant(table, "big/u", org_col="org"), "2024-01-01T01:00:00", "2024-01-01T01:00:59", date_col="day"))
+    assert found == 42 and read < 8_000
+
+    traces = events.select(F.col("event_id").alias("id"), "timestamp", F.col("session_id").alias("sessionId"), F.col("name"))
+    lq.write_traces(traces, str(tmp_path / "traces"), group_bytes=64 << 10, group_ids=2_000)
+    stored = lq.scan_traces(spark, str(tmp_path / "traces"), fmt="parquet")
+    found, read = scanned(lq.search_traces(stored, "*", trace_id="ev4217").select("id"))
+    assert found == 1 and read < 8_000
+
+
+def test_selected_events_scan_once(spark):
+    events = spark.range(100).select(F.col("id").cast("string").alias("id"))
+    none = events.where("false")
+    assert lq.select_events(events, none).count() == 100
+    picked = lq.select_events(events, events.where("id < '3'"))
+    assert picked.count() == events.where("id < '3'").count() and "Union" not in plan_of(picked)
+    assert lq.select_events(events, events.select(F.lit(None).cast("string").alias("id"))).count() == 100
