@@ -6,9 +6,12 @@ import base64
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
@@ -18,13 +21,17 @@ from pyspark.sql import types as T
 from .common import column, in_workers, text_or_empty
 
 # Bounds of what a worker remembers. When one is reached that table starts anew; results do not change.
-MAX_STATES = 220_000
-MAX_PAIRS = 250_000
-MAX_KNOWN = 120_000
-OPENING, MAX_OPENINGS = 6, 60_000
+MAX_STATES = 200_000
+MAX_PAIRS = 120_000
+MAX_MOVES = 20_000
+MAX_KNOWN = 10_000
+OPENING, MAX_OPENINGS = 6, 5_000
+# So many pieces are not worth a step of all at once.
+FEW_PIECES = 16
 # A blank between white space: only there does the pattern look across a blank.
 OPEN_BLANK = re.compile(r"\s (?:\s|$)")
 ROWS_AT_ONCE = 128
+BYTES_AT_ONCE = 3 << 20
 IDS_AT_ONCE = 4096
 
 
@@ -34,6 +41,30 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+def laid_out(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of runs of values with the given sizes, the chosen runs one after the other."""
+    size = sizes[chosen]
+    end = np.cumsum(size)
+    return values[np.arange(int(size.sum())) + np.repeat((np.cumsum(sizes) - sizes)[chosen] - (end - size), size)]
+
+
+def _state(before: int | None, data: bytes, boundaries: list[tuple[int, tuple[int, ...]]]) -> tuple:
+    """A state as one flat tuple: each boundary is its place, the number of ranks that lead to it, and these."""
+    flat: list = [before, data]
+    for start, path in boundaries:
+        flat += (start, len(path), *path)
+    return tuple(flat)
+
+
+def _boundaries(state: tuple) -> list[tuple[int, tuple[int, ...]]]:
+    found, at = [], 2
+    while at < len(state):
+        end = at + 2 + state[at + 1]
+        found.append((state[at], state[at + 2 : end]))
+        at = end
+    return found
+
+
 class Transducer:
     """Reads a piece byte by byte and emits ranks as soon as no later byte can change them.
 
@@ -54,13 +85,18 @@ class Transducer:
 
     def _reset(self) -> None:
         # Last settled rank (-1 where it cannot matter), open bytes, boundaries, and the ranks that lead to each.
-        start = (None, b"", (0,), ((),))
+        start = _state(None, b"", [(0, ())])
         self.number: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
-        # By state and byte: the next state, or that and the ranks that are emitted.
+        # By state and byte, for single pieces: the next state, or that and the ranks that are emitted.
         self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+        # The same for many pieces at once, in order of state and byte, with what is emitted as a number in ``outs``; and the moves
+        # that are still to be added.
+        self.keys, self.targets, self.emits = (np.zeros(0, dtype=kind) for kind in (np.int64, np.int32, np.int32))
+        self.fresh: dict[int, tuple[int, int]] = {}
+        self.outs: list[tuple[int, ...]] = [()]
+        self.out_number: dict[tuple[int, ...], int] = {(): 0}
         self.openings: dict[bytes, tuple[int, tuple[int, ...]]] = {}
-        self.once: dict[tuple | bytes, tuple | bytes] = {}
 
     def merged(self, data: bytes, below: int) -> list[bytes]:
         """Plain merging, lowest rank first, with ranks under ``below``."""
@@ -111,17 +147,18 @@ class Transducer:
         self.pairs[left, right] = answer
         return answer
 
-    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
-        before, data, starts, paths = self.states[state]
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        before, data, *_ = known = self.states[state]
+        boundaries = _boundaries(known)
         data = data + bytes((byte,))
-        for start, path in zip(starts, paths, strict=True):
+        for start, path in boundaries:
             token = self.ranks.get(data[start:])
             if token is not None and self.stands(path[-1] if path else before, token):
                 break
         else:
             raise ValueError("the ranks must hold every single byte")
         whole = (*path, token)
-        kept = [(start, path) for start, path in zip(starts, paths, strict=True) if data[start:] in self.starts]
+        kept = [(start, path) for start, path in boundaries if data[start:] in self.starts]
         common = len(whole)
         for _, path in kept:
             common = min(common, len(path))
@@ -135,27 +172,26 @@ class Transducer:
             kept = [(start - size, path[common:]) for start, path in kept]
         if kept[0][0]:
             before = -1
-        # Equal parts of states are kept once.
-        once = self.once.setdefault
-        key = (
-            before,
-            once(data, data),
-            once(ends := tuple(start for start, _ in kept), ends),
-            once(ways := tuple(once(path, path) for _, path in kept), ways),
-        )
+        key = _state(before, data, kept)
         target = self.number.get(key)
         if target is None:
             target = self.number[key] = len(self.states)
             self.states.append(key)
-        self.moves[state << 8 | byte] = move = (target, once(emitted, emitted)) if emitted else target
-        return move
+        return target, emitted
+
+    def _open(self, state: int) -> tuple[int, ...]:
+        """The ranks that are still to come when a piece ends in this state."""
+        return _boundaries(self.states[state])[-1][1]
 
     def _run(self, piece: bytes, state: int, ids: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
         moves = self.moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
-                move = self._move(state, byte)
+                if len(moves) >= MAX_MOVES:
+                    moves.clear()
+                target, emitted = self._move(state, byte)
+                moves[state << 8 | byte] = move = (target, emitted) if emitted else target
             if move.__class__ is int:
                 state = move
             else:
@@ -163,6 +199,79 @@ class Transducer:
                 ids += move[1]
         return state, ids
 
+    def _out(self, ranks: tuple[int, ...]) -> int:
+        number = self.out_number.get(ranks)
+        if number is None:
+            number = self.out_number[ranks] = len(self.outs)
+            self.outs.append(ranks)
+        return number
+
+    def _fresh_move(self, key: int) -> tuple[int, int]:
+        move = self.fresh.get(key)
+        if move is None:
+            target, emitted = self._move(key >> 8, key & 255)
+            move = self.fresh[key] = (target, self._out(emitted))
+        return move
+
+    def _add_fresh(self) -> None:
+        if not self.fresh:
+            return
+        moves = np.array(list(self.fresh.values()), dtype=np.int32)
+        keys = np.concatenate([self.keys, np.fromiter(self.fresh, dtype=np.int64, count=len(moves))])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.targets = np.concatenate([self.targets, moves[:, 0]])[order]
+        self.emits = np.concatenate([self.emits, moves[:, 1]])[order]
+        self.fresh = {}
+
+    def _step(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next state and number of what is emitted, for many states and bytes."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            target, emit = self.targets[at], self.emits[at]
+            missing = np.flatnonzero(self.keys[at] != key)
+        else:
+            target, emit = np.zeros(len(key), dtype=np.int32), np.zeros(len(key), dtype=np.int32)
+            missing = np.arange(len(key))
+        if len(missing):
+            keys, same = np.unique(key[missing], return_inverse=True)
+            moves = np.array([self._fresh_move(one) for one in keys.tolist()], dtype=np.int32)
+            target[missing], emit[missing] = moves[same].T
+        return target, emit
+
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of many pieces, one after the other, and how many each has.
+
+        All pieces move by one byte at a time; Python is entered only for a move that has not been met. Once few
+        pieces are left, the rest of each is read on its own.
+        """
+        if len(self.states) > MAX_STATES:
+            self._reset()
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        data, order = np.frombuffer(b"".join(pieces), dtype=np.uint8), np.argsort(-lengths, kind="stable")
+        ends, start = np.sort(lengths), (np.cumsum(lengths) - lengths)[order]
+        state, step = np.zeros(len(pieces), dtype=np.int64), 0
+        owners, emits, rest = [], [], []
+        while (active := len(pieces) - int(np.searchsorted(ends, step, side="right"))) > FEW_PIECES:
+            state[:active], emit = self._step(state[:active] << 8 | data[start[:active] + step])
+            some = np.flatnonzero(emit)
+            owners.append(some)
+            emits.append(emit[some])
+            step += 1
+        for at in range(active):
+            state[at], ranks = self._run(pieces[order[at]][step:], int(state[at]), ())
+            rest.append(ranks)
+        reached, same = np.unique(state, return_inverse=True)
+        last = np.array([self._out(self._open(one)) for one in reached.tolist()], dtype=np.int64)
+        self._add_fresh()
+        outs = [*self.outs, *rest]
+        sizes = np.fromiter(map(len, outs), dtype=np.int64, count=len(outs))
+        flat = np.fromiter(chain.from_iterable(outs), dtype=np.int32, count=int(sizes.sum()))
+        owner = order[np.concatenate([*owners, np.arange(active), np.arange(len(pieces))])]
+        emit = np.concatenate([*emits, len(self.outs) + np.arange(active), last[same]])
+        counts = np.bincount(owner, weights=sizes[emit], minlength=len(pieces)).astype(np.int64)
+        return laid_out(flat, sizes, emit[np.argsort(owner, kind="stable")]), counts
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ranks of one piece. Where pieces begin alike, the run over the beginning is remembered."""
         if len(self.states) > MAX_STATES:
@@ -174,7 +283,7 @@ class Transducer:
             if len(self.openings) < MAX_OPENINGS:
                 self.openings[begin] = known
         state, ids = self._run(piece[OPENING:], *known)
-        return ids + self.states[state][3][-1]
+        return ids + self._open(state)
 
     def encode_text(self, piece: str) -> tuple[int, ...]:
         return self.encode(piece.encode())
@@ -205,10 +314,15 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
+        self.at_blanks = pattern == public_tokenizers.PATTERN
         self.pieces = Known(self.transducer.encode_text, MAX_KNOWN // 4)
         self.after_blank = Known(lambda word: self.encode_chunk(" " + word))
         self.at_start = Known(self.encode_chunk)
 
+    def whole(self, text: str) -> bool:
+        """Whether the text is not to be split at blanks: another pattern may look across any of them."""
+        return not self.at_blanks or OPEN_BLANK.search(text) is not None
+
     def encode_chunk(self, text: str) -> tuple[int, ...]:
         if text[1:].isalpha() and text[0] == " ":  # one match: letters behind a blank
             return self.transducer.encode_text(text)
@@ -220,6 +334,53 @@ class Encoder:
     def encode_pieces(self, text: str) -> Iterator[int]:
         return chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts that are encoded on their own, one after the other, and how many each has."""
+        # Letters behind a blank are one match.
+        alone = np.fromiter((self.at_blanks and chunk[1:].isalpha() and chunk[0] == " " for chunk in chunks), dtype=bool, count=len(chunks))
+        simple = list(compress(chunks, alone.tolist()))
+        split = list(map(self.pattern.findall, compress(chunks, (~alone).tolist())))
+        number: dict[str, int] = {}
+        matches = [number.setdefault(match, len(number)) for match in chain.from_iterable(split)]
+        flat, sizes = self.transducer.encode_all([piece.encode() for piece in chain(simple, number)])
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        piece = np.concatenate([np.arange(len(simple)), len(simple) + np.array(matches, dtype=np.int64)])
+        owner = np.concatenate([np.flatnonzero(alone), np.repeat(np.flatnonzero(~alone), counts)])
+        total = np.bincount(owner, weights=sizes[piece], minlength=len(chunks)).astype(np.int64)
+        return laid_out(flat, sizes, piece[np.argsort(owner, kind="stable")]), total
+
+    def encode_batch(self, texts: pa.Array) -> pa.Array:
+        """The ids of many whole texts, as a list array.
+
+        The texts are split as ``encode`` does, all at once, and every different word of the batch is looked up once; the ids are
+        then laid out by the words' numbers.
+        """
+        plain = texts.to_pylist()
+        open_blank = np.fromiter((self.whole(text) for text in plain), dtype=bool, count=len(plain))
+        split = pc.split_pattern(texts.filter(pa.array(~open_blank)).cast(pa.string()), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        starts, first = np.unique(code[offsets[:-1]], return_inverse=True)
+        behind = np.ones(len(code), dtype=bool)
+        behind[offsets[:-1]] = False
+        used = np.zeros(len(words), dtype=bool)
+        used[code[behind]] = True
+        code[offsets[:-1]] = len(words) + first
+        chunks = [" " + word if one else "" for word, one in zip(words, used.tolist(), strict=True)]
+        chunks += [words[at] for at in starts.tolist()]
+        flat, size = self.encode_chunks(chunks)
+        end = np.cumsum(size[code])
+        flat = laid_out(flat, size, code)
+        borders = np.concatenate([[0], end])[offsets].astype(np.int32)
+        done = pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))
+        if not open_blank.any():
+            return done
+        flat, size = self.encode_chunks([text for text, one in zip(plain, open_blank.tolist(), strict=True) if one])
+        rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+        place = np.where(open_blank, len(done) + np.cumsum(open_blank) - 1, np.cumsum(~open_blank) - 1)
+        return pa.concat_arrays([done, rest]).take(pa.array(place))
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text.
 
@@ -228,7 +389,7 @@ class Encoder:
         """
         if not text:
             return []
-        if OPEN_BLANK.search(text):
+        if self.whole(text):
             return list(self.encode_pieces(text))
         first, *words = text.split(" ")
         ids = list(self.at_start[first]) if first else []
@@ -309,6 +470,14 @@ def _bytes_of(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in _ranks(path).items()}
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``BYTES_AT_ONCE`` bytes of text in their last column."""
+    part = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)) // BYTES_AT_ONCE
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def _with_column(batch: pa.RecordBatch, values: pa.Array, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*batch.schema.names[:-1], name])
 
@@ -323,29 +492,46 @@ def _spread_out(df: DataFrame, rest: list[str], name: str) -> DataFrame:
     return df.select(*(F.col("_row").getField(other).alias(other) for other in rest), column(name))
 
 
+def _texts_of(ids: pa.Array, bytes_of: dict[int, bytes]) -> pa.Array:
+    texts = []
+    for start in range(0, len(ids), ROWS_AT_ONCE):
+        texts += ["".join(decode_stream(row, bytes_of)) for row in ids.slice(start, ROWS_AT_ONCE).to_pylist()]
+    return pa.array(texts, pa.string())
+
+
 def bpe_encode(
-    docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids"
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    *,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """The given columns without the text, and its ids as ``array<int>``.
 
     Every text is encoded whole; a null or empty text has no ids. Rows are independent, nothing is shuffled, and an
-    empty table gives an empty result. A column that is named like the result is replaced. The rank file is read
-    at ``ranks_path`` on every machine, or sent along with ``SparkContext.addFile``.
+    empty table gives an empty result. A column that is named like a result is replaced. The rank file is read
+    at ``ranks_path`` on every machine, or sent along with ``SparkContext.addFile``. With ``decoded_col`` the ids are decoded
+    again by the same worker, as ``bpe_decode`` does, and the text that comes out is one more column.
     """
     in_workers(docs.sparkSession)
-    rest = [name for name in docs.columns if name not in (text_col, ids_col)]
+    results = [ids_col] if decoded_col is None else [ids_col, decoded_col]
+    rest = [name for name in docs.columns if name != text_col and name not in results]
     source = _beside(docs, rest, text_or_empty(text_col), ids_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
-                ids = [encoder.encode(text) for text in part.column(part.num_columns - 1).to_pylist()]
-                yield _with_column(part, pa.array(ids, pa.list_(pa.int32())), ids_col)
+            for part in _slices(batch):
+                ids = encoder.encode_batch(part.column(part.num_columns - 1))
+                more = [] if decoded_col is None else [_texts_of(ids, encoder.transducer.bytes_of)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *more], names=[*part.schema.names[:-1], *results])
 
-    fields = [*source.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
-    return _spread_out(source.mapInArrow(encode, T.StructType(fields)), rest, ids_col)
+    kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
+    fields = [*source.schema.fields[:-1], *(T.StructField(name, kind) for name, kind in zip(results, kinds, strict=False))]
+    encoded = source.mapInArrow(encode, T.StructType(fields))
+    return encoded.select(*(F.col("_row").getField(other).alias(other) for other in rest), *(column(name) for name in results))
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -359,9 +545,7 @@ def bpe_decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", text_col
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                lists = part.column(part.num_columns - 1).to_pylist()
-                texts = ["".join(decode_stream(ids, bytes_of)) for ids in lists]
-                yield _with_column(part, pa.array(texts, pa.string()), text_col)
+                yield _with_column(part, _texts_of(part.column(part.num_columns - 1), bytes_of), text_col)
 
     fields = [*source.schema.fields[:-1], T.StructField(text_col, T.StringType())]
     return _spread_out(source.mapInArrow(decode, T.StructType(fields)), rest, text_col)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .collocations import collocations
 from .common import documents, text_or_empty
 from .fingerprints import edited_fingerprints
@@ -50,13 +50,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    both = bpe_decode(ids, ranks)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    both = bpe_encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
