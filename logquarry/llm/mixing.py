@@ -15,8 +15,8 @@ from .common import column, cut, in_workers, plain_blanks, text_or_empty, words_
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-# The largest budget that is fitted exactly; above it, documents are taken in proportion first.
-EXACT_BUDGET = 65_536
+# At least so many words of a budget are fitted by the knapsack.
+LEAST_FITTED = 65_536
 RANK_BUCKETS = 256
 
 
@@ -48,18 +48,12 @@ def source_targets(
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
     """How many of the ``counts`` documents of each length to take, so that the words taken come nearest to the budget.
 
-    Documents are taken in proportion along the lengths until at most ``EXACT_BUDGET`` words or some of the longest
-    documents are left, and a bounded knapsack fits the rest. Where that misses and the whole budget is
-    small enough, the knapsack starts from nothing and is exact.
-    """
-    taken = _fit(lengths, counts, budget, seed, True)
-    if int((lengths * taken).sum()) != budget and 0 < budget <= EXACT_BUDGET:
-        taken = _fit(lengths, counts, budget, seed, False)
-    return taken
-
+    One rule holds for all sizes: of a budget above twice the longest document (``LEAST_FITTED`` words at least), all but about
+    that much is taken in proportion along the lengths, and a bounded knapsack over all documents that are left fits
+    the rest. So a budget up to that size is fitted as nearly as any choice of documents can; a larger one is
+    missed by no more than half the longest document, and is met wherever the documents that are left can do so.
 
-def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, in_proportion: bool) -> np.ndarray:
-    """In the knapsack the bits of an integer are the sums that can be reached. Lengths are added in seeded order, a
+    In the knapsack the bits of an integer are the sums that can be reached. Lengths are added in seeded order, a
     length's count is split into powers of two, and the steps are followed back from the sum nearest to the rest.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
@@ -69,16 +63,16 @@ def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, in_pro
         return taken
     if budget >= total:
         return counts.copy()
-    slack = min(2 * int(lengths.max()), EXACT_BUDGET)
-    if in_proportion and budget > slack:
-        share = (budget - slack) / total
+    fitted = max(2 * int(lengths.max()), LEAST_FITTED)
+    if budget > fitted:
+        share = (budget - fitted) / total
         reached = np.floor(np.cumsum(counts) * share).astype(np.int64)
         taken = np.diff(reached, prepend=0)
     rest = budget - int((lengths * taken).sum())
     order = np.random.default_rng(seed).permutation(len(lengths))
-    for at in order:  # what rounding has left beyond the budget of the exact fit
-        if rest > EXACT_BUDGET and lengths[at] > 0:
-            more = min(int(counts[at] - taken[at]), (rest - EXACT_BUDGET) // int(lengths[at]))
+    for at in order:  # what rounding has left beyond what is fitted
+        if rest > fitted and lengths[at] > 0:
+            more = min(int(counts[at] - taken[at]), (rest - fitted) // int(lengths[at]))
             taken[at] += more
             rest -= more * int(lengths[at])
         elif rest < 0 and taken[at] > 0 and lengths[at] > 0:
@@ -133,7 +127,7 @@ def mix_sources(
     empty table gives an empty result. Columns named like a result are replaced.
 
     Only counts by source and length reach a source's fit, and its memory is bounded by the lengths that occur and
-    ``EXACT_BUDGET``. One row per source passes the driver. Ranks among equal lengths are made in 256 buckets, so a hot length
+    twice the longest document. One row per source passes the driver. Ranks among equal lengths are made in 256 buckets, so a hot length
     is split. ``with_text=False`` leaves out the text and then reads it only once.
     """
     spark = docs.sparkSession
