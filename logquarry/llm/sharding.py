@@ -132,9 +132,14 @@ def shard_documents(
 def write_shards(docs: DataFrame, placed: DataFrame, folder: str, *, id_col: str = "doc_id") -> None:
     """Write the rows of ``docs`` below ``folder``, one sub-folder ``shard=N`` each, in the order of their slots.
 
-    ``placed`` is the result of ``shard_documents`` on rows with unique ids.
+    ``placed`` is the result of ``shard_documents`` on rows with unique ids. A column ``shard`` of ``docs`` gives way to the
+    folder's name; other columns may be called anything.
     """
-    where = placed.select(column(id_col).alias("_id"), F.col("shard").alias("shard"), F.col("slot").alias("_slot"))
-    joined = docs.join(where, column(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    ordered = joined.repartition("shard", F.expr("_slot div 100000")).sortWithinPartitions("shard", "_slot")
-    ordered.drop("_slot").write.partitionBy("shard").parquet(folder)
+    where = placed.select(column(id_col).alias("_placed_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    # All columns in one, so that no name can clash.
+    names = [name for name in docs.columns if name != "shard"]
+    rows = docs.select(column(id_col).alias("_id"), F.struct(*(column(name).alias(name) for name in names)).alias("_row"))
+    joined = rows.join(where, F.col("_id").eqNullSafe(F.col("_placed_id")))
+    ordered = joined.repartition("_shard", F.expr("_slot div 100000")).sortWithinPartitions("_shard", "_slot")
+    fields = [F.col("_row").getField(name).alias(name) for name in names]
+    ordered.select(*fields, F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(folder)

@@ -22,6 +22,8 @@ MOST_FREQUENT = 262_144
 # Which share of the documents tells what is frequent. It decides only which way a pre-token goes.
 FREQUENT_FROM = 0.05
 MAX_SENT_LENGTH = 64
+# So many tasks may share the rows of a longer one.
+LONG_PARTS = 64
 
 
 @lru_cache(maxsize=2)
@@ -94,7 +96,7 @@ def token_counts(
 
     Texts become pre-token frequencies. Rare pre-tokens are shuffled, so that all rows of one meet in one task;
     there they are sorted, each distinct one is counted once, and counts are joined to the documents' frequencies and
-    summed per document. Up to 262,144 pre-tokens that are frequent in a seeded twentieth of the texts are counted
+    summed per document; those of more than 64 characters are dealt to up to 64 tasks each. Up to 262,144 pre-tokens that are frequent in a seeded twentieth of the texts are counted
     ahead and sent to all tasks, so no hot pre-token is ever shuffled. All texts and pre-tokens are counted
     exactly, whichever way they go.
 
@@ -164,7 +166,10 @@ def token_counts(
             yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_hash", "_bytes", "_tokens", "_rows"])
 
     listed = rows.mapInArrow(frequencies, T.StructType(fields))
-    dealt = listed.repartition(spread(spark), F.coalesce("_word", F.xxhash64("_id", "_hash").cast("string")))
+    # A pre-token that is too long to be sent ahead may still be hot, so its rows go to several tasks.
+    of_text = F.xxhash64("_id", "_hash")
+    part = F.when(F.length("_word") > MAX_SENT_LENGTH, F.pmod(of_text, F.lit(LONG_PARTS)))
+    dealt = listed.repartition(spread(spark), F.coalesce("_word", of_text.cast("string")), part)
     out = T.StructType([*fields[:3], T.StructField("_tokens", T.LongType()), T.StructField("_rows", T.LongType())])
     summed = (
         dealt.sortWithinPartitions("_word")
