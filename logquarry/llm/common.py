@@ -89,6 +89,15 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fewer(df: DataFrame, rows: int, per_task: int = 10_000, least: int = 12) -> DataFrame:
+    """The same rows in no more partitions than so many rows are worth. Spark joins partitions; nothing is shuffled.
+
+    A small table in many partitions leaves a file in each of them with every shuffle.
+    """
+    tasks = max(least, -(-rows // per_task))
+    return df.coalesce(tasks) if tasks < spread(df.sparkSession) else df
+
+
 def in_workers(spark: SparkSession) -> None:
     """Let local Python workers import this package from where the driver has it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fewer
 
 
 def _neighbour_minimum(edges: DataFrame) -> DataFrame:
@@ -13,19 +13,19 @@ def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _neighbour_minimum(both)
-    joined = both.join(least, "u").where(F.col("v") > F.col("u"))
+    joined = fewer(both.join(least, "u").where(F.col("v") > F.col("u")), rows)
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _neighbour_minimum(down)
-    joined = down.join(least, "u")
+    joined = fewer(down.join(least, "u"), rows)
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    kept = least.select("u", F.col("m").alias("v"))
+    kept = fewer(least.select("u", F.col("m").alias("v")), rows)
     return moved.union(kept).where(F.col("u") != F.col("v")).distinct()
 
 
@@ -45,8 +45,9 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
-        before = state
-        edges = cut(_small_star(_large_star(edges)))
+        before, rows = state, state[0]
+        left = fewer(_large_star(fewer(edges, rows), rows), rows)
+        edges = cut(fewer(_small_star(left, rows), rows))
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, cut, in_workers, spread, text_or_empty
+from .common import column, cut, fewer, in_workers, spread, text_or_empty
 from .components import connected
 from .hashing import mix, shingle_hashes
 
@@ -24,13 +24,13 @@ PLACES = 128
 CHILDREN = 2
 TARGET_RECALL = 0.9995
 # Buckets up to this size are compared by brute force; larger ones are split further. Deep ones may be larger.
-SMALL, SMALL_BELOW = 64, 256
+SMALL, SMALL_BELOW = 64, 1024
 DEEP = 3
 MOST_LEVELS = 40
 # Estimates: candidates (over five deviations below the threshold); safely alike; linked to a pivot that is left.
 CANDIDATE, ALIKE, LINKED = 0.6, 0.85, 0.45
-# Sets of a component are compared in blocks of about this many.
-BLOCK = 512
+# Sets of a component are compared in blocks of about this many sets, or this many shingles.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 ROWS_AT_ONCE = 128
 
 _rng = np.random.default_rng(5)
@@ -38,14 +38,19 @@ _FACTORS = _rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 
 
-def runs_for(recall: float = TARGET_RECALL, similarity: float = THRESHOLD, levels: int = 4) -> int:
-    """How many independent runs bring a pair of just this similarity together with the target probability."""
+def meeting(similarity: float, levels: int) -> float:
+    """The chance that one run brings a pair of just this similarity together in a bucket behind so many levels."""
     meet = 1.0
-    for _ in range(levels):
-        meet = 1 - (1 - similarity * meet) ** CHILDREN
-    runs, missed = 1, 1 - meet
-    while 1 - missed < recall:
-        runs, missed = runs + 1, missed * (1 - meet)
+    for level in reversed(range(levels)):
+        meet = 1 - (1 - similarity * meet) ** (CHILDREN if level <= DEEP else 1)
+    return meet
+
+
+def runs_for(recall: float = TARGET_RECALL, similarity: float = THRESHOLD, levels: int = DEEP + 1) -> int:
+    """How many independent runs bring a pair of just this similarity together with the target probability."""
+    meet, runs = meeting(similarity, levels), 1
+    while 1 - (1 - meet) ** runs < recall:
+        runs += 1
     return runs
 
 
@@ -186,41 +191,65 @@ def _likeness_column(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(estimate, T.StructType([*rows.schema.fields, T.StructField("_like", T.DoubleType())]))
 
 
-def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
+def candidate_links(sets: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     """Links between sets that may be alike, enough to connect all that are; ``sets`` has ``_node, _sketch``.
 
+    The first runs are as many as the recall asks for where buckets get small within the first levels. A run that has to go
+    deeper brings fewer pairs together, so the sets that were still in large buckets then get as many further runs as the depth really
+    reached asks for.
+    """
+    links, done, runs = [], 0, runs_for(recall)
+    while runs > 0:
+        found, deep, levels = _run(sets, range(done, done + runs))
+        links += found
+        done += runs
+        runs = 0
+        if deep is not None:
+            sets, runs = sets.join(deep, "_node"), runs_for(recall, levels=levels) - done
+    return reduce(DataFrame.union, links)
+
+
+def _run(sets: DataFrame, runs: range) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Links from some runs, the sets that were in large buckets behind level ``DEEP``, if any, and the levels it took.
+
     Every run is a tree. A node splits its bucket by ``CHILDREN`` sampled places; a level is one shuffle by
     path. Buckets of one row end. Small buckets are compared by brute force. A large bucket first meets its pivot (its
     least row): what is safely alike to the pivot is linked to it and leaves, since whatever is like such a row is at least
     ``LINKED`` to the pivot, and is linked to it too. The rest is split further. So a bucket of near copies of one
     text ends at once however large, and no pairs of it are listed.
     """
-    roots = F.array(*(F.xxhash64(F.lit("run"), F.lit(at)) for at in range(runs)))
+    total = sets.count()
+    rows = total * len(runs) * CHILDREN
+    roots = F.array(*(F.xxhash64(F.lit("run"), F.lit(at)) for at in runs))
     level = _children(sets.select(F.explode(roots).alias("_path"), "_node", "_sketch")).drop("_sketch")
-    sizes = cut(_bucket_sizes(level))
+    sizes = cut(fewer(_bucket_sizes(level), rows))
     # Most texts are alone in every bucket; only the others go on, with their sketches.
-    level = cut(level.join(sizes.select("_path"), "_path"))
-    sets = cut(sets.join(level.select("_node").distinct(), "_node"))
-    links = []
+    level = cut(fewer(level.join(sizes.select("_path"), "_path"), rows))
+    sets = cut(fewer(sets.join(level.select("_node").distinct(), "_node"), total))
+    links, deep = [], None
     for depth in range(MOST_LEVELS):
+        rows = level.count()
         small = SMALL if depth < DEEP else SMALL_BELOW
-        few = level.join(sizes.where(F.col("_n") <= small).select("_path"), "_path")
-        found = _in_buckets(few.join(sets, "_node"))
+        few = fewer(level.join(sizes.where(F.col("_n") <= small).select("_path"), "_path"), rows)
+        found = fewer(_in_buckets(fewer(few.join(sets, "_node"), rows)), rows)
         large = sizes.where(F.col("_n") > small)
         last = large.isEmpty()
         if not last:
             pivots = sets.select(F.col("_node").alias("_pivot_node"), F.col("_sketch").alias("_pivot"))
-            rows = level.join(large.join(pivots, "_pivot_node").drop("_n"), "_path").join(sets, "_node")
-            met = cut(_likeness_column(rows.select("_path", "_node", "_sketch", "_pivot_node", "_pivot")).drop("_pivot"))
+            large = fewer(large.join(pivots, "_pivot_node").drop("_n"), rows)
+            left = fewer(fewer(level.join(large, "_path"), rows).join(sets, "_node"), rows)
+            met = cut(_likeness_column(left.select("_path", "_node", "_sketch", "_pivot_node", "_pivot")).drop("_pivot"))
             linked = met.where((F.col("_like") >= LINKED) & (F.col("_node") != F.col("_pivot_node")))
             found = found.union(linked.select(F.col("_node").alias("_u"), F.col("_pivot_node").alias("_v")))
             rest = met.where(F.col("_like") < ALIKE).select("_node", "_sketch", "_path")
-        links.append(cut(found.distinct()))
+            if depth == DEEP:
+                deep = rest.select("_node").distinct()
+        links.append(cut(fewer(found.distinct(), rows)))
         if last:
-            return reduce(DataFrame.union, links)
+            return links, deep, depth + 1
         # A pair that is still together is so in many buckets; from here on one child each keeps the rows few.
         level = cut(_children(rest, CHILDREN if depth < DEEP else 1).drop("_sketch"))
-        sizes = cut(_bucket_sizes(level))
+        sizes = cut(fewer(_bucket_sizes(level), CHILDREN * rows))
     raise RuntimeError("some buckets are still large; allow more levels")
 
 
@@ -243,13 +272,13 @@ def _overlaps(sets: list[np.ndarray], first: int) -> np.ndarray:
     codes, owners = codes[order], owners[order]
     rest = 0 if first == len(sets) else first
     total = np.zeros((first, len(sets) - rest), dtype=np.float32)
-    width = 4096
+    width = 1024
     for start in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
         low, high = np.searchsorted(codes, [start, start + width])
         ones = np.zeros((len(sets), width), dtype=np.float32)
         ones[owners[low:high], codes[low:high] - start] = 1
         total += ones[:first] @ ones[rest:].T
-    return total.astype(np.int64)
+    return total
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
@@ -268,18 +297,23 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
         links, root = np.zeros(len(sets), dtype=np.int64), np.arange(len(sets))
         if 0 < first and rest < len(sets):
             inter = _overlaps(sets, first)
-            union = sizes[:first, None] + sizes[None, rest:] - inter
-            like = inter >= threshold * union - 1e-9
+            like = np.empty(inter.shape, dtype=bool)
+            for at in range(0, first, 256):  # a few rows at a time, as these numbers are wide
+                shared = inter[at : at + 256].astype(np.int64)
+                union = sizes[at : min(at + 256, first), None] + sizes[None, rest:] - shared
+                like[at : at + 256] = shared >= threshold * union - 1e-9
             if i == j:
                 np.fill_diagonal(like, False)
-                links += like @ copies
-            else:
-                links[:first] += like @ copies[first:]
-                links[first:] += copies[:first] @ like
-            for a, b in zip(*np.nonzero(like), strict=True):
-                x, y = root[a], root[b + rest]
-                if x != y:
-                    root[root == max(x, y)] = min(x, y)
+            for at in range(0, first, 256):
+                some = like[at : at + 256]
+                links[at : at + 256] += some @ copies[rest:]
+                if i != j:
+                    links[first:] += copies[at : min(at + 256, first)] @ some
+            for a in range(first):
+                # All that this set is linked to get one root.
+                own = np.unique(root[np.append(np.flatnonzero(like[a]) + rest, a)])
+                if len(own) > 1:
+                    root[np.isin(root, own)] = own[0]
         names = group["_node"].to_numpy()
         return pd.DataFrame({"_node": names, "_links": links, "_linked": names[root]})
 
@@ -304,8 +338,8 @@ def jaccard_join(
        a number of copies, so copies are never compared or paired.
     2. Chosen paths find candidates (``candidate_links``) in as many runs as the recall asks for. The
        connected components of the candidates are a superset of the classes.
-    3. Within a component all sets are compared exactly, in pairs of blocks of about 512, so that neither
-       a component nor its pairs come together in one task. Links give the numbers and the classes.
+    3. Within a component all sets are compared exactly, in pairs of blocks of bounded numbers of sets and shingles, so that
+       neither a component nor its pairs come together in one task. Links give the numbers and the classes.
 
     The similarity is exact for hashed runs (64 bits). A text without words, null included, is like no other, not even
     an equal one. Rows of one id and text are copies. An empty table gives an empty result. Other columns are
@@ -320,18 +354,19 @@ def jaccard_join(
         F.min(F.struct("_id", "_hash")).alias("_first"),
         F.count("*").alias("_copies"),
         F.first("_sketch").alias("_sketch"),
+        F.first("_size").alias("_size"),
     )
     sets = cut(grouped)
-    links = candidate_links(sets.where(F.col("_sketch").isNotNull()).select("_node", "_sketch"), runs_for(recall))
+    links = candidate_links(sets.where(F.col("_sketch").isNotNull()).select("_node", "_sketch"), recall)
     parts = connected(links)
 
     # Blocks of the components, and the shingles of one text of each set.
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    sizes = parts.groupBy("root").agg(F.count("*").alias("_m"))
+    blocks = F.ceil(F.greatest(F.col("_m") / BLOCK, F.col("_all") / BLOCK_SHINGLES)).cast("int")
+    members = parts.select(F.col("root").alias("_root"), F.col("node").alias("_node")).join(sets, "_node")
+    sizes = members.groupBy("_root").agg(F.count("*").alias("_m"), F.sum("_size").alias("_all"))
     placed = (
-        parts.join(sizes, "root")
-        .select(F.col("root").alias("_root"), F.col("node").alias("_node"), blocks.alias("_blocks"))
-        .join(sets.select("_node", "_first", "_copies"), "_node")
+        members.join(sizes, "_root")
+        .select("_root", "_node", blocks.alias("_blocks"), "_first", "_copies")
         .withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
         .select("_root", "_node", "_blocks", "_block", "_copies", "_first._id", "_first._hash")
     )
@@ -393,8 +428,9 @@ def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay when of each class only the representative is kept, once."""
     kept = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).where("representative")
     kept = kept.select(column(id_col).alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    key = {"_kept_id": column(id_col), "_kept_hash": F.xxhash64(text_or_empty(text_col))}
-    marked = docs.select("*", *(value.alias(f"{name}_of_row") for name, value in key.items()))
-    same = F.col("_kept_id").eqNullSafe(F.col("_kept_id_of_row")) & (F.col("_kept_hash") == F.col("_kept_hash_of_row"))
-    stays = marked.join(kept, same).dropDuplicates(["_kept_id_of_row", "_kept_hash_of_row"])
-    return stays.select(*(column(name) for name in docs.columns))
+    # All columns in one, so that no name can clash.
+    whole = F.struct(*(column(name).alias(name) for name in docs.columns))
+    rows = docs.select(column(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_hash"), whole.alias("_row"))
+    same = F.col("_kept_id").eqNullSafe(F.col("_id")) & (F.col("_kept_hash") == F.col("_hash"))
+    stays = rows.join(kept, same).dropDuplicates(["_id", "_hash"])
+    return stays.select(*(F.col("_row").getField(name).alias(name) for name in docs.columns))

@@ -4,6 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import reference
+
+from logquarry.llm import jaccard_join
 from logquarry.llm.fingerprints import EMPTY, document_fingerprints, likeness
 
 SCHEMA = "doc_id long, text string"
@@ -37,3 +40,37 @@ def test_fingerprints_with_hot_copies_and_a_hot_family(spark):
     near = [value for (a, _), value in like.items() if a]
     assert min(near) > 0.5 and sum(near) / len(near) > 0.75
     assert max(value for (a, _), value in like.items() if not a) < 0.2
+
+
+def test_join_keeps_its_recall_in_deep_buckets(spark, monkeypatch):
+    """Many texts that share a third of their words are split over many levels; pairs above the threshold still meet."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 16)
+    monkeypatch.setattr(jaccard_join, "SMALL_BELOW", 16)
+    rng = random.Random(8)
+    shared = [f"s{at}" for at in range(60)]
+    rows, pairs = [], []
+    for at in range(1500):
+        words = [*shared, *(f"o{rng.randrange(10**6)}" for _ in range(60))]
+        rows.append((at, " ".join(words)))
+        if at % 10 == 0:
+            words[70 + rng.randrange(40)] = "changed"
+            words[-1] = "other"
+            rows.append((10_000 + at, " ".join(words)))
+            pairs.append((at, 10_000 + at))
+    levels = []
+    run = jaccard_join._run
+    monkeypatch.setattr(jaccard_join, "_run", lambda sets, runs: levels.append((out := run(sets, runs))[2]) or out)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {row["doc_id"]: (row["class_id"], row["n_links"]) for row in jaccard_join.jaccard_join(df).collect()}
+    alike = [pair for pair in pairs if reference.jaccard_classes([rows_of for rows_of in rows if rows_of[0] in pair])[pair[0]][1]]
+    assert len(alike) > 100 and max(levels) >= 7 and len(levels) >= 2
+    missed = [pair for pair in alike if found[pair[1]] != (pair[0], 1)]
+    assert len(missed) <= 0.01 * len(alike)
+    assert all(found[at] == (at, 0) for at in range(1500) if at % 10)
+
+
+def test_runs_follow_the_depth():
+    assert jaccard_join.runs_for() == 3
+    for levels in (4, 8, 12, 20):
+        runs = jaccard_join.runs_for(levels=levels)
+        assert 1 - (1 - jaccard_join.meeting(0.8, levels)) ** runs >= jaccard_join.TARGET_RECALL
