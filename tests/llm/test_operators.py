@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -131,6 +132,10 @@ def test_bpe_round_trip(docs, corpus, odd, empty):
     ids = bpe.bpe_encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
     assert by_id(ids, "ids") == {key: ours.encode_ordinary(text or "") for key, text in pairs(corpus)}
     assert by_id(bpe.bpe_decode(ids, RANKS), "text") == {key: text or "" for key, text in pairs(corpus)}
+    both = bpe.bpe_encode(odd.withColumn("back", F.lit(1)), RANKS, public_tokenizers.PATTERN, decoded_col="back")
+    assert both.columns == [*(name for name in odd.columns if name != "text"), "ids", "back"]
+    texts = [row["text"] or "" for row in odd.collect()]
+    assert sorted((row["ids"], row["back"]) for row in both.collect()) == sorted((ours.encode_ordinary(text), text) for text in texts)
     assert bpe.bpe_encode(odd, RANKS, public_tokenizers.PATTERN).count() == odd.count()
     assert bpe.bpe_encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
@@ -142,9 +147,22 @@ def test_bpe_on_random_texts(monkeypatch):
     ours = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoder, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(5)
     parts = ["a", "ing", "the", " ", "  ", "\n", "\t", "'s", "'ll", "12", "é", "漢字", "　", "\xa0", "!", "😀", "\x1c", "\x85", "\r\n"]
-    for _ in range(3000):
-        text = "".join(rng.choices(parts, k=rng.randrange(25)))
+    texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)]
+    for text in texts:
         assert encoder.encode(text) == ours.encode_ordinary(text), text
+    # Many at once, with pieces so long that few are left for most of their bytes, and batches without any text or word.
+    texts += ["a" * 4000, "é" * 900 + " b", "=" * 700, "the " * 2000, " ".join(rng.choices(parts, k=4000))]
+    for size in (1, 7, 400, len(texts)):
+        for at in range(0, len(texts), size * (1 + 40 // size)):
+            some = texts[at : at + size]
+            assert encoder.encode_batch(pa.array(some)).to_pylist() == [ours.encode_ordinary(text) for text in some]
+    for some in ([], [""], ["", " ", "  "]):
+        assert encoder.encode_batch(pa.array(some, pa.string())).to_pylist() == [ours.encode_ordinary(text) for text in some]
+    # Another pattern may match across blanks.
+    words = tiktoken.Encoding("words", pat_str=r"\w+ \w+|[\s\S]", mergeable_ranks=ranks, special_tokens={})
+    other = bpe.Encoder(ranks, r"\w+ \w+|[\s\S]")
+    some = ["the thing is that", "a b c", "", "x  y"]
+    assert other.encode_batch(pa.array(some)).to_pylist() == [words.encode_ordinary(text) for text in some] == [other.encode(text) for text in some]
 
 
 def test_utf8_stream_at_every_cut():
@@ -201,6 +219,9 @@ def test_sharding(spark, docs, corpus, odd, empty):
 
 
 def test_written_shards(spark, docs, corpus, tmp_path):
+    clashing = docs.withColumns({name: F.lit(1) for name in ("_id", "_slot", "_shard", "_placed_id", "shard", "a.b")})
+    sharding.write_shards(clashing, sharding.shard_documents(docs, n_shards=3), str(tmp_path / "clashing"))
+    assert spark.read.parquet(str(tmp_path / "clashing")).count() == docs.count()
     sharding.write_shards(docs, sharding.shard_documents(docs, n_shards=3), str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert sorted(r["doc_id"] for r in back.collect()) == [row[0] for row in corpus]
@@ -271,6 +292,23 @@ def test_fit_budget_is_exact():
         assert abs(int((lengths * taken).sum()) - budget) == min(abs(r - budget) for r in reach)
 
 
+def test_fit_budget_of_any_size():
+    """One rule: exact up to twice the longest document, within half of it above."""
+    assert int((mixing.fit_budget(lengths := np.array([100_000, 150_000, 170_000]), np.ones(3, dtype=int), 250_000, 1) * lengths).sum()) == 250_000
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        lengths = np.unique(rng.integers(1, 300_000, 6))
+        counts = rng.integers(0, 3, len(lengths))
+        budget = int(rng.integers(0, max(int((lengths * counts).sum()), 1)))
+        taken = mixing.fit_budget(lengths, counts, budget, 1)
+        assert (0 <= taken).all() and (taken <= counts).all()
+        missed = abs(int((lengths * taken).sum()) - budget)
+        reach = {0}
+        for length, count in zip(lengths.tolist(), counts.tolist()):
+            reach = {total + some * length for total in reach for some in range(count + 1)}
+        assert missed == min(abs(total - budget) for total in reach) if budget <= 2 * lengths.max() else missed <= lengths.max() / 2
+
+
 def test_targets_stop_at_twice_the_size():
     assert mixing.source_targets([10, 100, 1000]) == pytest.approx([20, 200, 1445])
     assert mixing.source_targets([]) == [] and mixing.source_targets([0, 0]) == [0, 0]

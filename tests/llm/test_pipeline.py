@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import reference
@@ -51,6 +52,24 @@ def test_run(spark):
 @pytest.mark.parametrize("name", ORACLE)
 def test_queries_with_sql(spark, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     expected, got = connection.execute(ORACLE[name]).fetch_df(), QUERIES[name](spark, DATA).toPandas()
-    pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), expected.sort_values("doc_id", ignore_index=True)[list(got.columns)], check_dtype=False)
+    columns = list(got.columns)
+    pd.testing.assert_frame_equal(got.sort_values(columns, ignore_index=True), expected[columns].sort_values(columns, ignore_index=True), check_dtype=False)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    """Null ids and texts, repeated rows, and columns with names that stages use."""
+    clashing = {name: F.lit("x") for name in ("_one", "row", "col", "_kept_id", "_kept_id_of_row", "_row", "_text", "taken", "size")}
+    docs = odd.withColumns(clashing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, "")
+        assert left.columns == docs.columns, name
+        got = left.collect()
+        known = {(row["doc_id"], row["source"], row["taken"]) for row in docs.collect()}
+        assert got and {(row["doc_id"], row["source"], row["taken"]) for row in got} <= known, name
+        assert stage(spark, empty, "").count() == 0, name
+    single = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert len({(row["doc_id"], row["text"]) for row in single}) == len(single)
+    assert corpus_pipeline.encode(spark, docs, "").count() == odd.count() and corpus_pipeline.encode(spark, empty, "").count() == 0
