@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -98,6 +99,12 @@ def fewer(df: DataFrame, rows: int, per_task: int = 10_000, least: int = 12) ->
     return df.coalesce(tasks) if tasks < spread(df.sparkSession) else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and checkpoints that no plan refers to any more; it learns of them by garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_workers(spark: SparkSession) -> None:
     """Let local Python workers import this package from where the driver has it.
 

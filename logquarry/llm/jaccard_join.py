@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, cut, fewer, in_workers, spread, text_or_empty
+from .common import column, cut, fewer, in_workers, release, spread, text_or_empty
 from .components import connected
 from .hashing import mix, shingle_hashes
 
@@ -306,9 +306,9 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                 np.fill_diagonal(like, False)
             for at in range(0, first, 256):
                 some = like[at : at + 256]
-                links[at : at + 256] += some @ copies[rest:]
+                links[at : at + len(some)] += some @ copies[rest:]
                 if i != j:
-                    links[first:] += copies[at : min(at + 256, first)] @ some
+                    links[first:] += copies[at : at + len(some)] @ some
             for a in range(first):
                 # All that this set is linked to get one root.
                 own = np.unique(root[np.append(np.flatnonzero(like[a]) + rest, a)])
@@ -359,6 +359,8 @@ def jaccard_join(
     sets = cut(grouped)
     links = candidate_links(sets.where(F.col("_sketch").isNotNull()).select("_node", "_sketch"), recall)
     parts = connected(links)
+    del links
+    release(spark)
 
     # Blocks of the components, and the shingles of one text of each set.
     blocks = F.ceil(F.greatest(F.col("_m") / BLOCK, F.col("_all") / BLOCK_SHINGLES)).cast("int")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .common import column, cut, in_workers, text_or_empty
 
-# How many labelled rows are learnt from at most: those with the lowest seeded hashes of their ids.
+# How many labelled rows are learnt from at most unless told otherwise: those with the lowest seeded hashes of their ids.
 MOST_LABELLED = 8_000
 FOLDS = 5
 # Terms are whole words (=word) and beginnings of words (^begi). So many strong and weak ones are kept.
@@ -192,11 +192,17 @@ def _bits(votes: np.ndarray) -> np.ndarray:
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 1
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    seed: int = 1,
+    most_labelled: int = MOST_LABELLED,
 ) -> DataFrame:
     """``id_col, held_out, score, predicted`` for every row.
 
-    1. From at most ``MOST_LABELLED`` labelled rows outside the held-out fold, terms are found that mark toxic texts. They are
+    1. From at most ``most_labelled`` labelled rows outside the held-out fold, terms are found that mark toxic texts. They are
        dealt to lexicon voters; pattern voters and one voter for clean texts join them.
     2. All voters vote on every whole text. The votes are counted by pattern (at most ``2 ** 16``), and the label
        model learns from these counts, without labels, how far each voter is to be trusted and which repeat each other.
@@ -217,7 +223,7 @@ def toxicity_scores(
 
     chosen = labels.select(F.col("doc_id").alias("_label_id"), F.col("toxic").cast("int").alias("_toxic"))
     chosen = chosen.where(F.col("_toxic").isNotNull() & F.col("_label_id").isNotNull() & (fold("_label_id") != 0))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id", "_toxic").limit(MOST_LABELLED)
+    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id", "_toxic").limit(most_labelled)
     sample = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("_id", "_text", "_toxic").collect()
     sample = sorted(((row["_text"], row["_toxic"]) for row in sample))
     texts, toxic = [text for text, _ in sample], [int(label > 0) for _, label in sample]

@@ -74,3 +74,17 @@ def test_runs_follow_the_depth():
     for levels in (4, 8, 12, 20):
         runs = jaccard_join.runs_for(levels=levels)
         assert 1 - (1 - jaccard_join.meeting(0.8, levels)) ** runs >= jaccard_join.TARGET_RECALL
+
+
+def test_family_of_near_copies_in_several_blocks(spark, monkeypatch):
+    """Blocks of unequal and odd sizes, compared in pairs, give the links of comparing everything."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 130)
+    rng = random.Random(9)
+    base, rows = words(rng, 120, "b"), []
+    for at in range(700):
+        own = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(30)}"
+        rows.append((at, " ".join(own)))
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert {row["doc_id"]: (row["class_id"], row["n_links"]) for row in found.collect()} == reference.jaccard_classes(rows)
