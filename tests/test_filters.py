@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -133,3 +134,17 @@ def test_limits(spark):
         lq.newest(df, -1)
     assert "TakeOrderedAndProject" in plan_of(lq.newest(df, 5))
     assert lq.any_rows(df, 7).count() == 7
+
+
+def test_wildcards_look_for_each_run_once(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abAB\\.%_(\n\u00c9\u00df\U0001d11e", k=rng.randrange(12))) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame([(text,) for text in texts], "body string")
+    for query in ("a%b", "%", "%%", "_", "a_b", "%a_%_B", "\\%a", ".%(_", "a%%\u00e9_", "\U0001d11e_%\u00df", "a%", "_%_%_"):
+        pattern = "%" + query.replace("\\", "\\\\") + "%"
+        assert sorted(map(str, lq.text(df, query).collect())) == sorted(map(str, df.where(F.col("body").ilike(pattern)).collect())), query
+        assert sorted(map(str, lq.text(df, query, case=True).collect())) == sorted(map(str, df.where(F.col("body").like(pattern)).collect())), query
+    long = spark.createDataFrame([("hanti ha nd " * 20_000,)], "body string")
+    found = lq.text(long, "hanti%_ha%nd%never")
+    assert "RLIKE" in plan_of(found)
+    assert found.count() == 0
