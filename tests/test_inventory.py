@@ -207,6 +207,27 @@ def test_bit_maps_fold_and_hold_their_rate(spark):
     index.unpersist()
 
 
+def test_bits_are_brought_together_as_numbers(spark):
+    events = spark.createDataFrame([("f", "t", "some text", "k")], "id string, type string, body string, key string")
+    plan = plan_of(skip_index._numbered_bits(events))
+    # Trigrams are taken from a text once, and maps are made only behind the shuffles.
+    assert plan.count("regexp_extract_all") == 1 and "partial_bitmap" not in plan.split("Exchange")[-1]
+
+
+def test_given_paths_share_lookups(spark, put):
+    root = put({f"r/{batch_key(number)}": '{"id":"a","type":"t","body":"b"}\n' for number in range(60)}) + "/r"
+    spark.sparkContext.setJobGroup("lookups", "lookups")
+    try:
+        events = lq.read_events(spark, root, keys=[batch_key(number) for number in range(60)])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [stage for job in tracker.getJobIdsForGroup("lookups") for stage in tracker.getJobInfo(job).stageIds]
+    assert stages and sum(tracker.getStageInfo(stage).numTasks for stage in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert events.count() == 60
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
 def test_no_rows_runs_nothing(spark):
     empty = no_rows(spark, "a string, b map<int,binary>, c variant")
     assert empty.collect() == [] and empty.columns == ["a", "b", "c"]
