@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, in_workers, text_or_empty
+from .common import column, in_workers, shuffles_go, text_or_empty, written
 from .hashing import Spans, mix
 
 # Passages of this many bytes are looked for.
@@ -154,7 +154,9 @@ def suffix_dedup(
     texts = docs.select(column(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     # The hash costs room in every row, so it is there only where ids repeat.
     repeated = texts.groupBy("_id").count().where(F.col("count") > 1)
-    if not repeated.isEmpty():
+    with shuffles_go(docs.sparkSession):
+        hashed = not repeated.isEmpty()
+    if hashed:
         texts = texts.select("_id", F.xxhash64("_text").alias("_hash"), "_text")
     key = texts.columns[:-1]
     listed = T.StructType(
@@ -228,7 +230,10 @@ def suffix_dedup(
             F.collect_set(F.when(~F.col("_repeat"), F.col("_place"))).alias("_open"),
         )
 
-    rounds = [judged(blocks_of(texts, length - seed + 1))]
+    # The first round sorts all sampled suffixes, most of which are done then. What is left is a small table, and the
+    # large shuffle goes before the texts are shuffled.
+    with shuffles_go(docs.sparkSession):
+        rounds = [written(judged(blocks_of(texts, length - seed + 1)))]
     for width in WIDTHS:
         open_texts = with_text(rounds[-1].where(F.size("_open") > 0).select(*key, "_open"), "inner")
         rounds.append(judged(blocks_of(open_texts, width)))

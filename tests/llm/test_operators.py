@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -312,3 +314,18 @@ def test_fit_budget_of_any_size():
 def test_targets_stop_at_twice_the_size():
     assert mixing.source_targets([10, 100, 1000]) == pytest.approx([20, 200, 1445])
     assert mixing.source_targets([]) == [] and mixing.source_targets([0, 0]) == [0, 0]
+
+
+def test_suffix_dedup_leaves_no_shuffle_of_its_first_round(spark, docs):
+    def shuffles():
+        return set(re.findall(r"shuffle_\d+", spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    before = shuffles()
+    result = suffix_dedup(docs)
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert "Scan parquet" in result._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
