@@ -25,6 +25,8 @@ MAX_STATES = 200_000
 MAX_PAIRS = 120_000
 MAX_MOVES = 20_000
 MAX_KNOWN = 10_000
+MAX_WORD_BYTES = 24 << 20
+LONGEST_WORD = 64
 OPENING, MAX_OPENINGS = 6, 5_000
 # So many pieces are not worth a step of all at once.
 FEW_PIECES = 16
@@ -33,6 +35,7 @@ OPEN_BLANK = re.compile(r"\s (?:\s|$)")
 ROWS_AT_ONCE = 128
 BYTES_AT_ONCE = 3 << 20
 IDS_AT_ONCE = 4096
+DECODED_AT_ONCE = 1 << 16
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -318,6 +321,12 @@ class Encoder:
         self.pieces = Known(self.transducer.encode_text, MAX_KNOWN // 4)
         self.after_blank = Known(lambda word: self.encode_chunk(" " + word))
         self.at_start = Known(self.encode_chunk)
+        self._forget()
+
+    def _forget(self) -> None:
+        # Words of earlier batches, with the blank before them, and their ids one after the other.
+        self.words = pa.array([], pa.string())
+        self.word_ids, self.word_sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
     def whole(self, text: str) -> bool:
         """Whether the text is not to be split at blanks: another pattern may look across any of them."""
@@ -349,6 +358,30 @@ class Encoder:
         total = np.bincount(owner, weights=sizes[piece], minlength=len(chunks)).astype(np.int64)
         return laid_out(flat, sizes, piece[np.argsort(owner, kind="stable")]), total
 
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_chunks`` for different words; those of earlier batches are remembered, up to ``MAX_WORD_BYTES``."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.words) + np.arange(len(new))
+        fresh = words.take(pa.array(new))
+        flat, sizes = self.encode_chunks(fresh.to_pylist())
+        flat, sizes = np.concatenate([self.word_ids, flat]), np.concatenate([self.word_sizes, sizes])
+        self._remember(pa.concat_arrays([self.words, fresh]), flat, sizes)
+        flat, sizes = laid_out(flat, sizes, at), sizes[at]
+        if not len(self.words):
+            self._remember(words, flat, sizes)
+        return flat, sizes
+
+    def _remember(self, words: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Hold these words, without long ones, or none if they are too many."""
+        short = np.flatnonzero(pc.binary_length(words).to_numpy() <= LONGEST_WORD)
+        if len(short) < len(words):
+            words, flat, sizes = words.take(pa.array(short)), laid_out(flat, sizes, short), sizes[short]
+        if words.nbytes + flat.nbytes + sizes.nbytes > MAX_WORD_BYTES:
+            self._forget()
+        else:
+            self.words, self.word_ids, self.word_sizes = words, flat, sizes
+
     def encode_batch(self, texts: pa.Array) -> pa.Array:
         """The ids of many whole texts, as a list array.
 
@@ -360,16 +393,16 @@ class Encoder:
         split = pc.split_pattern(texts.filter(pa.array(~open_blank)).cast(pa.string()), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
-        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         starts, first = np.unique(code[offsets[:-1]], return_inverse=True)
         behind = np.ones(len(code), dtype=bool)
         behind[offsets[:-1]] = False
         used = np.zeros(len(words), dtype=bool)
         used[code[behind]] = True
-        code[offsets[:-1]] = len(words) + first
-        chunks = [" " + word if one else "" for word, one in zip(words, used.tolist(), strict=True)]
-        chunks += [words[at] for at in starts.tolist()]
-        flat, size = self.encode_chunks(chunks)
+        code = (np.cumsum(used) - 1)[code]
+        code[offsets[:-1]] = np.count_nonzero(used) + first
+        after_blank = pc.binary_join_element_wise("", words.filter(pa.array(used)), " ")
+        flat, size = self.encode_words(pa.concat_arrays([after_blank, words.take(pa.array(starts))]))
         end = np.cumsum(size[code])
         flat = laid_out(flat, size, code)
         borders = np.concatenate([[0], end])[offsets].astype(np.int32)
@@ -439,16 +472,22 @@ class Utf8Stream:
         return data.decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
-    """The text of a stream of ids, in parts; no part waits for more than the rest of one character."""
-    stream, ids = Utf8Stream(), iter(ids)
-    while some := list(islice(ids, IDS_AT_ONCE)):
-        if part := stream.feed(b"".join(map(bytes_of.__getitem__, some))):
+def read_stream(parts: Iterable[bytes]) -> Iterator[str]:
+    """The text of a stream of bytes, in parts; no part waits for more than the rest of one character."""
+    stream = Utf8Stream()
+    for data in parts:
+        if part := stream.feed(data):
             yield part
     if part := stream.finish():
         yield part
 
 
+def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
+    """The text of a stream of ids, in parts, as ``read_stream`` gives it."""
+    ids = iter(ids)
+    return read_stream(b"".join(map(bytes_of.__getitem__, some)) for some in iter(lambda: list(islice(ids, IDS_AT_ONCE)), []))
+
+
 @lru_cache(maxsize=2)
 def _ranks(path: str) -> dict[bytes, int]:
     """The rank file at ``path`` on this machine, or as Spark has sent it."""
@@ -466,8 +505,10 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def _bytes_of(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in _ranks(path).items()}
+def _tokens(path: str) -> pa.Array:
+    """Token bytes in order of their ranks, null where there is none."""
+    bytes_of = {rank: token for token, rank in _ranks(path).items()}
+    return pa.array(map(bytes_of.get, range(max(bytes_of, default=-1) + 1)), pa.large_binary())
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -492,10 +533,18 @@ def _spread_out(df: DataFrame, rest: list[str], name: str) -> DataFrame:
     return df.select(*(F.col("_row").getField(other).alias(other) for other in rest), column(name))
 
 
-def _texts_of(ids: pa.Array, bytes_of: dict[int, bytes]) -> pa.Array:
+def _texts_of(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The text of each row of ids. The tokens of many rows are looked up at once; the bytes of each row are read as a stream."""
     texts = []
     for start in range(0, len(ids), ROWS_AT_ONCE):
-        texts += ["".join(decode_stream(row, bytes_of)) for row in ids.slice(start, ROWS_AT_ONCE).to_pylist()]
+        rows = ids.slice(start, ROWS_AT_ONCE)
+        found = tokens.take(rows.flatten())
+        if found.null_count:
+            raise KeyError("an id that no token has")
+        borders = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).to_numpy())]).astype(np.int32)
+        for data in pc.binary_join(pa.ListArray.from_arrays(pa.array(borders), found), pa.scalar(b"", found.type)).to_pylist():
+            parts = (data[at : at + DECODED_AT_ONCE] for at in range(0, len(data), DECODED_AT_ONCE))
+            texts.append("".join(read_stream(parts)))
     return pa.array(texts, pa.string())
 
 
@@ -525,7 +574,7 @@ def bpe_encode(
         for batch in batches:
             for part in _slices(batch):
                 ids = encoder.encode_batch(part.column(part.num_columns - 1))
-                more = [] if decoded_col is None else [_texts_of(ids, encoder.transducer.bytes_of)]
+                more = [] if decoded_col is None else [_texts_of(ids, _tokens(ranks_path))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *more], names=[*part.schema.names[:-1], *results])
 
     kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
@@ -541,11 +590,11 @@ def bpe_decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", text_col
     source = _beside(df, rest, F.coalesce(column(ids_col), F.array().cast("array<int>")), text_col)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _bytes_of(ranks_path)
+        tokens = _tokens(ranks_path)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                yield _with_column(part, _texts_of(part.column(part.num_columns - 1), bytes_of), text_col)
+                yield _with_column(part, _texts_of(part.column(part.num_columns - 1), tokens), text_col)
 
     fields = [*source.schema.fields[:-1], T.StructField(text_col, T.StringType())]
     return _spread_out(source.mapInArrow(decode, T.StructType(fields)), rest, text_col)

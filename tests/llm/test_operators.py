@@ -167,6 +167,48 @@ def test_bpe_on_random_texts(monkeypatch):
     assert other.encode_batch(pa.array(some)).to_pylist() == [words.encode_ordinary(text) for text in some] == [other.encode(text) for text in some]
 
 
+@pytest.mark.parametrize("most", [0, 2_000, 24 << 20])
+def test_bpe_words_of_earlier_batches(monkeypatch, most):
+    monkeypatch.setattr(bpe, "MAX_WORD_BYTES", most)
+    ranks = bpe.read_ranks(open(RANKS, "rb"))
+    ours = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(8)
+    words = ["the", "the,", "", "x" * 70, "é" * 40, "a\nb", "漢字", "12's", *("".join(rng.choices("aeinst", k=rng.randrange(2, 9))) for _ in range(400))]
+    for _ in range(30):
+        some = [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(20)]
+        for again in (some, some[::-1]):
+            assert encoder.encode_batch(pa.array(again)).to_pylist() == [ours.encode_ordinary(text) for text in again]
+            assert encoder.words.nbytes + encoder.word_ids.nbytes + encoder.word_sizes.nbytes <= most
+            assert max(map(len, encoder.words.to_pylist()), default=0) <= bpe.LONGEST_WORD
+
+
+def test_bpe_runs_no_known_word_again(monkeypatch):
+    encoder = bpe.Encoder(bpe.read_ranks(open(RANKS, "rb")), public_tokenizers.PATTERN)
+    run, pieces = encoder.transducer.encode_all, []
+    monkeypatch.setattr(encoder.transducer, "encode_all", lambda some: pieces.extend(some) or run(some))
+    first = encoder.encode_batch(pa.array(["the thing, that is\nit", "the 漢字"])).to_pylist()
+    assert pieces
+    pieces.clear()
+    assert encoder.encode_batch(pa.array(["the 漢字", "the thing, that is\nit"])).to_pylist() == first[::-1]
+    assert not pieces
+    encoder.encode_batch(pa.array(["the new thing,"]))
+    assert pieces == [b" new"]
+
+
+def test_bpe_decodes_cut_characters_and_refuses_unknown_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODED_AT_ONCE", 5)
+    tokens, rng = bpe._tokens(RANKS), random.Random(9)
+    bytes_of = {rank: token for token, rank in bpe.read_ranks(open(RANKS, "rb")).items()}
+    rows = [[rng.randrange(rng.choice((256, 50_000))) for _ in range(rng.randrange(40))] for _ in range(500)]
+    ids = pa.array(rows, pa.list_(pa.int32()))
+    texts = [b"".join(map(bytes_of.get, row)).decode("utf-8", "replace") for row in rows]
+    assert bpe._texts_of(ids, tokens).to_pylist() == texts == ["".join(bpe.decode_stream(row, bytes_of)) for row in rows]
+    assert bpe._texts_of(ids.slice(130, 7), tokens).to_pylist() == texts[130:137]
+    for bad in (-1, len(bytes_of), None):
+        with pytest.raises((IndexError, KeyError)):
+            bpe._texts_of(pa.array([[1, bad]], pa.list_(pa.int32())), tokens)
+
+
 def test_utf8_stream_at_every_cut():
     data = "aé漢😀z".encode() + b"\xff\xc3(\xe2\x82" + "é".encode()
     for cuts in itertools.combinations(range(len(data) + 1), 2):
