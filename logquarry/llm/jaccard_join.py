@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, cut, fewer, in_workers, release, spread, text_or_empty
+from .common import column, cut, fewer, in_workers, release, spread, text_or_empty, written
 from .components import connected
 from .hashing import mix, shingle_hashes
 
@@ -205,7 +205,7 @@ def candidate_links(sets: DataFrame, recall: float = TARGET_RECALL) -> DataFrame
         done += runs
         runs = 0
         if deep is not None:
-            sets, runs = sets.join(deep, "_node"), runs_for(recall, levels=levels) - done
+            sets, runs = sets.join(deep, "_node", "left_semi"), runs_for(recall, levels=levels) - done
     return reduce(DataFrame.union, links)
 
 
@@ -217,6 +217,10 @@ def _run(sets: DataFrame, runs: range) -> tuple[list[DataFrame], DataFrame | Non
     least row): what is safely alike to the pivot is linked to it and leaves, since whatever is like such a row is at least
     ``LINKED`` to the pivot, and is linked to it too. The rest is split further. So a bucket of near copies of one
     text ends at once however large, and no pairs of it are listed.
+
+    A checkpoint keeps Spark's estimate of its size, and that of a join may be the product of its sides. From level to level
+    the number would get twice as many digits, megabytes of them in every plan on the driver. So each level is a table, whose
+    size Spark knows, and what only picks rows is a semi-join.
     """
     total = sets.count()
     rows = total * len(runs) * CHILDREN
@@ -224,8 +228,8 @@ def _run(sets: DataFrame, runs: range) -> tuple[list[DataFrame], DataFrame | Non
     level = _children(sets.select(F.explode(roots).alias("_path"), "_node", "_sketch")).drop("_sketch")
     sizes = cut(fewer(_bucket_sizes(level), rows))
     # Most texts are alone in every bucket; only the others go on, with their sketches.
-    level = cut(fewer(level.join(sizes.select("_path"), "_path"), rows))
-    sets = cut(fewer(sets.join(level.select("_node").distinct(), "_node"), total))
+    level = cut(fewer(level.join(sizes.select("_path"), "_path", "left_semi"), rows))
+    sets = cut(fewer(sets.join(level.select("_node").distinct(), "_node", "left_semi"), total))
     links, deep = [], None
     for depth in range(MOST_LEVELS):
         rows = level.count()
@@ -248,8 +252,9 @@ def _run(sets: DataFrame, runs: range) -> tuple[list[DataFrame], DataFrame | Non
         if last:
             return links, deep, depth + 1
         # A pair that is still together is so in many buckets; from here on one child each keeps the rows few.
-        level = cut(_children(rest, CHILDREN if depth < DEEP else 1).drop("_sketch"))
+        level = written(_children(rest, CHILDREN if depth < DEEP else 1).drop("_sketch"))
         sizes = cut(fewer(_bucket_sizes(level), CHILDREN * rows))
+        release(sets.sparkSession)
     raise RuntimeError("some buckets are still large; allow more levels")
 
 

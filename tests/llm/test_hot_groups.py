@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import reference
@@ -76,6 +77,23 @@ def test_runs_follow_the_depth():
         assert 1 - (1 - jaccard_join.meeting(0.8, levels)) ** runs >= jaccard_join.TARGET_RECALL
 
 
+def test_estimates_of_size_stay_short_however_deep(spark, monkeypatch):
+    """Spark's estimates are products of sizes; with every level they had twice as many digits, until the driver had no memory left."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "SMALL_BELOW", 2)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, jaccard_join.PLACES, dtype=np.uint32)
+    rows = []
+    for at in range(12):
+        own = rng.integers(0, 1 << 32, jaccard_join.PLACES, dtype=np.uint32)
+        rows.append((f"{at:032x}", bytearray(np.where(rng.random(jaccard_join.PLACES) < 0.8, base, own).astype("<u4").tobytes())))
+    sets = spark.createDataFrame(rows, "_node string, _sketch binary").coalesce(2)
+    links, deep, levels = jaccard_join._run(sets, range(1))
+    estimates = [int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for df in (*links, deep)]
+    assert levels >= 6 and max(estimates) < 2**1000
+    assert {x for df in links for row in df.collect() for x in row} == {node for node, _ in rows}
+
+
 def test_family_of_near_copies_in_several_blocks(spark, monkeypatch):
     """Blocks of unequal and odd sizes, compared in pairs, give the links of comparing everything."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 130)
